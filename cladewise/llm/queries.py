@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from cladewise.functions.names import spelled, spelled_sql
 from cladewise.llm.cooccurrence import items_together
+from cladewise.llm.encode import encode_corpus
+from cladewise.llm.mixing import mix_sources
+from cladewise.llm.spam import stuffed_pages
 from cladewise.llm.topn import top_items
 
 
@@ -34,6 +37,34 @@ def p3_found(spark: SparkSession, where: str) -> DataFrame:
     return p3_top5(spark, where).select("feature", "molecule")
 
 
+def p6_ids(spark: SparkSession, where: str) -> DataFrame:
+    """Token ids of every document under byte_bpe_50k."""
+    return encode_corpus(_read(spark, where, "documents"), "doc_id", "text")
+
+
+def _mix(spark: SparkSession, where: str) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(_read(spark, where, "documents"), "doc_id", "text", spelled("source"), _read(spark, where, "mix_targets"), spelled("source"))
+
+
+def p7_mix(spark: SparkSession, where: str) -> DataFrame:
+    """Documents of the mix with their tokens and copies."""
+    return _mix(spark, where)[0]
+
+
+def p7_report(spark: SparkSession, where: str) -> DataFrame:
+    """Targets and the shares reached."""
+    return _mix(spark, where)[1]
+
+
+def p8_pages(spark: SparkSession, where: str) -> DataFrame:
+    """Stuffed pages with the share of their characters that is stuffed, and their mean PMI."""
+    return stuffed_pages(_read(spark, where, "documents"), "doc_id", "text", _read(spark, where, "doc_labels"))
+
+
+def p8_found(spark: SparkSession, where: str) -> DataFrame:
+    return p8_pages(spark, where).select("doc_id")
+
+
 _PAIRS = f"""
 WITH b AS (SELECT DISTINCT s, m FROM (SELECT {spelled_sql('species')} AS s, {spelled_sql('molecules')} AS m FROM acol_lotus)
            WHERE s IS NOT NULL AND m IS NOT NULL),
@@ -59,6 +90,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_pairs": p1_pairs,
         "p3_found": p3_found,
         "p3_top5": p3_top5,
+        "p6_ids": p6_ids,
+        "p7_mix": p7_mix,
+        "p7_report": p7_report,
+        "p8_found": p8_found,
+        "p8_pages": p8_pages,
     }
 
 
