@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Groups of more rows get a histogram; no smaller group can slow a task down.
-LARGE = 10_000
+from cladewise.operators.skew import share_of
+
+#: Groups of more rows get a histogram if they also hold this share of all rows; so at most 1 / SHARE groups do, and their list
+#: may be broadcast. Smaller groups can't slow a task down.
+LARGE, SHARE = 10_000, Decimal("0.0001")
 #: Bins of one octave of scores.
 FINE = 256
 #: Slices that a large group's survivors are ranked in first, so that even equal scores in one bin spread.
@@ -19,8 +24,10 @@ def _bin(score: F.Column) -> F.Column:
 
 
 def large_groups(rows: DataFrame, large: int = LARGE) -> DataFrame:
-    """Groups with more than ``large`` rows; there are fewer than rows / ``large`` of them."""
-    return rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("g")
+    """Groups with more than ``large`` rows and a share of at least SHARE: 1 / SHARE of them at most."""
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    counted = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where((F.col("n") > large) & (F.col("n") >= share_of(total, SHARE))).select("g")
 
 
 def thresholds(rows: DataFrame, big: DataFrame, n: int) -> DataFrame:
@@ -29,7 +36,7 @@ def thresholds(rows: DataFrame, big: DataFrame, n: int) -> DataFrame:
     Histograms count an item once, in the bin of its best score, so repeated rows can't make the threshold unsafe.
     Groups with fewer than ``n`` items get no threshold. The window runs over a group's bins, not over its rows.
     """
-    best = rows.join(big, "g", "left_semi").groupBy("g", "item").agg(F.max("score").alias("score"))
+    best = rows.join(F.broadcast(big), "g", "left_semi").groupBy("g", "item").agg(F.max("score").alias("score"))
     bins = best.groupBy("g", _bin(F.col("score")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     above = F.sum("n").over(Window.partitionBy("g").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0))
     return bins.withColumn("above", above).where(F.col("above") >= n).groupBy("g").agg(F.max("bin").alias("least"))
@@ -52,7 +59,7 @@ def top_items(df: DataFrame, group: str, item: str, score: str, n: int = 5, larg
     )
     big = large_groups(rows, large)
     least = big.join(thresholds(rows, big, n), "g", "left").select("g", F.coalesce("least", F.lit(-(2**30))).alias("least"))
-    hit = rows.join(least, "g", "left").where(F.col("least").isNull() | (_bin(F.col("score")) >= F.col("least")))
+    hit = rows.join(F.broadcast(least), "g", "left").where(F.col("least").isNull() | (_bin(F.col("score")) >= F.col("least")))
     piece = F.when(F.col("least").isNull(), 0).otherwise(F.pmod(F.xxhash64("item"), F.lit(SLICES))).cast("int")
     best = hit.withColumn("slice", piece).repartition("g", "slice").groupBy("g", "slice", "item").agg(F.max("score").alias("score"))
     order = [F.desc("score"), F.asc("item")]
