@@ -74,11 +74,18 @@ def nodes(edges: DataFrame) -> DataFrame:
     rows = node_order(edges).join(up, "id", "left").join(kids, "id", "left").fillna({"n_children": 0})
     rows = rows.withColumn("is_root", F.col("parent").isNull()).withColumn("length", F.coalesce("length", F.lit(0.0)))
     rows = rows.withColumn("kind", F.when(F.col("n_children") == 0, "leaf").when(F.col("is_root"), "root").otherwise("internal"))
-    rows = dense_index(rows, "ord", "node_ix").drop("ord")
-    flags = {"leaf_ix": F.col("kind") == "leaf", "internal_ix": F.col("kind") != "leaf", "root_ix": F.col("kind") == "root", "branch_ix": ~F.col("is_root")}
-    for name, flag in flags.items():
-        rows = dense_index(rows.withColumn("_is", flag), "node_ix", name, ("_is",)).withColumn(name, F.when(F.col("_is"), F.col(name))).drop("_is")
-    return rows
+    # all five indices follow the node order: blocks are counted once for all kinds, and blocks before are summed
+    leaf, inner = F.col("kind") == "leaf", F.col("kind") != "leaf"
+    flags = {"node_ix": F.lit(True), "leaf_ix": leaf, "internal_ix": inner, "root_ix": F.col("kind") == "root", "branch_ix": ~F.col("is_root")}
+    rows = rows.withColumn("_block", F.floor(F.col("ord") / BLOCK))
+    counts = rows.groupBy("_block").agg(*(F.count_if(flag).alias(name) for name, flag in flags.items()))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_block", *(F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_{name}") for name in flags))
+    inside = Window.partitionBy("_block").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = rows.select("*", *(F.sum(flag.cast("long")).over(inside).alias(name) for name, flag in flags.items())).join(offsets, "_block")
+    return numbered.select(
+        "id", "parent", "length", "n_children", "is_root", "kind", *(F.when(flag, F.col(name) + F.col(f"_{name}") - 1).alias(name) for name, flag in flags.items())
+    )
 
 
 def node_counts(table: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladewise.plans import problems
+from cladewise.plans import field_queries, model_queries, problems
 
-_MODULES = [problems]
+_MODULES = [problems, model_queries, field_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
