@@ -284,6 +284,8 @@ def update_cliques(spark: SparkSession, cliques: DataFrame, states: DataFrame, t
             out.append(pd.DataFrame({"clique": [row.clique], "node_ix": [-1], "state": [False], "density": [density]}))
         return pd.concat(out) if out else pd.DataFrame({"clique": [], "node_ix": [], "state": [], "density": []})
 
+    # both sides may come from one table: new column ids keep them apart
+    cliques, states = cliques.toDF(*cliques.columns), states.toDF(*states.columns)
     return cliques.groupBy("clique").cogroup(states.groupBy("clique")).applyInPandas(run, _CLIQUE)
 
 

@@ -230,4 +230,6 @@ def updated_assignments(candidates: DataFrame, unknowns: DataFrame, assigned: Da
         molecule[run.molecule < 0] = pd.NA
         return pd.DataFrame({"run": now["run"], "feature": now["feature"], "molecule": molecule, "bin": run.bins})
 
+    # both sides may come from one table: new column ids keep them apart
+    info, state = info.toDF(*info.columns), state.toDF(*state.columns)
     return info.groupBy("run").cogroup(state.groupBy("run")).applyInPandas(go, _ASSIGN)
