@@ -7,6 +7,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladewise.store import Cuts
+
 #: A key is hot from this share of the rows; so at most 1 / HOT_SHARE keys are, and their list may be broadcast.
 HOT_SHARE = Decimal("0.001")
 #: Slices that a hot key's rows are spread over.
@@ -21,10 +23,16 @@ def share_of(total: Column, share: Decimal | float) -> Column:
 
 
 def hot_keys(rows: DataFrame, keys: list[str], share: Decimal = HOT_SHARE) -> DataFrame:
-    """Key values that hold at least ``share`` of the rows of ``rows``: there are at most 1 / share of them."""
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counted.where(F.col("_n") >= share_of(total, share)).select(*keys)
+    """Key values that hold at least ``share`` of the rows of ``rows``: there are at most 1 / share of them.
+
+    ``rows`` is read once: its counts are written to the shared folder, and their total and the few hot keys come from there.
+    """
+    cuts = Cuts(rows.sparkSession, "hot")
+    counted = cuts.save("counts", rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    total = counted.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    hot = cuts.save("keys", counted.where(F.col("_n") >= share_of(total, share)).select(*keys))
+    cuts.drop("counts")
+    return hot
 
 
 def sliced(rows: DataFrame, hot: DataFrame, keys: list[str], by: Column, slices: int = SLICES) -> DataFrame:
