@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladewise.store import Cuts
+
 #: Hash buckets of items. An item's id is its bucket and its rank in the bucket; a Gram block is a run of buckets.
 BUCKETS = 4096
 #: Gram blocks on each side for heavy baskets.
@@ -156,11 +158,14 @@ def items_together(df: DataFrame, basket: Column, item: Column, min_count: int =
     Other columns of ``df`` have no influence.
 
     An item in fewer baskets than ``min_count`` can't be in a pair, so only the rest enters the matrix; then one basket has
-    at most 1/min_count of its entries. What the driver gets is one number, N.
+    at most 1/min_count of its entries. What the driver gets is one number, N. The distinct pairs and the items are written to
+    the shared folder once, as both are read again.
     """
     min_count = max(1, min_count)
-    pairs = df.select(basket.cast("string").alias("basket"), item.cast("string").alias("item")).where("basket is not null and item is not null").distinct()
-    items = item_table(pairs, min_count)
+    cuts = Cuts(df.sparkSession, "together")
+    named = df.select(basket.cast("string").alias("basket"), item.cast("string").alias("item")).where("basket is not null and item is not null")
+    pairs = cuts.save("pairs", named.distinct())
+    items = cuts.save("items", item_table(pairs, min_count))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     kept = pairs.withColumn("salt", F.pmod(F.xxhash64("basket"), F.lit(SALTS)).cast("int")).join(items.withColumn("salt", salts), ["item", "salt"])
     counts = gram(kept.groupBy("basket").agg(F.collect_list("id").alias("ids")), heavy).where(F.col("n") >= min_count)
