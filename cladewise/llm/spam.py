@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,12 @@ ROUNDS, STEPS = 4, 250
 RIDGE = 2e-4
 
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]|[\p{L}\p{M}]+(?:['’][\p{L}]+)*|\p{N}+|[^\s\p{L}\p{N}\p{M}]")
-_URL = regex.compile(r"(?:h\w\wps?|www|shop|m)\s*[:.]\S+|<a\s[^>]*>[^<]*</a>|\]\([^)\s]*\)|\S+\.(?:html?|php)\S*|\S+\.\p{L}{2,8}/\S*|\bdot\b", regex.I)
-_TAG = regex.compile(r"#\w+")
+_ASCII_WORD = re.compile(r"[a-z]+(?:'[a-z]+)*|[0-9]+|[^\sa-z0-9]")
+#: What only links hold, also written out to hide them; a word between blanks with any of these counts as one.
+_URL = re.compile(r"://|^www|\bdot\b|\.[a-z]{2,8}/|\.html?\b|href=|\]\(|^hxxp|^https?$", re.I)
+_MAYBE_URL = re.compile(r"://|www| dot |\.[a-z]+/|\.htm|href|\]\(|hxxp|http", re.I)
+_TAG = re.compile(r"#\w+")
+_DIGITS, _UPPER = re.compile(r"[^0-9]+"), re.compile(r"[^A-Z]+")
 _PRICE = regex.compile(r"[€$£¥]|\b(?:EUR|USD|GBP|SKU)\b|\d+\s?%|\*{3,}|\b\d+(?:g|mg|ml|ct)\b")
 _SENTENCE = regex.compile(r"\p{Ll}{2,}[.?!。](?:\s|$)|[。？！]")
 _ARRAYS = ["n", "chars", "cjk", "digit", "upper", "punct", "comma", "mean_len", "kinds", "pair_kinds", "top_word", "top_pair", "url", "tag", "price", "sentence", "short"]
@@ -49,12 +55,13 @@ def stretches(text: str) -> list[str]:
     return [x for x in out if x.strip()]
 
 
+@lru_cache(200_000)
 def _hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def words_of(stretch: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(stretch)]
+    return (_ASCII_WORD if stretch.isascii() else _WORD).findall(stretch.lower())
 
 
 def shape(stretch: str, words: list[str]) -> list[float]:
@@ -62,21 +69,23 @@ def shape(stretch: str, words: list[str]) -> list[float]:
     n, chars = len(words), len(stretch)
     letters = [w for w in words if w[0].isalpha()]
     pairs = list(zip(letters, letters[1:], strict=False))
-    top = lambda x: max(Counter(x).values()) / len(x) if x else 0.0
-    share = lambda count: count / max(1, chars)
+    once, twice = Counter(letters), Counter(pairs)
+    n_letters, n_pairs = max(1, len(letters)), max(1, len(pairs))
+    ascii_ = stretch.isascii()
+    url = sum(len(w) + 1 for w in stretch.split() if _URL.search(w)) if _MAYBE_URL.search(stretch) else 0
+    tag = sum(map(len, _TAG.findall(stretch))) if "#" in stretch else 0
     return [
-        share(sum(c > "⺀" for c in stretch)), share(sum(c.isdigit() for c in stretch)), share(sum(c.isupper() for c in stretch)),
-        (n - len(letters)) / max(1, n), stretch.count(",") / max(1, n), sum(map(len, letters)) / max(1, len(letters)) / 10,
-        len(set(letters)) / max(1, len(letters)), len(set(pairs)) / max(1, len(pairs)), top(letters), top(pairs),
-        share(sum(len(m.group()) for m in _URL.finditer(stretch))), share(sum(len(m.group()) for m in _TAG.finditer(stretch))),
-        min(1.0, 20 * share(len(_PRICE.findall(stretch)))), min(1.0, 50 * share(len(_SENTENCE.findall(stretch)))), float(n < 8),
+        0.0 if ascii_ else sum(c > "⺀" for c in stretch) / chars, len(_DIGITS.sub("", stretch)) / chars, len(_UPPER.sub("", stretch)) / chars,
+        (n - len(letters)) / max(1, n), stretch.count(",") / max(1, n), sum(map(len, letters)) / n_letters / 10,
+        len(once) / n_letters, len(twice) / n_pairs, max(once.values(), default=0) / n_letters, max(twice.values(), default=0) / n_pairs,
+        min(1.0, url / chars), tag / chars, min(1.0, 20 * len(_PRICE.findall(stretch)) / chars), min(1.0, 50 * len(_SENTENCE.findall(stretch)) / chars), float(n < 8),
     ]
 
 
 def forms_of(words: list[str]) -> list[int]:
     """Buckets of word forms and of neighbouring forms; digits all look alike."""
-    forms = ["0" if w[0].isdigit() else w for w in words]
-    return sorted({_hash(f) % BUCKETS for f in forms} | {_hash(a + " " + b) % BUCKETS for a, b in zip(forms, forms[1:], strict=False)})
+    forms = [_hash("0" if w[0].isdigit() else w) for w in words]
+    return list({f % BUCKETS for f in forms} | {(a * 1_000_003 ^ b) % BUCKETS for a, b in zip(forms, forms[1:], strict=False)})
 
 
 _SPLIT = "seg int, n_chars int, shape array<float>, forms array<int>, a array<long>, b array<long>, k array<int>"
