@@ -60,7 +60,7 @@ def y_state(spark: SparkSession, path: str) -> DataFrame:
     """(position, fraction): ones of a dump of five columns; position and state are the first two."""
     t = table(spark, path, 5)
     names = [c for c in t.columns if c != "_row"]
-    return t.select(F.col(names[0]).cast("long").alias("position"), F.col(names[1]).cast("int").alias("state"), F.col(names[4]).cast("double").alias("fraction")).where("state = 1")
+    return t.select(F.col(names[0]).cast("long").alias("position"), F.col(names[1]).cast("int").alias("state"), F.col(names[4]).cast("double").alias("fraction")).where("state = 1").drop("state")
 
 
 def z_state(spark: SparkSession, path: str) -> DataFrame:
