@@ -7,11 +7,11 @@ grouped task per clique.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -269,24 +269,28 @@ def update_cliques(spark: SparkSession, cliques: DataFrame, states: DataFrame, t
     """One step in every clique: internal nodes that are one (all, with ``keep_zeros``), and the clique's density once: (clique, node_ix, state, density).
 
     ``cliques`` has (clique, alpha, nu), ``states`` (clique, node_ix, state) of stored leaves and internal nodes. A clique is as large as
-    the tree, whatever the data; its rows meet in one task, and cliques spread over the cluster.
+    the tree, whatever the data; it is one row of arrays, and cliques spread over the cluster.
     """
     arrays = spark.sparkContext.broadcast(tree)
 
-    def run(params: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        t, out = arrays.value, []
-        for row in params.itertuples():
-            state = np.zeros(len(t.parent), np.int64)
-            state[stored["node_ix"].to_numpy(np.int64)] = stored["state"].to_numpy(np.int64)
-            new, density = step(t, state, row.alpha, row.nu, uniforms(len(state), int(row.clique), seed, iteration))
-            at = np.flatnonzero(~t.leaf if keep_zeros else ~t.leaf & (new == 1))
-            out.append(pd.DataFrame({"clique": row.clique, "node_ix": at, "state": new[at] == 1, "density": 0.0}))
-            out.append(pd.DataFrame({"clique": [row.clique], "node_ix": [-1], "state": [False], "density": [density]}))
-        return pd.concat(out) if out else pd.DataFrame({"clique": [], "node_ix": [], "state": [], "density": []})
-
-    # both sides may come from one table: new column ids keep them apart
-    cliques, states = cliques.toDF(*cliques.columns), states.toDF(*states.columns)
-    return cliques.groupBy("clique").cogroup(states.groupBy("clique")).applyInPandas(run, _CLIQUE)
+    stored = states.groupBy("clique").agg(F.collect_list(F.struct("node_ix", "state")).alias("stored"))
+    rows = cliques.join(stored, "clique", "left").select("clique", "alpha", "nu", F.col("stored.node_ix").alias("at"), F.col("stored.state").alias("on"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = arrays.value
+        inner = np.flatnonzero(~t.leaf)
+        for batch in batches:
+            for clique, alpha, nu, at, on in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), batch.column(4), strict=True):
+                state = np.zeros(len(t.parent), np.int64)
+                if at.is_valid:
+                    state[at.values.to_numpy()] = on.values.to_numpy(zero_copy_only=False)
+                new, density = step(t, state, alpha, nu, uniforms(len(state), clique, seed, iteration))
+                keep = inner if keep_zeros else inner[new[inner] == 1]
+                n = len(keep) + 1
+                cols = [np.full(n, clique), np.r_[keep, -1], np.r_[new[keep] == 1, False], np.r_[np.zeros(n - 1), density]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["clique", "node_ix", "state", "density"])
+
+    return rows.mapInArrow(run, _CLIQUE)
 
 
 def z_of(updated: DataFrame, table: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ unknown molecule, whose bin is given per feature.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -202,34 +203,40 @@ def updated_assignments(candidates: DataFrame, unknowns: DataFrame, assigned: Da
     """Assignments after ``n_moves`` proposed moves per run, each taken by likelihood and proposal ratio.
 
     Randomness depends on run, seed, iteration and move. Runs without features have no rows. What a run needs from Y and the filters is
-    joined to its candidates first, so each run is one group of its own rows.
+    joined to its candidates first, so each run is one row of arrays.
     """
     info = candidates.join(runs.select("run", "species", "filter"), "run")
     info = info.join(y.where("state").select(F.col("r").alias("species"), F.col("c").alias("molecule"), F.lit(True).alias("y")), ["species", "molecule"], "left")
     info = info.join(filters, ["filter", "molecule"], "left").fillna({"y": False, "index": 128}).select("run", "feature", "molecule", "bin", "y", "index")
     state = assigned.select("run", "feature", F.coalesce("molecule", F.lit(-1)).alias("molecule"), "bin").join(unknowns.select("run", "feature", F.col("bin").alias("unknown")), ["run", "feature"])
 
-    def go(cands: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
-        if now.empty:
-            return pd.DataFrame({"run": [], "feature": [], "molecule": [], "bin": []})
-        now = now.sort_values("feature").reset_index(drop=True)
-        at = {int(f): k for k, f in enumerate(now["feature"])}
+    # one row per run, with its candidates and features as arrays: grouped by Spark, moved in batches
+    cands = info.groupBy("run").agg(F.collect_list(F.struct("feature", "molecule", "bin", "y", "index")).alias("cands"))
+    now = state.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("feature", "molecule", "bin", "unknown"))).alias("now"))
+
+    def moved(number: int, cands: list[dict], now: list[dict]) -> Run:
+        at = {x["feature"]: k for k, x in enumerate(now)}
         lists: dict[int, dict[int, int]] = {}
-        for c in cands.sort_values(["feature", "molecule"]).itertuples():
-            if int(c.feature) in at:
-                lists.setdefault(at[int(c.feature)], {})[int(c.molecule)] = int(c.bin)
-        present = {int(m) for m in cands.loc[cands["y"], "molecule"]}
-        passes = {int(m): i / 255 for m, i in zip(cands["molecule"], cands["index"], strict=True)}
-        run = Run(lists, now["unknown"].to_numpy(), now["molecule"].to_numpy(np.int64), now["bin"].to_numpy(np.int64))
-        us = np.random.Generator(np.random.Philox(key=[int(now["run"][0]) & (2**64 - 1), (seed << 32) + iteration])).random((n_moves, 4))
+        for c in sorted(cands, key=lambda c: (c["feature"], c["molecule"])):
+            if c["feature"] in at:
+                lists.setdefault(at[c["feature"]], {})[c["molecule"]] = c["bin"]
+        present = {c["molecule"] for c in cands if c["y"]}
+        passes = {c["molecule"]: c["index"] / 255 for c in cands}
+        run = Run(lists, *(np.array([x[k] for x in now], np.int64) for k in ("unknown", "molecule", "bin")))
+        us = np.random.Generator(np.random.Philox(key=[number & (2**64 - 1), (seed << 32) + iteration])).random((n_moves, 4))
         for u in us:
             move = run.propose(u)
             if move and math.log(u[3]) < run.log_ratio(move[0], present, passes, contamination) + move[1]:
                 run.apply(move[0])
-        molecule = pd.array(run.molecule, dtype="Int64")
-        molecule[run.molecule < 0] = pd.NA
-        return pd.DataFrame({"run": now["run"], "feature": now["feature"], "molecule": molecule, "bin": run.bins})
-
-    # both sides may come from one table: new column ids keep them apart
-    info, state = info.toDF(*info.columns), state.toDF(*state.columns)
-    return info.groupBy("run").cogroup(state.groupBy("run")).applyInPandas(go, _ASSIGN)
+        return run
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                run = moved(row["run"], row["cands"] or [], row["now"])
+                out += [(row["run"], x["feature"], int(m) if m >= 0 else None, int(b)) for x, m, b in zip(row["now"], run.molecule, run.bins, strict=True)]
+            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["run", "feature", "molecule", "bin"])
+
+    return now.join(cands, "run", "left").select("run", "cands", "now").mapInArrow(go, _ASSIGN)
