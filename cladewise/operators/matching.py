@@ -16,13 +16,13 @@ from cladewise.store import Cuts
 
 MOST_EDGES = 300_000
 EPSILON = 1e-3
-#: Names under which edge lists come, by column; fixed values of the input format.
-ALIASES = {"feature": ("feature", "feature_id", "peak", "spectrum"), "molecule": ("molecule", "molecule_id", "compound", "candidate"), "score": ("score", "probability", "weight", "likelihood")}
+#: The headers, in any case and with blanks around, under which edge lists are accepted.
+ALIASES = {"feature": ("feat", "feature_id", "feature"), "molecule": ("mol", "molecule_id", "molecule", "compound"), "score": ("score", "probability", "prob", "p", "value")}
 
 
 def read_edges(df: DataFrame) -> DataFrame:
     """(feature, molecule, score) under any of the known headers; scores that aren't numbers, null or not above 0 are dropped."""
-    lower = {c.lower(): c for c in df.columns}
+    lower = {c.strip().lower(): c for c in df.columns}
     picked = []
     for name, known in ALIASES.items():
         found = next((lower[a] for a in known if a in lower), None)

@@ -210,10 +210,10 @@ def test_matching_against_all_choices(spark, most):
 
 
 def test_edges_under_other_names(spark):
-    df = spark.createDataFrame([("a", "x", "0.5"), ("a", "y", "oops"), ("b", None, "1"), ("b", "z", "-1"), ("b", "w", None)], "Peak string, Compound string, Weight string")
+    df = spark.createDataFrame([("a", "x", "0.5"), ("a", "y", "oops"), ("b", None, "1"), ("b", "z", "-1"), ("b", "w", None)], "`Feat ` string, Compound string, Prob string")
     assert [tuple(r) for r in matching.read_edges(df).collect()] == [("a", "x", 0.5)]
     with pytest.raises(ValueError):
-        matching.read_edges(df.drop("Weight"))
+        matching.read_edges(df.drop("Prob"))
     assert matching.assign(matching.read_edges(df).limit(0)).count() == 0
 
 
