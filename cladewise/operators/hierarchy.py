@@ -10,7 +10,7 @@ from cladewise.store import Cuts
 
 #: One node in so many is a splitter.
 EVERY = 16
-_OPEN, _SPLITTER, _ROOT = 0, 1, 2
+_OPEN, _SPLITTER, _ROOT, _LONE = 0, 1, 2, 3
 
 
 def current_links(rows: DataFrame, child: Column, parent: Column, length: Column, at: Column, tie: Column) -> DataFrame:
@@ -87,7 +87,8 @@ def solve(spark: SparkSession, links: DataFrame, every: int = EVERY) -> DataFram
     Every ``every``-th node by hash, and every root, is a splitter. All nodes walk to their next splitter by doubling jumps;
     such stretches are short, whatever the depth. The splitters alone, one node in ``every``, are then solved among
     themselves, and each node's path is its own stretch and that of its splitter. What never meets a splitter is on or below a
-    cycle without one and is handled by itself. Each round writes its table to the shared folder, so a lost executor costs
+    cycle without one and is handled by itself; a splitter among it, on the tail of such a cycle, ends the walks from below,
+    which take its key. Each round writes its table to the shared folder, so a lost executor costs
     one round at most.
     """
     cuts = Cuts(spark, "hierarchy")
@@ -99,8 +100,9 @@ def solve(spark: SparkSession, links: DataFrame, every: int = EVERY) -> DataFram
     first = lookup(inner, above, "parent", F.col("node"), "left", n_rows=size).select("node", F.col("parent").alias("ptr"), state.alias("state"), F.array("node").alias("path"), "length")
     walked = _settle(cuts, "walk", cuts.save("walk", first))
 
-    ends = F.when(F.col("state") == _ROOT, _ROOT).otherwise(_OPEN)
-    reduced = walked.where(_is_splitter("node", every) & (F.col("state") != _OPEN)).withColumn("state", ends)
+    lone_end = F.col("state") == _OPEN
+    ends = F.when(F.col("state") == _ROOT, _ROOT).when(lone_end, _LONE).otherwise(_OPEN)
+    reduced = walked.where(_is_splitter("node", every)).select("node", F.when(lone_end, F.col("node")).otherwise(F.col("ptr")).alias("ptr"), ends.alias("state"), F.when(~lone_end, F.col("path")).alias("path"), "length")
     reduced = _settle(cuts, "reduced", cuts.save("reduced", reduced))
     looped = reduced.where(F.col("state") == _OPEN).select("node")
     segments = walked.join(looped, "node", "left_semi").select("node", "ptr", F.array_min("path").alias("low"))
@@ -108,8 +110,10 @@ def solve(spark: SparkSession, links: DataFrame, every: int = EVERY) -> DataFram
     lone = walked.where(F.col("state") == _OPEN).select("node")
     without = cycle_keys(cuts, "lone", inner.join(lone, "node", "left_semi").select("node", F.col("parent").alias("ptr"), F.col("node").alias("low")))
 
+    by_lone = reduced.where(F.col("state") == _LONE).select("node", "ptr").join(without.select(F.col("node").alias("ptr"), "cycle_key"), "ptr").select("node", "cycle_key")
+    keyed = by_splitter.unionByName(by_lone)
     over = reduced.where(F.col("state") == _ROOT).select(F.col("node").alias("ptr"), F.col("ptr").alias("top"), F.col("path").alias("rest"), F.col("length").alias("more"), F.lit(None).cast("string").alias("key"))
-    over = over.unionByName(by_splitter.select(F.col("node").alias("ptr"), F.lit(None).cast("string").alias("top"), F.lit(None).cast("array<string>").alias("rest"), F.lit(None).cast("double").alias("more"), F.col("cycle_key").alias("key")))
+    over = over.unionByName(keyed.select(F.col("node").alias("ptr"), F.lit(None).cast("string").alias("top"), F.lit(None).cast("array<string>").alias("rest"), F.lit(None).cast("double").alias("more"), F.col("cycle_key").alias("key")))
     via = lookup(walked.where(F.col("state") == _SPLITTER), over, "ptr", F.col("node"), n_rows=size).select(
         "node", F.concat("path", "rest").alias("way"), F.col("top").alias("root"), (F.col("length") + F.col("more")).alias("length"), F.col("key").alias("cycle_key")
     )

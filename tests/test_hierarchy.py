@@ -53,6 +53,18 @@ def test_a_long_chain_and_a_long_cycle(spark, every):
     assert got == brute(rows) and got["tail"] == ("loop", "z000") and len(got["c0299"][0]) == 299
 
 
+@pytest.mark.parametrize("every", [2, 3, 5])
+def test_splitters_on_the_tail_of_a_cycle_without_one(spark, every):
+    names = spark.range(400).select(F.concat(F.lit("k"), F.col("id")).alias("k")).select("k", (F.pmod(F.xxhash64("k"), F.lit(every)) == 0).alias("s"))
+    split = [r.k for r in names.where("s").orderBy("k").collect()]
+    plain = [r.k for r in names.where("not s").orderBy("k").collect()]
+    a, b, c, d, e, f, g = plain[:7]
+    p, q, r = split[:3]
+    rows = [(a, b, 1.0, 1), (b, c, 1.0, 1), (c, a, 1.0, 1), (d, b, 1.0, 1), (p, d, 1.0, 1), (e, p, 1.0, 1), (f, e, 1.0, 1), (q, f, 1.0, 1), (g, q, 1.0, 1), (r, q, 1.0, 1)]
+    got = result(solved(spark, rows, every))
+    assert got == brute(rows) and set(got.values()) == {("loop", min(a, b, c))} and len(got) == 10
+
+
 def test_report(spark):
     rows = [("b", "a", 1.0, 1), ("c", "b", 2.0, 1), ("d", "b", None, 1), ("x", "x", 1.0, 1)]
     ways = solved(spark, rows)
