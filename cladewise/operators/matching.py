@@ -1,7 +1,7 @@
 """Assignment of features to molecules: a maximum-weight bipartite matching.
 
-Small connected components are solved exactly, each in one task. A component with more than ``most_edges`` edges is solved by an auction
-in rounds of joins and aggregations; its total is at most ``epsilon`` per feature below the best.
+Small connected components are solved exactly, each in one task. Components with more than ``most_edges`` edges are solved by an auction
+in rounds of joins and aggregations, down to steps so small that the total is the largest to less than ``RESOLUTION``.
 """
 
 from __future__ import annotations
@@ -9,13 +9,17 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladewise.store import Cuts
 
 MOST_EDGES = 300_000
 EPSILON = 1e-3
+#: The unit of reported scores.
+RESOLUTION = 1e-6
+#: The factor between the steps of an auction.
+SHRINK = 8.0
 #: The headers, in any case and with blanks around, under which edge lists are accepted.
 ALIASES = {"feature": ("feat", "feature_id", "feature"), "molecule": ("mol", "molecule_id", "molecule", "compound"), "score": ("score", "probability", "prob", "p", "value")}
 
@@ -111,26 +115,66 @@ def solve_component(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["feature", "molecule", "score"])
 
 
+def doubled(edges: DataFrame) -> DataFrame:
+    """(person, object, weight): the edges and a mirrored copy of them, each node linked to its copy at weight 0.
+
+    Everyone can be matched there, and the best perfect matching has twice the total of the best matching of ``edges``, in which nodes may
+    stay free. So prices of an earlier phase stay valid starting prices.
+    """
+    f, m = F.concat(F.lit("f"), "feature"), F.concat(F.lit("m"), "molecule")
+    zero = F.lit(0.0).alias("weight")
+    there = edges.select(f.alias("person"), m.alias("object"), F.col("score").alias("weight"))
+    back = edges.select(m.alias("person"), f.alias("object"), F.col("score").alias("weight"))
+    own = edges.select(f.alias("person")).unionByName(edges.select(m.alias("person"))).distinct().select("person", F.col("person").alias("object"), zero)
+    return there.unionByName(back).unionByName(own)
+
+
+def _gains(links: DataFrame, owners: DataFrame) -> DataFrame:
+    return links.join(owners.select("object", "price"), "object").select("person", "object", "weight", (F.col("weight") - F.col("price")).alias("gain"))
+
+
 def auction(cuts: Cuts, edges: DataFrame, epsilon: float, most_rounds: int = 100_000) -> DataFrame:
-    """(feature, molecule, score) of matched features.
+    """(feature, molecule, score) of matched features, with the largest total to less than ``RESOLUTION``.
 
-    In a round every free feature bids for its best molecule by score less price, so much that the second best or staying free is
-    ``epsilon`` better off; a molecule goes to its highest bid, ties to the first name. Features without a gain stop.
+    In a round everyone free bids for the object of the best gain (weight less price), so much that the second best is the step better off; an
+    object goes to its highest bid, ties to the last name. When all have an object the step shrinks; those whose object is no longer
+    within the step of their best give it up, prices stay. The last step is at most ``epsilon`` and so small that the steps of all
+    together are half of RESOLUTION: where scores are multiples of it, the matching is a best one. At the end the total is compared with
+    its upper bound, the sum of prices and gains. Running out of rounds or missing the bound is an error.
     """
-    owners = cuts.save("owners", edges.select("molecule").limit(0).select("molecule", F.lit(None).cast("string").alias("feature"), F.lit(0.0).alias("price")))
-    for _ in range(most_rounds):
-        free = edges.join(owners.select("feature"), "feature", "left_anti").join(owners.select("molecule", "price"), "molecule", "left")
-        gain = F.col("score") - F.coalesce("price", F.lit(0.0))
-        top = free.select("feature", "molecule", F.coalesce("price", F.lit(0.0)).alias("price"), gain.alias("gain")).groupBy("feature").agg(
-            F.max(F.struct("gain", F.col("molecule").alias("molecule"), "price")).alias("best"), F.expr("array_sort(collect_list(gain))").alias("gains")
-        )
-        second = F.greatest(F.coalesce(F.try_element_at("gains", F.lit(-2)), F.lit(0.0)), F.lit(0.0))
-        bids = top.where("best.gain > 0").select("feature", "best.molecule", (F.col("best.price") + F.col("best.gain") - second + epsilon).alias("price"))
-        won = cuts.save("won", bids.groupBy("molecule").agg(F.max_by("feature", F.struct("price", "feature")).alias("feature"), F.max("price").alias("price")))
-        if not won.limit(1).count():
+    links = cuts.save("doubled", doubled(edges))
+    size, step = links.agg(F.count_distinct("person").alias("n"), F.max("weight").alias("top")).first()
+    last = min(epsilon, RESOLUTION / (2 * max(size, 1)))
+    owners = cuts.save("owners", links.select("object").distinct().select("object", F.lit(None).cast("string").alias("person"), F.lit(0.0).alias("price")))
+    step, n_owned, rounds = max(step or 0.0, last), 0, 0
+    by_gain = Window.partitionBy("person").orderBy(F.desc("gain"), "object")
+    while True:
+        while n_owned < size:
+            if rounds == most_rounds:
+                raise RuntimeError(f"the auction didn't end within {most_rounds} rounds")
+            rounds += 1
+            free = links.join(owners.where("person is not null").select("person"), "person", "left_anti")
+            # the limit to two rows a person is applied in the map tasks already
+            two = _gains(free, owners).withColumn("k", F.row_number().over(by_gain)).where("k <= 2")
+            bids = two.groupBy("person").agg(F.max_by("object", -F.col("k")).alias("object"), F.max_by("weight", -F.col("k")).alias("weight"), F.min("gain").alias("second"))
+            won = bids.groupBy("object").agg(F.max(F.struct((F.col("weight") - F.col("second") + step).alias("price"), "person")).alias("w"))
+            owners = cuts.save("owners", owners.join(won, "object", "left").select("object", F.coalesce("w.person", "person").alias("person"), F.coalesce("w.price", "price").alias("price")))
+            n_owned = owners.where("person is not null").count()
+        if step <= last:
             break
-        owners = cuts.save("owners", owners.join(won.select("molecule"), "molecule", "left_anti").unionByName(won))
-    return owners.join(edges, ["feature", "molecule"]).select("feature", "molecule", "score")
+        step = max(step / SHRINK, last)
+        most = _gains(links, owners).groupBy("person").agg(F.max("gain").alias("most"))
+        kept = owners.where("person is not null").join(links, ["person", "object"]).join(most, "person").where(F.col("weight") - F.col("price") >= F.col("most") - step)
+        owners = cuts.save("owners", owners.select("object", "price").join(kept.select("object", "person"), "object", "left").select("object", "person", "price"))
+        n_owned = owners.where("person is not null").count()
+    bound = owners.agg(F.sum("price")).first()[0] or 0.0
+    bound += _gains(links, owners).groupBy("person").agg(F.max("gain").alias("most")).agg(F.sum("most")).first()[0] or 0.0
+    pairs = owners.join(links, ["person", "object"])
+    total = pairs.agg(F.sum("weight")).first()[0] or 0.0
+    if not bound - total < RESOLUTION:
+        raise RuntimeError(f"the auction's total may be {bound - total} below the largest")
+    cut = pairs.where("person like 'f%' and object like 'm%'")
+    return cuts.save("auctioned", cut.select(F.substring("person", 2, 2**31 - 1).alias("feature"), F.substring("object", 2, 2**31 - 1).alias("molecule"), F.col("weight").alias("score")))
 
 
 def assign(edges: DataFrame, min_score: float = 0.0, most_edges: int = MOST_EDGES, epsilon: float = EPSILON) -> DataFrame:
@@ -174,8 +218,6 @@ def assignment_summary(result: DataFrame) -> DataFrame:
 
 def encoded(edges: DataFrame) -> DataFrame:
     """Edges with dense codes of their names in byte order: (row, col, score, feature, molecule)."""
-    from pyspark.sql import Window
-
     def codes(name: str, code: str) -> DataFrame:
         names = edges.select(name).distinct().withColumn("_p", F.substring(name, 1, 4))
         # codes inside of a prefix, and counts of the prefixes before: no window sees all names

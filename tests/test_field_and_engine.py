@@ -209,6 +209,20 @@ def test_matching_against_all_choices(spark, most):
     assert summary.n_assigned == len(taken) and summary.n_features == len(got)
 
 
+def test_both_ways_of_matching_give_the_largest_total(spark):
+    rng = np.random.default_rng(2)
+    edges = [(f"f{i}", f"m{j}", 0.5 + int(rng.integers(60)) * 1e-5) for i in range(5) for j in range(4) if rng.random() < 0.8]
+    df = spark.createDataFrame(edges, "feature string, molecule string, score double")
+    totals = [sum(r.Score for r in matching.assign(df, 0.3, most, 1e-3).collect()) for most in (1000, 0)]
+    assert totals == pytest.approx([best_total(edges)] * 2, abs=5e-7)
+
+
+def test_an_auction_that_runs_out_of_rounds_fails(spark):
+    edges = spark.createDataFrame([(f, "m", 1.0) for f in "abc"], "feature string, molecule string, score double")
+    with pytest.raises(RuntimeError):
+        matching.auction(matching.Cuts(spark, "test"), edges, 1e-3, 2)
+
+
 def test_edges_under_other_names(spark):
     df = spark.createDataFrame([("a", "x", "0.5"), ("a", "y", "oops"), ("b", None, "1"), ("b", "z", "-1"), ("b", "w", None)], "`Feat ` string, Compound string, Prob string")
     assert [tuple(r) for r in matching.read_edges(df).collect()] == [("a", "x", 0.5)]
