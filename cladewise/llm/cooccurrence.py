@@ -9,147 +9,122 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladewise.operators.skew import copied, hot_keys, share_of, sliced
 from cladewise.store import Cuts
 
-#: Hash buckets of items. An item's id is its bucket and its rank in the bucket; a Gram block is a run of buckets.
-BUCKETS = 4096
-#: Gram blocks on each side for heavy baskets.
-BLOCKS = 64
-#: Copies of the item table in the join, against items that are in a large share of all baskets.
-SALTS = 8
-#: Pending Gram entries of a task before they are summed and passed on.
-FLUSH = 2_000_000
+#: Items of a block, about; the product of two blocks is a dense table of counts in its task.
+TILE = 512
+#: Matrix entries of a block of records, about.
+ENTRIES = 250_000
+#: Pairs of a chunk of records that are multiplied sparsely at a time.
+CHUNK = 2_000_000
+#: Chunks whose product has one entry in so many of the dense one's are multiplied densely.
+DENSE = 64
+#: An item or basket with this share of the rows is spread over slices in the joins; 1,000 are at most.
+HOT = 0.001
 _GRAM = "a long, b long, n long"
 
 
-def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Equal coordinates of a sparse matrix added up."""
-    ids = np.unique(np.concatenate([a, b]))
-    key = np.searchsorted(ids, a) * len(ids) + np.searchsorted(ids, b)
-    keys, at, times = np.unique(key, return_inverse=True, return_counts=True)
-    n = times if n is None else np.bincount(at, weights=n).astype(np.int64)
-    return ids[keys // len(ids)], ids[keys % len(ids)], n
+def transposed_product(total: np.ndarray, left: np.ndarray, nl: np.ndarray, right: np.ndarray, nr: np.ndarray) -> None:
+    """Adds L'R to ``total`` for one block of records: L and R are binary, given as rows of column codes with their lengths.
 
-
-def _batch(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n)], ["a", "b", "n"])
-
-
-def sparse_gram(ids: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Coordinates a < b of the upper triangle of X'X for one record block X, given as rows of item ids.
-
-    The k-th superdiagonal of every row's outer product is taken at once; rows shorter than k leave the block.
+    Where the rows are full the blocks are made dense and multiplied; else only the ones meet. Both give the same counts.
+    """
+    ends = np.cumsum(nl.astype(np.int64) * nr)
+    first_l, first_r = np.cumsum(nl) - nl, np.cumsum(nr) - nr
+    at, width = 0, total.shape[1]
+    while at < len(nl):
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + CHUNK, "right")))
+        n, m = nl[at:stop].astype(np.int64), nr[at:stop].astype(np.int64)
+        whole = int(ends[stop - 1] - done)
+        own, other = left[first_l[at] : first_l[at] + n.sum()], right[first_r[at] : first_r[at] + m.sum()]
+        if whole * DENSE > (stop - at) * total.size:
+            x, y = (np.zeros((stop - at, w), np.float32) for w in total.shape)
+            x[np.repeat(np.arange(stop - at), n), own] = 1
+            y[np.repeat(np.arange(stop - at), m), other] = 1
+            total += (x.T @ y).astype(np.int64)
+        elif whole:
+            times = np.repeat(m, n)
+            starts = np.repeat(np.cumsum(m) - m, n)
+            inside = np.arange(whole) - np.repeat(np.cumsum(times) - times, times)
+            keys = np.repeat(own.astype(np.int64) * width, times) + other[np.repeat(starts, times) + inside]
+            total += np.bincount(keys, minlength=total.size).reshape(total.shape)
+        at = stop
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+
+
+def product_of_blocks(width: int):
+    """The function that sums the products of item blocks i and j over one block of records. It holds a table of ``width`` squared
+    counts and a batch of records at a time."""
+
+    def product(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, j = key[0].as_py(), key[1].as_py()
+        total = np.zeros((width, width), np.int64)
+        for batch in batches:
+            left, nl = _lists(batch.column(batch.schema.get_field_index("left")))
+            right, nr = (left, nl) if i == j else _lists(batch.column(batch.schema.get_field_index("right")))
+            transposed_product(total, left, nl, right, nr)
+        x, y = np.nonzero(np.triu(total, 1) if i == j else total)
+        cols = (x + (i << 32), y + (j << 32), total[x, y])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "n"])
+
+    return product
+
+
+def block_plan(octaves: dict[int, int], tile: int) -> dict[int, tuple[int, int]]:
+    """First block and number of blocks for items of each octave of counts, the commonest items first.
+
+    Octaves with few items share a block. As common items stand in the first blocks, most of a basket lies in few of them.
+    """
+    plan: dict[int, tuple[int, int]] = {}
+    base, held, size = 0, [], 0
+    for octave in sorted(octaves, reverse=True):
+        held.append(octave)
+        size += octaves[octave]
+        if size >= tile or octave == min(octaves):
+            n = -(-size // tile)
+            plan |= {o: (base, n) for o in held}
+            base, held, size = base + n, [], 0
+    return plan
+
+
+def item_table(cuts: Cuts, pairs: DataFrame, min_count: int, tile: int = TILE) -> DataFrame:
+    """Items in at least ``min_count`` baskets: (item, n, block, code). An item's code is its place in its block, by name.
+
+    The driver gets the number of items by octave of their counts, 64 numbers at most.
     """
-    rows = np.repeat(np.arange(len(lengths)), lengths)
-    order = np.lexsort((ids, rows))
-    ids, size = ids[order], np.repeat(lengths, lengths)
-    for k in range(1, int(lengths.max(initial=1))):
-        keep = size > k
-        if not keep.all():
-            ids, size, rows = ids[keep], size[keep], rows[keep]
-        same = rows[k:] == rows[:-k]
-        yield ids[:-k][same], ids[k:][same]
-
-
-def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial Gram entries of a task's record blocks. Memory is bounded by FLUSH and the longest light basket."""
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
-    for batch in batches:
-        lists = batch.column(0)
-        for a, b in sparse_gram(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())):
-            held.append((a, b, np.ones(len(a), np.int64)))
-            size += len(a)
-            if size >= FLUSH:
-                held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
-                size = len(held[0][0])
-                if size >= FLUSH // 2:
-                    yield _batch(*held[0])
-                    held, size = [], 0
-    if size:
-        yield _batch(*_summed(*map(np.concatenate, zip(*held, strict=True))))
-
-
-def _block_of(ids: np.ndarray) -> np.ndarray:
-    return (ids >> 32) // (BUCKETS // BLOCKS)
-
-
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each heavy basket as pairs of item blocks, I <= J."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            ids = np.sort(batch.column("ids")[row].values.to_numpy())
-            cuts = np.flatnonzero(np.diff(_block_of(ids))) + 1
-            parts = np.split(ids, cuts)
-            for i, left in enumerate(parts):
-                rest = parts[i:]
-                n = len(rest)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int(_block_of(left[:1])[0])] * n, pa.int32()),
-                        pa.array([int(_block_of(x[:1])[0]) for x in rest], pa.int32()),
-                        pa.array([batch.column("rb")[row].as_py()] * n, pa.int32()),
-                        pa.array([left] * n, pa.list_(pa.int64())),
-                        pa.array(rest, pa.list_(pa.int64())),
-                    ],
-                    ["i", "j", "rb", "left", "right"],
-                )
-
-
-def _dense(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Product of item blocks I and J over one block of heavy records, as matrix products in tiles."""
-    table = pa.Table.from_batches(list(batches))
-    tile, records = 2048, 1024
-
-    def coded(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        col = table.column(name).combine_chunks()
-        ids, code = np.unique(col.flatten().to_numpy(), return_inverse=True)
-        return ids, code, np.repeat(np.arange(len(col)), np.diff(col.offsets.to_numpy()))
-
-    (left, lc, lr), (right, rc, rr) = coded("left"), coded("right")
-
-    def block(code: np.ndarray, row: np.ndarray, at: int, r: int) -> np.ndarray:
-        x = np.zeros((records, tile), np.float32)
-        keep = (code >= at) & (code < at + tile) & (row >= r) & (row < r + records)
-        x[row[keep] - r, code[keep] - at] = 1
-        return x
-
-    for p in range(0, len(left), tile):
-        for q in range(0, len(right), tile):
-            total = np.zeros((tile, tile))
-            for r in range(0, table.num_rows, records):
-                total += block(lc, lr, p, r).T @ block(rc, rr, q, r)
-            x, y = np.nonzero(total)
-            a, b, n = left[x + p], right[y + q], total[x, y].astype(np.int64)
-            upper = a < b
-            if upper.any():
-                yield _batch(a[upper], b[upper], n[upper])
-
-
-def item_table(pairs: DataFrame, min_count: int) -> DataFrame:
-    """Items in at least ``min_count`` baskets: (item, n, id). Ids depend only on the items, so a lost task makes them again."""
-    bucket = F.pmod(F.xxhash64("item"), F.lit(BUCKETS))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("item"))
-    counted = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-    return counted.withColumn("bucket", bucket).select("item", "n", (F.shiftleft("bucket", 32) + rank).alias("id"))
-
-
-def gram(baskets: DataFrame, heavy: int = 4096, record_blocks: int = 64) -> DataFrame:
-    """X'X above its diagonal from (basket, ids): (a, b, n), n > 0.
-
-    Baskets of up to ``heavy`` items are multiplied as sparse record blocks inside the map tasks, and equal entries are
-    summed before the shuffle. Larger ones are cut into item blocks, and each pair of item blocks is multiplied densely
-    over a block of records, so no task holds all pairs of a large basket.
+    octave = F.floor(F.log2("n")).cast("int")
+    counted = cuts.save("counted", pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count))
+    octaves = {r.o: r.k for r in counted.groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    plan = block_plan(octaves, tile) if octaves else {0: (0, 1)}
+    base, many = (F.array(*(F.lit(plan.get(o, (0, 1))[k]) for o in range(64))) for k in (0, 1))
+    block = F.get(base, octave) + F.pmod(F.xxhash64("item"), F.get(many, octave)).cast("int")
+    code = F.row_number().over(Window.partitionBy("block").orderBy("item")) - 1
+    return cuts.save("items", counted.withColumn("block", block).withColumn("code", code.cast("short")))
+
+
+def gram(cuts: Cuts, entries: DataFrame, width: int, n_entries: int) -> DataFrame:
+    """X'X above its diagonal from the ones (basket, block, code) of X: (a, b, n), n > 0, with a, b = block * 2^32 + code.
+
+    Baskets are cut into item blocks, so no row is longer than a block. Blocks of one basket meet by a join on the basket, in
+    which baskets of many blocks are spread; pairs of blocks go to the task of (i, j, block of records), which adds up the
+    transposed products. There are as many blocks of records as keep a task's share near ``ENTRIES`` ones.
     """
-    size = F.size("ids")
-    light = baskets.where((size >= 2) & (size <= heavy)).select("ids").mapInArrow(_light, _GRAM)
-    rb = F.pmod(F.xxhash64("basket"), F.lit(record_blocks)).cast("int")
-    blocks = baskets.where(size > heavy).select("ids", rb.alias("rb")).mapInArrow(_split, "i int, j int, rb int, left array<long>, right array<long>")
-    dense = blocks.groupBy("i", "j", "rb").applyInArrow(_dense, _GRAM)
-    return light.unionByName(dense).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    parts = cuts.save("parts", entries.groupBy("basket", "block").agg(F.collect_list("code").alias("codes")))
+    rb = F.pmod(F.xxhash64("basket"), F.lit(max(1, -(-n_entries // ENTRIES)))).cast("int").alias("rb")
+    same = parts.select(F.col("block").alias("i"), F.col("block").alias("j"), rb, F.col("codes").alias("left"), F.array().cast("array<short>").alias("right"))
+    hot = hot_keys(parts, ["basket"])
+    first = sliced(parts, hot, ["basket"], F.col("block")).select("basket", "_slice", F.col("block").alias("i"), F.col("codes").alias("left"))
+    second = copied(parts, hot, ["basket"]).select("basket", "_slice", F.col("block").alias("j"), F.col("codes").alias("right"))
+    other = first.join(second, ["basket", "_slice"]).where("i < j").select("i", "j", rb, "left", "right")
+    return same.unionByName(other).groupBy("i", "j", "rb").applyInArrow(product_of_blocks(width), _GRAM).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def items_together(df: DataFrame, basket: Column, item: Column, min_count: int = 20, min_lift: float = 3.0, heavy: int = 4096) -> DataFrame:
+def items_together(df: DataFrame, basket: Column, item: Column, min_count: int = 20, min_lift: float = 3.0, tile: int = TILE) -> DataFrame:
     """Pairs of items that share baskets, against what chance would give.
 
     Returns (item_a, item_b, n_ab, n_a, n_b, n_baskets, expected, lift) with item_a < item_b by bytes, for all pairs in at
@@ -157,21 +132,22 @@ def items_together(df: DataFrame, basket: Column, item: Column, min_count: int =
     the row is repeated; rows where basket or item is null don't count. Empty input, or no such pair, gives no rows.
     Other columns of ``df`` have no influence.
 
-    An item in fewer baskets than ``min_count`` can't be in a pair, so only the rest enters the matrix; then one basket has
-    at most 1/min_count of its entries. What the driver gets is one number, N. The distinct pairs and the items are written to
-    the shared folder once, as both are read again.
+    An item in fewer baskets than ``min_count`` can't be in a pair, so only the rest enters the matrix, in blocks of about
+    ``tile`` items. The driver gets a few numbers. The distinct pairs, the items and the baskets' parts are written to the
+    shared folder once, as each is read again.
     """
     min_count = max(1, min_count)
     cuts = Cuts(df.sparkSession, "together")
     named = df.select(basket.cast("string").alias("basket"), item.cast("string").alias("item")).where("basket is not null and item is not null")
     pairs = cuts.save("pairs", named.distinct())
-    items = cuts.save("items", item_table(pairs, min_count))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    kept = pairs.withColumn("salt", F.pmod(F.xxhash64("basket"), F.lit(SALTS)).cast("int")).join(items.withColumn("salt", salts), ["item", "salt"])
-    counts = gram(kept.groupBy("basket").agg(F.collect_list("id").alias("ids")), heavy).where(F.col("n") >= min_count)
+    items = item_table(cuts, pairs, min_count, tile)
+    size = items.agg(F.coalesce(F.max("code") + 1, F.lit(1)).alias("width"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    hot = items.where(F.col("n") >= share_of(F.lit(size.n), HOT)).select("item")
+    kept = sliced(pairs, hot, ["item"], F.col("basket")).join(copied(items.select("item", "block", "code"), hot, ["item"]), ["item", "_slice"])
+    counts = gram(cuts, kept.select("basket", "block", "code"), size.width, size.n).where(F.col("n") >= min_count)
 
     def side(s: str) -> DataFrame:
-        return items.select(F.col("id").alias(s), F.col("item").alias(f"item_{s}"), F.col("n").alias(f"n_{s}"))
+        return items.select((F.shiftleft(F.col("block").cast("long"), 32) + F.col("code")).alias(s), F.col("item").alias(f"item_{s}"), F.col("n").alias(f"n_{s}"))
 
     total = pairs.agg(F.count_distinct("basket")).scalar()
     swap = F.col("item_a") > F.col("item_b")

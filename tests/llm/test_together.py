@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cladewise.llm.cooccurrence import items_together, sparse_gram
+from cladewise.llm import cooccurrence
+from cladewise.llm.cooccurrence import block_plan, items_together, transposed_product
 
 ROWS = "basket string, item string, n long, id long"
 
@@ -26,12 +27,13 @@ def brute(rows, least, lift):
     return {(a, b, k, n[a], n[b]) for (a, b), k in both.items() if k >= least and k * len(baskets) >= lift * n[a] * n[b]}
 
 
-@pytest.mark.parametrize(("least", "lift", "heavy"), [(2, 1.0, 4096), (3, 1.5, 4), (1, 0.0, 2), (4, 3.0, 6)])
-def test_against_brute_force(spark, least, lift, heavy):
+@pytest.mark.parametrize(("least", "lift", "tile"), [(2, 1.0, 512), (3, 1.5, 4), (1, 0.0, 2), (4, 3.0, 6)])
+def test_against_brute_force(spark, monkeypatch, least, lift, tile):
+    monkeypatch.setattr(cooccurrence, "ENTRIES", 50 * tile)
     rnd = random.Random(least)
     rows = [(f"b{rnd.randrange(40)}", f"i{int(rnd.paretovariate(0.6)) % 25}") for _ in range(700)] + [(None, "i1"), ("b1", None), ("b1", "i1"), ("b1", "i1")]
     rows += [("huge", f"i{k}") for k in range(25)]
-    got = pairs(spark, rows, min_count=least, min_lift=lift, heavy=heavy)
+    got = pairs(spark, rows, min_count=least, min_lift=lift, tile=tile)
     assert {(r.item_a, r.item_b, r.n_ab, r.n_a, r.n_b) for r in got.collect()} == brute(rows, least, lift)
 
 
@@ -46,11 +48,18 @@ def test_empty(spark):
     assert pairs(spark, [("a", "x")]).count() == 0
 
 
-def test_sparse_gram_equals_the_dense_product():
+@pytest.mark.parametrize(("chunk", "dense"), [(7, 64), (10_000, 10**9), (10_000, 0), (7, 0)])
+def test_sparse_and_dense_products_are_equal(monkeypatch, chunk, dense):
+    monkeypatch.setattr(cooccurrence, "CHUNK", chunk)
+    monkeypatch.setattr(cooccurrence, "DENSE", dense)
     rng = np.random.default_rng(1)
-    x = rng.random((30, 12)) < 0.3
-    ids, lengths = np.concatenate([np.flatnonzero(r)[::-1] for r in x]), x.sum(1)
-    total = np.zeros((12, 12), int)
-    for a, b in sparse_gram(ids, lengths):
-        np.add.at(total, (a, b), 1)
-    assert (total == np.triu(x.astype(int).T @ x.astype(int), 1)).all()
+    x, y = rng.random((30, 12)) < 0.3, rng.random((30, 12)) < 0.2
+    total = np.zeros((12, 12), np.int64)
+    for _ in range(2):
+        transposed_product(total, *(v for m in (x, y) for v in (np.concatenate([np.flatnonzero(r) for r in m]).astype(np.int16), m.sum(1))))
+    assert (total == 2 * x.astype(int).T @ y.astype(int)).all()
+
+
+def test_blocks_hold_all_octaves():
+    plan = block_plan({12: 1, 11: 2, 9: 10, 5: 1000, 4: 3}, 8)
+    assert plan == {12: (0, 2), 11: (0, 2), 9: (0, 2), 5: (2, 125), 4: (127, 1)}

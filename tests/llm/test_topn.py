@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cladewise.llm.topn import _bin, large_groups, thresholds, top_items
+from cladewise.llm.topn import _bin, thresholds, top_items
 
 EDGES = "g string, item string, score double, slice long"
 
@@ -26,16 +26,18 @@ def test_large_and_small_groups_with_ties(spark):
     rows += [(f"g{rnd.randrange(60)}", f"m{rnd.randrange(30)}", rnd.choice([0.1, 0.2, rnd.random(), *odd]), 1) for _ in range(800)]
     rows += [(None, "m1", 0.5, 1), ("g1", None, 0.5, 1), ("tied", "b", 1.0, 1), ("tied", "a", 1.0, 1), ("tied", "a", 1.0, 1)] + [("same", f"m{k:04}", 0.25, 1) for k in range(1500)]
     df = spark.createDataFrame(rows, EDGES)
-    for large in (100, 10_000):
+    for large in (0, 100, 10_000):
         got = {tuple(r) for r in top_items(df, "g", "item", "score", 5, large).collect()}
         assert got == brute(rows, 5)
 
 
-def test_threshold_keeps_enough(spark):
-    rows = [("hot", f"m{k % 50}", 1 + k / 7, 1) for k in range(1000)]
-    df = spark.createDataFrame(rows, EDGES)
-    least = thresholds(df, large_groups(df, 10), 5).first().least
-    assert df.where(_bin(F.col("score")) >= least).select("item").distinct().count() >= 5
+def test_thresholds_are_safe_and_only_for_large_groups(spark):
+    rows = [("hot", f"m{k:03}", 1 + k / 7) for k in range(100)] + [("cold", f"m{k:03}", 1.0) for k in range(20)]
+    df = spark.createDataFrame(rows, "g string, item string, score double")
+    (r,) = thresholds(df, 5, 20).collect()
+    kept = df.where((F.col("g") == "hot") & (_bin(F.col("score")) >= r.least)).count()
+    assert r.g == "hot" and 5 <= kept < 10
+    assert thresholds(df, 200, 20).count() == 0
 
 
 def test_empty(spark):
