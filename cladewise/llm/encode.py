@@ -13,11 +13,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladewise.store import Cuts
+
 #: The folder of the public vocabularies; every executor needs it.
 TOKENIZERS = os.environ.get("CLADEWISE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k"
 #: Characters of a piece; longer texts are encoded in pieces by different tasks and joined.
-PIECE = 32_768
+PIECE = 4_096
+#: Neighbouring stretches that one task joins in a round; a text of n pieces takes log(n) / log(FAN) rounds.
+FAN = 16
 #: Tokens on each side of a join that are encoded again at first.
 WINDOW = 16
 
@@ -124,14 +128,16 @@ def _ids(lists: list[list[int]]) -> pa.Array:
     return pa.array(lists, pa.list_(pa.int32()))
 
 
-def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str | None = None, piece: int = PIECE, window: int = WINDOW) -> DataFrame:
+def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str | None = None, piece: int = PIECE, window: int = WINDOW, fan: int = FAN) -> DataFrame:
     """(key, ids): one row per row of ``df`` with the token ids of its text.
 
     Null and empty texts give an empty list, a null key stays null, blank texts are encoded as they are. Repeated rows all
     come out. Other columns don't matter. Strings of special tokens are ordinary text.
 
     Texts of up to ``piece`` characters are encoded where they are read, without a shuffle. Longer ones are cut into halves
-    down to that size, the pieces are encoded by as many tasks, and a tree of joins encodes growing windows again.
+    down to that size where they are read; pieces are spread over all tasks, repeated ones are encoded once, and in rounds up to
+    ``fan`` neighbouring stretches of a text are joined by encoding growing windows again. No task joins more of a text in a
+    round; the driver gets one number, the pieces of the longest text.
     """
     path = vocabulary or vocabulary_path()
     kind = df.schema[key].dataType.simpleString()
@@ -144,31 +150,40 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str | None = N
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                parts = halves(r["text"], piece)
+            for at, (name, t) in enumerate(zip(b.column("sum").to_pylist(), b.column("text").to_pylist(), strict=True)):
+                parts = halves(t, piece)
                 n = len(parts)
-                for at in range(0, n, 64):
-                    some = parts[at : at + 64]
-                    cols = [pa.array([r["row"]] * len(some)), pa.array(range(at, at + len(some)), pa.int32()), pa.array(some)]
-                    yield pa.RecordBatch.from_arrays(cols, ["row", "k", "text"])
+                key_of = b.column("key").slice(at, 1)
+                for first in range(0, n, 64):
+                    some = parts[first : first + 64]
+                    cols = [pa.concat_arrays([key_of] * len(some)), pa.array([name] * len(some)), pa.array(range(first, first + len(some)), pa.int32()), pa.array([n] * len(some), pa.int32()), pa.array(some)]
+                    yield pa.RecordBatch.from_arrays(cols, ["key", "sum", "k", "n", "text"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("k"), _ids([enc.encode(t) for t in b.column("text").to_pylist()])], ["row", "k", "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _ids([enc.encode(t) for t in b.column(b.num_columns - 1).to_pylist()])], [*b.schema.names[:-1], "ids"])
 
-    def tree(table: pa.Table) -> pa.Table:
-        parts = table.sort_by("k")
-        return pa.table({"row": [parts["row"][0].as_py()], "ids": _ids([encoder(path).joined(parts["ids"].to_pylist(), window)])})
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], _ids([enc.joined(x, window) for x in b.column(b.num_columns - 1).to_pylist()])], [*b.schema.names[:-1], "ids"])
 
     length = F.coalesce(F.length("text"), F.lit(0))
     short = rows.where(length <= piece).mapInArrow(whole, f"key {kind}, ids array<int>")
-    long = rows.where(length > piece).groupBy("key", "text").agg(F.count(F.lit(1)).alias("n"))
-    long = long.withColumn("row", F.concat_ws(" ", F.sha2("text", 256), F.col("key").cast("string")))
-    cuts = long.select("row", "text").mapInArrow(cut, "row string, k int, text string").repartition("row", "k")
-    done = cuts.mapInArrow(pieces, "row string, k int, ids array<int>").groupBy("row").applyInArrow(tree, "row string, ids array<int>")
-    again = long.select("row", "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
-    return short.unionByName(again.join(done, "row").select("key", "ids")).withColumnRenamed("key", key)
+    long = rows.where(length > piece).select("key", F.sha2("text", 256).alias("sum"), "text")
+    cols = ["key", "sum", "k", "n"]
+    cuts = long.mapInArrow(cut, f"key {kind}, sum string, k int, n int, text string").groupBy(*cols).agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+    saved = Cuts(df.sparkSession, "encode").save("pieces", cuts.mapInArrow(pieces, f"key {kind}, sum string, k int, n int, copies long, ids array<int>"))
+    most = saved.agg(F.max("n")).first()[0] or 0
+    done = saved
+    while most > 1:
+        near = done.withColumn("at", F.floor(F.col("k") / fan).cast("int")).groupBy("key", "sum", "at", "n", "copies").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("x"))
+        rows_of = near.select("key", "sum", F.col("at").alias("k"), "n", "copies", F.col("x.ids").alias("ids"))
+        done = rows_of.mapInArrow(join, f"key {kind}, sum string, k int, n int, copies long, ids array<int>")
+        most = -(-most // fan)
+    again = done.select("key", "ids", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("key", "ids")
+    return short.unionByName(again).withColumnRenamed("key", key)
 
 
 def token_counts(batches: Iterator[pa.RecordBatch], path: str, piece: int = PIECE) -> Iterator[pa.RecordBatch]:

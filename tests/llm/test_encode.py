@@ -39,12 +39,13 @@ def test_equals_the_other_library(reference):
         assert ENC.encode(text) == reference(text)
 
 
-def test_corpus(spark, reference):
+@pytest.mark.parametrize("fan", [2, 16])
+def test_corpus(spark, reference, fan):
     rnd = random.Random(4)
     long = ["".join(rnd.choice("ACGT") for _ in range(3000)), "word " * 700, "漢字" * 900, " " * 2500, "a1b2" * 800]
     texts = [None, "", "  \n", "<|endoftext|> here", "short text", *long, long[0]]
     rows = [(k, t, "x") for k, t in enumerate(texts)] + [(4, "short text", "x"), (5, long[0], "x"), (None, "no key", "x")]
-    got = encode_corpus(spark.createDataFrame(rows, "doc_id long, text string, ids string"), "doc_id", "text", piece=256).collect()
+    got = encode_corpus(spark.createDataFrame(rows, "doc_id long, text string, ids string"), "doc_id", "text", piece=256, fan=fan).collect()
     assert sorted(((r.doc_id, r.ids) for r in got), key=repr) == sorted(((k, reference(t or "")) for k, t, _ in rows), key=repr)
 
 
