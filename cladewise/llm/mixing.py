@@ -48,40 +48,58 @@ def goals(sizes: dict[str, float], targets: dict[str, tuple[float, int]], total:
     return {s: float(min(cap, total * share / whole)) for s, (share, cap) in usable.items()}
 
 
-def balance(spark: SparkSession, sizes: DataFrame, goal: dict[str, float], cap: dict[str, int]) -> dict[str, tuple[float, float, float]]:
-    """Parameters (mu, lambda, mean size) by source: a document of n tokens is taken at rate exp(mu + lambda * (n / mean - 1)).
-
-    Of all rates these have the least divergence from taking each token once, given two constraints per source: its tokens,
-    and its mean document size weighted by tokens, so that a source is thinned or repeated without favouring short or long
-    documents. The convex dual is solved by Newton steps of at most 1 in mu; each step sums gradient and Hessian of all
-    sources over ``sizes`` (source, n_tokens, n), the exact numbers of documents by size, and the driver gets a row per source.
-    Sources that must be repeated to the limit need no steps: every document has the largest rate.
+def balance(spark: SparkSession, sizes: DataFrame, goal: dict[str, float], cap: dict[str, int]) -> dict[str, tuple[float, float]]:
+    """Parameters (lambda, mean size) by source: a document of n tokens is taken at rate min(cap, exp(lambda * n / mean)).
+
+    Of all rates up to the caps whose tokens sum to each source's goal these have the least divergence from taking each
+    document once; lambda is the multiplier of the source's token constraint. So a source that must shrink gives up long
+    documents first, one that must grow repeats them first: the tokens move with the fewest changes to documents.
+
+    The dual of all sources together is concave and separates by lambda. Each step sums tokens and their slope of all open
+    sources over ``sizes`` (source, n_tokens, n), the exact numbers of documents by size, and takes Newton's step on the
+    logarithm of the tokens; where it leaves what is known to hold the solution, it halves that instead. The driver gets a row
+    per source and step. Sources that must be repeated to the limit need no step: lambda is infinite. Sources that are still
+    open after ``ITERATIONS`` steps are an error.
     """
     mass = F.col("n") * F.col("n_tokens")
-    base = {r.source: r for r in sizes.where("n_tokens > 0").groupBy("source").agg(F.sum(mass).alias("t"), F.sum("n").alias("n"), F.sum(mass * F.col("n_tokens")).alias("t2")).collect()}
-    full = {s for s in goal if goal[s] >= cap[s] * base[s].t * (1 - 1e-12)}
-    state = {s: [math.log(cap[s]) if s in full else 0.0, 0.0, base[s].t / base[s].n] for s in goal}
-    spread = {s: base[s].t2 / (state[s][2] * base[s].t) - 1 for s in goal}
-    open_ = {s for s in goal if s not in full and goal[s] > 0}
+    base = {r.source: r for r in sizes.where("n_tokens > 0").groupBy("source").agg(F.sum(mass).alias("t"), F.sum("n").alias("n")).collect()}
+    wanted = [s for s in sorted(goal) if goal[s] > 0]
+    full = {s for s in wanted if goal[s] >= cap[s] * base[s].t * (1 - TOLERANCE)}
+    lam = {s: math.inf if s in full else 0.0 for s in wanted}
+    low, high = dict.fromkeys(wanted, -math.inf), dict.fromkeys(wanted, math.inf)
+    open_ = [s for s in wanted if s not in full]
     for _ in range(ITERATIONS):
         if not open_:
             break
-        params = spark.createDataFrame([(s, *state[s]) for s in sorted(open_)], "source string, mu double, lam double, mean double")
-        z = F.col("n_tokens") / F.col("mean") - 1
-        rows = sizes.where("n_tokens > 0").join(F.broadcast(params), "source").select("source", z.alias("z"), (mass * F.exp(F.col("mu") + F.col("lam") * z)).alias("w"))
-        sums = rows.groupBy("source").agg(F.sum("w").alias("a"), F.sum(F.col("w") * F.col("z")).alias("b"), F.sum(F.col("w") * F.col("z") * F.col("z")).alias("c")).collect()
-        for r in sums:
-            s = r.source
-            g0, g1 = r.a - goal[s], r.b - goal[s] * spread[s]
-            if max(abs(g0), abs(g1)) <= TOLERANCE * goal[s]:
-                open_.discard(s)
+        params = spark.createDataFrame([(s, lam[s], base[s].t / base[s].n, float(cap[s])) for s in open_], "source string, lam double, mean double, cap double")
+        z = F.col("n_tokens") / F.col("mean")
+        rate = F.exp(F.col("lam") * z)
+        rows = sizes.where("n_tokens > 0").join(F.broadcast(params), "source").select("source", "cap", z.alias("z"), rate.alias("rate"), mass.alias("mass"))
+        tokens, slope = F.sum(F.col("mass") * F.least("cap", "rate")), F.sum(F.when(F.col("rate") < F.col("cap"), F.col("mass") * F.col("rate") * F.col("z")).otherwise(0.0))
+        sums = {r.source: r for r in rows.groupBy("source").agg(tokens.alias("tokens"), slope.alias("slope")).collect()}
+        still = []
+        for s in open_:
+            now, r = lam[s], sums[s]
+            if abs(r.tokens - goal[s]) <= TOLERANCE * goal[s]:
                 continue
-            det = r.a * r.c - r.b * r.b
-            d0, d1 = ((r.c * g0 - r.b * g1) / det, (r.a * g1 - r.b * g0) / det) if det > 1e-9 * r.a * r.a else (g0 / r.a, 0.0)
-            damp = 1 / max(1.0, abs(d0), abs(d1))
-            state[s][0] -= damp * d0
-            state[s][1] -= damp * d1
-    return {s: (mu, lam, mean) for s, (mu, lam, mean) in state.items() if goal[s] > 0}
+            still.append(s)
+            if r.tokens > goal[s]:
+                high[s] = now
+            else:
+                low[s] = now
+            new = now - math.log(r.tokens / goal[s]) * r.tokens / r.slope if r.tokens > 0 and r.slope > 0 else math.nan
+            if not low[s] < new < high[s]:
+                new = (low[s] + high[s]) / 2 if math.isfinite(low[s] + high[s]) else now + (1 if math.isinf(high[s]) else -1) * max(1.0, abs(now))
+            lam[s] = new
+        open_ = still
+    if open_:
+        raise RuntimeError(f"no rates found for {', '.join(open_[:5])}")
+    return {s: (lam[s], base[s].t / base[s].n) for s in wanted}
+
+
+def rate_of(size: Column, lam: Column, mean: Column, most: Column) -> Column:
+    """The rate of a document; an infinite lambda means the largest."""
+    return F.when(lam == float("inf"), most.cast("double")).otherwise(F.least(most.cast("double"), F.exp(lam * size / mean)))
 
 
 def rounded(docs: DataFrame, rates: DataFrame) -> DataFrame:
@@ -91,8 +109,7 @@ def rounded(docs: DataFrame, rates: DataFrame) -> DataFrame:
     many copies as whole numbers are passed, so sums of copies and rates differ by less than one in every stretch. Bands
     and slots are cells whose sums are added up first; a window sees one cell, never a whole source.
     """
-    z = F.col("n_tokens") / F.col("mean") - 1
-    rate = F.least(F.col("most").cast("double"), F.exp(F.col("mu") + F.col("lam") * z))
+    rate = rate_of(F.col("n_tokens"), F.col("lam"), F.col("mean"), F.col("most"))
     cell = ["source", "band", "slot"]
     rows = docs.where("n_tokens > 0").join(F.broadcast(rates), "source").select(
         "key", "source", "n_tokens", "most", rate.alias("rate"), F.floor(F.log2("n_tokens") * BANDS).cast("int").alias("band"), F.pmod(F.xxhash64("key"), F.lit(SLOTS)).cast("int").alias("slot")
@@ -133,8 +150,8 @@ def mix_sources(df: DataFrame, key: str, text: str, source: Column, targets: Dat
     """A mix in which each source holds its share of the tokens: (documents, report).
 
     Documents: (key, source, n_tokens, copies), copies >= 1 and <= the source's ``max_repeat``. Report, a row per target:
-    (source, target_share, max_repeat, source_documents, source_tokens, goal_tokens, mix_documents, mix_copies, mix_tokens,
-    mix_share). Shares of sources without tokens are spread over the others in proportion; their rows report 0. Documents
+    (source, target_share, max_repeat, source_documents, source_tokens, goal_tokens, goal_share, mix_documents, mix_copies,
+    mix_tokens, mix_share). Shares of sources without tokens are spread over the others in proportion; their rows report 0. Documents
     without a key, without a source, of a source without a target, or without tokens (null and empty texts) are left out.
     Rows that repeat a key with the same source and number of tokens are one document. Empty tables give no documents.
 
@@ -158,7 +175,7 @@ def mix_sources(df: DataFrame, key: str, text: str, source: Column, targets: Dat
     have = {r.source: r.t for r in sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("t")).collect()}
     goal = goals(have, wanted, total)
     found = balance(spark, sizes, goal, {s: most for s, (_, most) in wanted.items()})
-    rates = spark.createDataFrame([(s, *found[s]) for s in sorted(found)], "source string, mu double, lam double, mean double")
+    rates = spark.createDataFrame([(s, *found[s]) for s in sorted(found)], "source string, lam double, mean double")
     mix = repaired(cuts, cuts.save("rounded", rounded(docs, rates)), goal)
     taken = mix.where("copies > 0")
     all_tokens = taken.agg(F.coalesce(F.sum(F.col("n_tokens") * F.col("copies")), F.lit(0))).scalar()
@@ -168,5 +185,7 @@ def mix_sources(df: DataFrame, key: str, text: str, source: Column, targets: Dat
     counts = ["source_documents", "source_tokens", "mix_documents", "mix_copies", "mix_tokens"]
     joined = listed.join(F.broadcast(given), "source", "left").join(F.broadcast(used), "source", "left").fillna(0, counts)
     share = F.when(all_tokens > 0, F.col("mix_tokens") / all_tokens).otherwise(0.0)
-    report = joined.select("source", "target_share", "max_repeat", "source_documents", "source_tokens", "goal_tokens", "mix_documents", "mix_copies", "mix_tokens", share.alias("mix_share"))
+    all_goals = sum(goal.values())
+    goal_share = F.col("goal_tokens") / all_goals if all_goals else F.lit(0.0)
+    report = joined.select("source", "target_share", "max_repeat", "source_documents", "source_tokens", "goal_tokens", goal_share.alias("goal_share"), "mix_documents", "mix_copies", "mix_tokens", share.alias("mix_share"))
     return taken.select(F.col("key").alias(key), "source", "n_tokens", "copies"), report

@@ -56,6 +56,11 @@ def p7_report(spark: SparkSession, where: str) -> DataFrame:
     return _mix(spark, where)[1]
 
 
+def p7_targets(spark: SparkSession, where: str) -> DataFrame:
+    """What the mix aims at, as far as SQL can count it: a source's documents, and its share among the sources that have text."""
+    return p7_report(spark, where).select("source", "target_share", "max_repeat", "source_documents", F.round("goal_share", 9).alias("goal_share"))
+
+
 def p8_pages(spark: SparkSession, where: str) -> DataFrame:
     """Stuffed pages with the share of their characters that is stuffed, and their mean PMI."""
     return stuffed_pages(_read(spark, where, "documents"), "doc_id", "text", _read(spark, where, "doc_labels"))
@@ -76,6 +81,13 @@ p AS (SELECT x.m AS molecule_a, y.m AS molecule_b, count(*) AS n_ab, min(x.n) AS
 SELECT molecule_a, molecule_b, n_ab, n_a, n_b, round(n_ab / (CAST(n_a AS DOUBLE) * n_b / t), 6) AS lift
 FROM p, total WHERE CAST(n_ab AS HUGEINT) * t >= 3 * CAST(n_a AS HUGEINT) * n_b
 """
+_TARGETS = f"""
+WITH w AS (SELECT source, max((target_share, greatest(coalesce(max_repeat, 0), 0))) AS x FROM (SELECT {spelled_sql('source')} AS source, target_share, max_repeat FROM mix_targets)
+           WHERE source IS NOT NULL AND target_share > 0 AND isfinite(target_share) GROUP BY source),
+d AS (SELECT {spelled_sql('source')} AS source, count(DISTINCT doc_id) AS n, count(CASE WHEN text <> '' THEN 1 END) AS filled FROM documents GROUP BY 1),
+j AS (SELECT w.source, x[1] AS target_share, CAST(x[2] AS INT) AS max_repeat, coalesce(n, 0) AS source_documents, coalesce(filled, 0) > 0 AND x[2] > 0 AS usable FROM w LEFT JOIN d ON d.source = w.source)
+SELECT source, target_share, max_repeat, source_documents, round(CASE WHEN usable THEN target_share / (SELECT sum(target_share) FROM j WHERE usable) ELSE 0 END, 9) AS goal_share FROM j
+"""
 _TOP = """
 WITH r AS (SELECT feature, molecule, max(score) AS score FROM edges
            WHERE feature IS NOT NULL AND molecule IS NOT NULL AND score > 0 AND isfinite(score) GROUP BY 1, 2),
@@ -93,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_ids": p6_ids,
         "p7_mix": p7_mix,
         "p7_report": p7_report,
+        "p7_targets": p7_targets,
         "p8_found": p8_found,
         "p8_pages": p8_pages,
     }
@@ -104,4 +117,5 @@ def oracle_sql() -> dict[str, str]:
         "p1_pairs": _PAIRS,
         "p3_found": f"SELECT feature, molecule FROM ({_TOP})",
         "p3_top5": _TOP,
+        "p7_targets": _TARGETS,
     }

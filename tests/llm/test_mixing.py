@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from cladewise.llm import mixing
 from cladewise.llm.encode import encoder, vocabulary_path
 from cladewise.llm.mixing import balance, goals, mix_sources, read_targets
 
@@ -38,9 +39,10 @@ def test_shares_and_repeats(spark):
         assert abs(report[s].mix_share - share / 0.95) < 1.5 * 24 / total + 1e-9
         assert report[s].mix_tokens == sum(r.n_tokens * r.copies for r in taken if r.source == s)
     assert report["nowhere"].mix_tokens == 0 and sum(r.mix_share for r in report.values()) == pytest.approx(1)
+    sizes = lambda source: [(r.n_tokens, r.copies) for r in taken if r.source == source]
     mean = lambda rows: sum(n * w for n, w in rows) / sum(w for _, w in rows)
-    all_a = [(len(enc.encode(d[1])), 1) for d in docs if d[2] == "a" and d[1]]
-    assert mean([(r.n_tokens, r.copies) for r in taken if r.source == "a"]) == pytest.approx(mean(all_a), rel=0.1)
+    # c must shrink and gives up long documents first
+    assert mean(sizes("c")) < 0.9 * mean([(len(enc.encode(d[1])), 1) for d in docs if d[2] == "c"])
 
 
 def test_repeated_rows_are_one_document(spark):
@@ -64,12 +66,38 @@ def test_goals():
     assert goals({}, {"a": (1.0, 1)}) == {}
 
 
-def test_newton_finds_the_rates(spark):
-    sizes = spark.createDataFrame([("a", n, 5) for n in range(1, 40)] + [("b", 7, 10)], "source string, n_tokens long, n long")
-    have = 5 * sum(range(1, 40))
-    got = balance(spark, sizes, {"a": 0.02 * have, "b": 0.5 * 70}, {"a": 1, "b": 3})
-    assert got["a"][0] == pytest.approx(math.log(0.02), abs=1e-6) and got["a"][1] == pytest.approx(0, abs=1e-6)
-    assert got["b"][0] == pytest.approx(math.log(0.5), abs=1e-6)
+def exact(sizes, goal, cap):
+    """The multiplier by halving, from the same optimality condition."""
+    mean = sum(n * k for n, k in sizes) / sum(k for _, k in sizes)
+    low, high = -1e4, 1e4
+    for _ in range(200):
+        x = (low + high) / 2
+        tokens = sum(n * k * min(cap, math.exp(min(700, x * n / mean))) for n, k in sizes)
+        low, high = (x, high) if tokens < goal else (low, x)
+    return low
+
+
+@pytest.mark.parametrize(("share", "cap"), [(0.02, 1), (1e-6, 1), (1.7, 2), (2.9, 3), (0.5, 4), (1.0, 1)])
+def test_the_dual_has_the_exact_optimum_with_caps(spark, share, cap):
+    a = [(n, 5) for n in range(1, 40)] + [(3000, 1)]
+    b = [(7, 10)]
+    sizes = spark.createDataFrame([("a", *x) for x in a] + [("b", *x) for x in b], "source string, n_tokens long, n long")
+    have = sum(n * k for n, k in a)
+    got = balance(spark, sizes, {"a": share * have, "b": 0.5 * 70}, {"a": cap, "b": 3})
+    assert got["b"][0] == pytest.approx(math.log(0.5), abs=1e-8)
+    if share == cap:
+        assert got["a"][0] == math.inf
+        return
+    assert got["a"][0] == pytest.approx(exact(a, share * have, cap), rel=1e-5) and abs(got["a"][0]) > 1e-3
+    if share > 1:
+        assert math.exp(min(700, got["a"][0] * 3000 / got["a"][1])) > cap  # the cap binds
+
+
+def test_no_rates_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ITERATIONS", 1)
+    sizes = spark.createDataFrame([("a", n, 5) for n in range(1, 40)], "source string, n_tokens long, n long")
+    with pytest.raises(RuntimeError):
+        balance(spark, sizes, {"a": 17.0}, {"a": 1})
 
 
 def test_targets(spark):
