@@ -11,8 +11,9 @@ from cladewise.functions.names import spelled, spelled_sql
 from cladewise.llm.cooccurrence import items_together
 from cladewise.llm.encode import encode_corpus
 from cladewise.llm.mixing import mix_sources
-from cladewise.llm.spam import stuffed_pages
+from cladewise.llm.spam import chunk_pairs, corpus_chunks, pair_information, stuffed_pages
 from cladewise.llm.topn import top_items
+from cladewise.store import Cuts
 
 
 def _read(spark: SparkSession, where: str, table: str) -> DataFrame:
@@ -66,6 +67,13 @@ def p8_pages(spark: SparkSession, where: str) -> DataFrame:
     return stuffed_pages(_read(spark, where, "documents"), "doc_id", "text", _read(spark, where, "doc_labels"))
 
 
+def p8_information(spark: SparkSession, where: str) -> DataFrame:
+    """The corpus' pairs of neighbouring words as problem 8 counts them: how many have which counts and which information."""
+    cuts = Cuts(spark, "information")
+    info = pair_information(cuts, chunk_pairs(corpus_chunks(cuts, _read(spark, where, "documents"), "doc_id", "text")))
+    return info.groupBy("n", "n_a", "n_b").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.max(F.col("pmi").cast("double")), 3).alias("pmi"))
+
+
 def p8_found(spark: SparkSession, where: str) -> DataFrame:
     return p8_pages(spark, where).select("doc_id")
 
@@ -88,6 +96,17 @@ d AS (SELECT {spelled_sql('source')} AS source, count(DISTINCT doc_id) AS n, cou
 j AS (SELECT w.source, x[1] AS target_share, CAST(x[2] AS INT) AS max_repeat, coalesce(n, 0) AS source_documents, coalesce(filled, 0) > 0 AND x[2] > 0 AS usable FROM w LEFT JOIN d ON d.source = w.source)
 SELECT source, target_share, max_repeat, source_documents, round(CASE WHEN usable THEN target_share / (SELECT sum(target_share) FROM j WHERE usable) ELSE 0 END, 9) AS goal_share FROM j
 """
+# SQL's white space has ASCII only, so the pattern names all of it
+_MARK = r"[^\p{L}\p{N}\p{M}\p{Z}\t\n\v\f\r\x1c-\x1f\x85]"
+_WORDS = r"[\p{Han}\p{Hiragana}\p{Katakana}ー]|[\p{L}\p{M}]+(?:[''’][\p{L}]+)*|\p{N}+|" + _MARK
+_INFORMATION = f"""
+WITH w AS (SELECT row_number() OVER () AS d, regexp_extract_all(lower(text), '{_WORDS}') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+t AS (SELECT d, i, CASE WHEN regexp_matches(w[i], '^\\p{{N}}') THEN '0' ELSE w[i] END AS w FROM w, unnest(generate_series(1, len(w))) AS g(i)),
+p AS (SELECT w AS a, lead(w) OVER (PARTITION BY d ORDER BY i) AS b FROM t),
+c AS (SELECT a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT *, CAST(sum(n) OVER (PARTITION BY a) AS BIGINT) AS n_a, CAST(sum(n) OVER (PARTITION BY b) AS BIGINT) AS n_b, sum(n) OVER () AS t FROM c)
+SELECT n, n_a, n_b, count(*) AS pairs, round(max(CAST(ln(CAST(n AS DOUBLE) * t / (CAST(n_a AS DOUBLE) * n_b)) * n / (n + 1) AS FLOAT))::DOUBLE, 3) AS pmi FROM m WHERE n >= 2 GROUP BY 1, 2, 3
+"""
 _TOP = """
 WITH r AS (SELECT feature, molecule, max(score) AS score FROM edges
            WHERE feature IS NOT NULL AND molecule IS NOT NULL AND score > 0 AND isfinite(score) GROUP BY 1, 2),
@@ -108,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_targets": p7_targets,
         "p8_found": p8_found,
         "p8_pages": p8_pages,
+        "p8_information": p8_information,
     }
 
 
@@ -118,4 +138,5 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"SELECT feature, molecule FROM ({_TOP})",
         "p3_top5": _TOP,
         "p7_targets": _TARGETS,
+        "p8_information": _INFORMATION,
     }
