@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.operators.skew import lookup
+from cladewise.operators.skew import HOT_SHARE, census, lookup_known
 from cladewise.store import Cuts
 
 #: One node in so many is a splitter.
@@ -29,52 +29,80 @@ def _is_splitter(node: str, every: int) -> Column:
     return F.pmod(F.xxhash64(node), F.lit(every)) == 0
 
 
-def _jump(cuts: Cuts, name: str, table: DataFrame) -> DataFrame:
-    """One round of pointer jumping for the open rows of (node, ptr, state, path, length)."""
-    going = table.where(F.col("state") == _OPEN).select(F.col("node").alias("who"), F.col("ptr").alias("node"), F.col("path").alias("p"), F.col("length").alias("l"))
-    step = lookup(going, table, "node", F.col("who"), n_rows=going.count()).select(
-        F.col("who").alias("node"), "ptr", "state", F.concat("p", "path").alias("path"), (F.col("l") + F.col("length")).alias("length")
-    )
-    return cuts.save(name, table.where(F.col("state") != _OPEN).unionByName(step))
-
+class _Walk:
+    """Pointers (node, ptr, state, path, length) that jump until they end: rows that have ended, and those that are open.
 
-def _settle(cuts: Cuts, name: str, table: DataFrame) -> DataFrame:
-    """Jump until no open row gets anywhere.
-
-    After r rounds every row within 2^r steps of its end has it. A row farther away has one on its way that is just one step
-    farther, so a round that ends no row leaves only rows that never end: those on cycles and below.
+    A round writes the rows it moved, nothing else. Its one other job counts the open rows and finds the targets that many of them
+    share, which the next round spreads.
     """
-    n_open = table.where(F.col("state") == _OPEN).count()
-    while n_open:
-        table = _jump(cuts, name, table)
-        left = table.where(F.col("state") == _OPEN).count()
-        if left == n_open:
-            break
-        n_open = left
-    return table
+
+    def __init__(self, cuts: Cuts, name: str, rows: DataFrame):
+        self.cuts, self.name, self.rounds = cuts, name, 0
+        self.ended: list[DataFrame] = []
+        self._keep(rows)
+
+    def _keep(self, rows: DataFrame) -> None:
+        self.rounds += 1
+        made = self.cuts.save(f"{self.name}-{self.rounds}", rows)
+        self.ended.append(made.where(F.col("state") != _OPEN))
+        self.open = made.where(F.col("state") == _OPEN)
+
+    def all(self) -> DataFrame:
+        out = self.open
+        for rows in self.ended:
+            out = out.unionByName(rows)
+        return out
+
+    def settle(self, size: int) -> _Walk:
+        """Jump until no open row gets anywhere.
+
+        After r rounds every row within 2^r steps of its end has it. A row farther away has one on its way that is just one step
+        farther, so a round that ends no row leaves only rows that never end: those on cycles and below. Their paths grow to
+        twice the longest way that ends, at most.
+        """
+        n, hot = census(self.open, "ptr", size * float(HOT_SHARE))
+        while n:
+            going = self.open.select(F.col("node").alias("who"), F.col("ptr").alias("node"), F.col("path").alias("p"), F.col("length").alias("l"))
+            step = lookup_known(going, self.all(), "node", F.col("who"), hot).select(
+                F.col("who").alias("node"), "ptr", "state", F.concat("p", "path").alias("path"), (F.col("l") + F.col("length")).alias("length")
+            )
+            self._keep(step)
+            left, hot = census(self.open, "ptr", size * float(HOT_SHARE))
+            if left == n:
+                break
+            n = left
+        return self
+
+    def drop(self) -> None:
+        for k in range(self.rounds):
+            self.cuts.drop(f"{self.name}-{k + 1}")
 
 
 def cycle_keys(cuts: Cuts, name: str, edges: DataFrame) -> DataFrame:
     """The least name of the cycle that each node runs into: (node, cycle_key), from (node, ptr, low) where every ptr is a node.
 
-    ``low`` is the least name that the step from the node passes. Pointers and minima are doubled. The set of nodes that are
+    Other columns are kept. ``low`` is the least name that the step from the node passes. Pointers and minima are doubled. The set of nodes that are
     pointed at shrinks until it holds the cycles only; then minima must still span the longest possible cycle.
     """
-    state = cuts.save(name, edges.select("node", "ptr", "low"))
-    size, span = state.count(), 1
+    others = [c for c in edges.columns if c not in ("node", "ptr", "low")]
+    state = cuts.save(name, edges.select("node", "ptr", "low", *others))
+    size = state.count()
     if size == 0:
-        return state.select("node", F.col("low").alias("cycle_key"))
-    targets = -1
+        return state.select("node", F.col("low").alias("cycle_key"), *others)
+    targets, span = -1, 1
     while True:
-        now = state.select("ptr").distinct().count()
+        # one job: how many nodes are still pointed at, and which by many
+        counted = state.groupBy("ptr").agg(F.count(F.lit(1)).alias("n"))
+        seen = counted.agg(F.count(F.lit(1)).alias("now"), F.collect_list(F.when(F.col("n") >= size * float(HOT_SHARE) + 1, F.col("ptr"))).alias("hot")).first()
+        now, hot = seen.now, seen.hot
         if now == targets and span >= now:
             break
         targets = now
         to = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("low").alias("low2"))
-        state = cuts.save(name, lookup(state, to, "ptr", F.col("node"), n_rows=size).select("node", F.col("next").alias("ptr"), F.least("low", "low2").alias("low")))
+        state = cuts.save(name, lookup_known(state, to, "ptr", F.col("node"), hot).select("node", F.col("next").alias("ptr"), F.least("low", "low2").alias("low"), *others))
         span *= 2
     to = state.select(F.col("node").alias("ptr"), F.col("low").alias("cycle_key"))
-    return cuts.save(f"{name}-keys", lookup(state, to, "ptr", F.col("node"), n_rows=size).select("node", "cycle_key"))
+    return cuts.save(f"{name}-keys", lookup_known(state, to, "ptr", F.col("node"), hot).select("node", "cycle_key", *others))
 
 
 def solve(spark: SparkSession, links: DataFrame, every: int = EVERY) -> DataFrame:
@@ -89,41 +117,53 @@ def solve(spark: SparkSession, links: DataFrame, every: int = EVERY) -> DataFram
     themselves, and each node's path is its own stretch and that of its splitter. What never meets a splitter is on or below a
     cycle without one and is handled by itself; a splitter among it, on the tail of such a cycle, ends the walks from below,
     which take its key. Each round writes its table to the shared folder, so a lost executor costs
-    one round at most.
+    one round at most. Parents of many nodes are spread in the joins. At the end the ways are counted against the nodes; a
+    difference is an error.
     """
     cuts = Cuts(spark, "hierarchy")
     links = cuts.save("links", links)
-    size = links.count()
     inner = links.where("parent is not null")
+    size, hot = census(links, "parent", max(2.0, links.count() * float(HOT_SHARE)))
+    hot = [x for x in hot if x is not None]
     above = links.select(F.col("node").alias("parent"), F.col("parent").isNotNull().alias("inner"))
     state = F.when(F.col("inner").isNull() | ~F.col("inner"), _ROOT).when(_is_splitter("parent", every), _SPLITTER).otherwise(_OPEN)
-    first = lookup(inner, above, "parent", F.col("node"), "left", n_rows=size).select("node", F.col("parent").alias("ptr"), state.alias("state"), F.array("node").alias("path"), "length")
-    walked = _settle(cuts, "walk", cuts.save("walk", first))
+    first = lookup_known(inner, above, "parent", F.col("node"), hot, "left").select("node", F.col("parent").alias("ptr"), state.alias("state"), F.array("node").alias("path"), "length")
+    walk = _Walk(cuts, "walk", first).settle(size)
+    walked = walk.all()
 
     lone_end = F.col("state") == _OPEN
     ends = F.when(F.col("state") == _ROOT, _ROOT).when(lone_end, _LONE).otherwise(_OPEN)
-    reduced = walked.where(_is_splitter("node", every)).select("node", F.when(lone_end, F.col("node")).otherwise(F.col("ptr")).alias("ptr"), ends.alias("state"), F.when(~lone_end, F.col("path")).alias("path"), "length")
-    reduced = _settle(cuts, "reduced", cuts.save("reduced", reduced))
-    looped = reduced.where(F.col("state") == _OPEN).select("node")
-    segments = walked.join(looped, "node", "left_semi").select("node", "ptr", F.array_min("path").alias("low"))
-    by_splitter = cycle_keys(cuts, "cycles", segments)
-    lone = walked.where(F.col("state") == _OPEN).select("node")
-    without = cycle_keys(cuts, "lone", inner.join(lone, "node", "left_semi").select("node", F.col("parent").alias("ptr"), F.col("node").alias("low")))
+    start = walked.where(_is_splitter("node", every)).select("node", F.when(lone_end, F.col("node")).otherwise(F.col("ptr")).alias("ptr"), ends.alias("state"), F.when(~lone_end, F.col("path")).alias("path"), "length")
+    jumped = _Walk(cuts, "reduced", start).settle(size)
+    reduced = jumped.all()
+    segments = walked.join(jumped.open.select("node"), "node", "left_semi").select("node", "ptr", F.array_min("path").alias("low"))
+    # both kinds of circles in one run: splitters that never end, and nodes that never meet one; no node is both
+    single = inner.join(walk.open.select("node"), "node", "left_semi").select("node", F.col("parent").alias("ptr"), F.col("node").alias("low"))
+    keys = cycle_keys(cuts, "cycles", segments.withColumn("lone", F.lit(False)).unionByName(single.withColumn("lone", F.lit(True))))
+    by_splitter, without = (keys.where(c).select("node", "cycle_key") for c in ("not lone", "lone"))
 
     by_lone = reduced.where(F.col("state") == _LONE).select("node", "ptr").join(without.select(F.col("node").alias("ptr"), "cycle_key"), "ptr").select("node", "cycle_key")
     keyed = by_splitter.unionByName(by_lone)
     over = reduced.where(F.col("state") == _ROOT).select(F.col("node").alias("ptr"), F.col("ptr").alias("top"), F.col("path").alias("rest"), F.col("length").alias("more"), F.lit(None).cast("string").alias("key"))
     over = over.unionByName(keyed.select(F.col("node").alias("ptr"), F.lit(None).cast("string").alias("top"), F.lit(None).cast("array<string>").alias("rest"), F.lit(None).cast("double").alias("more"), F.col("cycle_key").alias("key")))
-    via = lookup(walked.where(F.col("state") == _SPLITTER), over, "ptr", F.col("node"), n_rows=size).select(
+    to_splitter = walked.where(F.col("state") == _SPLITTER)
+    _, hot = census(to_splitter, "ptr", size * float(HOT_SHARE))
+    via = lookup_known(to_splitter, over, "ptr", F.col("node"), hot).select(
         "node", F.concat("path", "rest").alias("way"), F.col("top").alias("root"), (F.col("length") + F.col("more")).alias("length"), F.col("key").alias("cycle_key")
     )
     none = F.lit(None).cast("string")
     straight = walked.where(F.col("state") == _ROOT).select("node", F.col("path").alias("way"), F.col("ptr").alias("root"), "length", none.alias("cycle_key"))
     alone = without.select("node", F.lit(None).cast("array<string>").alias("way"), none.alias("root"), F.lit(None).cast("double").alias("length"), "cycle_key")
-    tops = links.where("parent is null").select("node").unionByName(inner.select(F.col("parent").alias("node")).distinct().join(links.select("node"), "node", "left_anti"))
+    above_only = cuts.save("tops", inner.select(F.col("parent").alias("node")).distinct().join(links.select("node"), "node", "left_anti"))
+    tops = links.where("parent is null").select("node").unionByName(above_only)
     roots = tops.select("node", F.array().cast("array<string>").alias("way"), F.col("node").alias("root"), F.lit(0.0).alias("length"), none.alias("cycle_key"))
     ways = cuts.save("ways", straight.unionByName(via).unionByName(alone).unionByName(roots))
-    for name in ("walk", "reduced", "cycles", "cycles-keys", "lone", "lone-keys"):
+    found, wanted = ways.count(), size + above_only.count()
+    if found != wanted:
+        raise RuntimeError(f"{wanted} nodes, but {found} ways")
+    walk.drop()
+    jumped.drop()
+    for name in ("cycles", "cycles-keys", "tops"):
         cuts.drop(name)
     return ways.join(links.select("node", "parent"), "node", "left").select("node", "parent", "way", "root", "length", "cycle_key")
 
@@ -135,13 +175,32 @@ def ancestors(ways: DataFrame) -> DataFrame:
     return rows.select("ancestor", "descendant", (F.col("i") + 1).cast("long").alias("distance"))
 
 
-def hierarchy(ways: DataFrame) -> DataFrame:
+def n_descendants(ways: DataFrame, every: int = EVERY) -> DataFrame:
+    """(node, n) of nodes with descendants, without making all pairs of a node and one above.
+
+    A node counts for those up to the next splitter only. A splitter counts for itself and all below it there; those totals are sums
+    over the splitters above each splitter, one pair in about ``every`` squared.
+    """
+    split = lambda x: F.pmod(F.xxhash64(x), F.lit(every)) == 0
+    up = F.concat(F.slice("way", 2, F.greatest(F.size("way") - 1, F.lit(0))), F.array("root"))
+    rows = ways.where("cycle_key is null and size(way) > 0").select("node", split(F.col("node")).alias("is_splitter"), up.alias("up"))
+    first = F.array_position(F.transform("up", split), True)
+    rows = rows.withColumn("near", F.when(first > 0, F.slice("up", 1, first.cast("int"))).otherwise(F.col("up")))
+    # all nodes that end at a splitter or root, the splitters and roots themselves
+    own = rows.where("not is_splitter").select(F.element_at("near", -1).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    chain = rows.where("is_splitter").select("node", F.concat(F.array("node"), F.filter("up", split)).alias("chain"))
+    own_of = chain.join(own, "node", "left").select(F.explode("chain").alias("node"), (F.coalesce("k", F.lit(0)) + 1).alias("k"))
+    total = own_of.groupBy("node").agg(F.sum("k").alias("total"))
+    weighed = rows.join(total, "node", "left").select(F.explode("near").alias("node"), F.when(F.col("is_splitter"), F.col("total")).otherwise(1).alias("m"))
+    return weighed.groupBy("node").agg(F.sum("m").alias("n"))
+
+
+def hierarchy(ways: DataFrame, every: int = EVERY) -> DataFrame:
     """(node, path, depth, root, length, n_descendants, cycle_key); a path runs from the root, joined by ``/``.
 
-    Nodes on or below a circle have only their ``cycle_key``. Counts of descendants are combined in the map tasks, so a root
-    of all nodes is one row per task.
+    Nodes on or below a circle have only their ``cycle_key``.
     """
-    below = ancestors(ways).groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    below = n_descendants(ways, every)
     ok = F.col("cycle_key").isNull()
     names = F.concat(F.array("root"), F.reverse("way"))
     path = F.array_join(F.when(F.size("way") == 0, F.array("root")).otherwise(names), "/")

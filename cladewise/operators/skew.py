@@ -13,8 +13,6 @@ from cladewise.store import Cuts
 HOT_SHARE = Decimal("0.001")
 #: Slices that a hot key's rows are spread over.
 SLICES = 64
-#: Up to this number of rows a join isn't worth the search for hot keys: one task can hold them all.
-FEW = 2_000_000
 
 
 def share_of(total: Column, share: Decimal | float) -> Column:
@@ -48,12 +46,28 @@ def copied(rows: DataFrame, hot: DataFrame, keys: list[str], slices: int = SLICE
     return marked.withColumn("_slice", F.explode(every)).drop("_hot")
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, by: Column, how: str = "inner", n_rows: int | None = None) -> DataFrame:
-    """Join ``rows`` with ``table``, which holds each key once. Hot keys of ``rows`` are spread over slices.
+def lookup(rows: DataFrame, table: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``table``, which holds each key once. Hot keys of ``rows`` are found first and spread over slices.
 
-    ``n_rows``: the number of rows, if known; few rows are joined as they are. Rows with a null key match nothing.
+    Rows with a null key match nothing.
     """
-    if n_rows is not None and n_rows <= FEW:
-        return rows.join(table, key, how)
     hot = hot_keys(rows.where(F.col(key).isNotNull()), [key])
     return sliced(rows, hot, [key], by).join(copied(table, hot, [key]), [key, "_slice"], how).drop("_slice")
+
+
+def census(rows: DataFrame, key: str, least: float) -> tuple[int, list]:
+    """The number of rows, and the keys that hold at least ``least`` of them, in one job. The keys reach the driver: with ``least`` a
+    share of a table that ``rows`` is a part of there are at most 1 / share."""
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    found = counted.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.collect_list(F.when(F.col("_n") >= least, F.col(key))).alias("hot")).first()
+    return found.n, found.hot
+
+
+def lookup_known(rows: DataFrame, table: DataFrame, key: str, by: Column, hot: list, how: str = "inner", slices: int = SLICES) -> DataFrame:
+    """As lookup, where the hot keys are known already."""
+    if not hot:
+        return rows.join(table, key, how)
+    is_hot = F.col(key).isin(*hot)
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
+    own = F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(slices))).otherwise(0).cast("int")
+    return rows.withColumn("_slice", own).join(table.withColumn("_slice", F.explode(every)), [key, "_slice"], how).drop("_slice")
