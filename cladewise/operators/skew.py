@@ -11,10 +11,14 @@ from cladewise.store import Cuts
 
 #: A key is hot from this share of the rows; so at most 1 / HOT_SHARE keys are, and their list may be broadcast.
 HOT_SHARE = Decimal("0.001")
-#: Slices that a hot key's rows are spread over.
+#: Slices that a hot key's rows are spread over, at least; as many as a shuffle has partitions if those are more.
 SLICES = 64
 
 
+def slices_of(rows: DataFrame) -> int:
+    return max(SLICES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def share_of(total: Column, share: Decimal | float) -> Column:
     """``share`` of ``total`` in decimal arithmetic, so that a bound is met exactly."""
     return total.cast("decimal(20,0)") * F.lit(Decimal(str(share)))
@@ -33,16 +37,16 @@ def hot_keys(rows: DataFrame, keys: list[str], share: Decimal = HOT_SHARE) -> Da
     return hot
 
 
-def sliced(rows: DataFrame, hot: DataFrame, keys: list[str], by: Column, slices: int = SLICES) -> DataFrame:
+def sliced(rows: DataFrame, hot: DataFrame, keys: list[str], by: Column) -> DataFrame:
     """``rows`` with a column ``_slice``: 0, or for hot keys a number made from ``by``. ``hot`` comes from hot_keys."""
     marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    return marked.withColumn("_slice", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(slices))).otherwise(0).cast("int")).drop("_hot")
+    return marked.withColumn("_slice", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(slices_of(rows)))).otherwise(0).cast("int")).drop("_hot")
 
 
-def copied(rows: DataFrame, hot: DataFrame, keys: list[str], slices: int = SLICES) -> DataFrame:
+def copied(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with ``_slice``, where rows of hot keys stand once per slice."""
     marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(slices_of(rows) - 1))).otherwise(F.array(F.lit(0)))
     return marked.withColumn("_slice", F.explode(every)).drop("_hot")
 
 
@@ -63,11 +67,11 @@ def census(rows: DataFrame, key: str, least: float) -> tuple[int, list]:
     return found.n, found.hot
 
 
-def lookup_known(rows: DataFrame, table: DataFrame, key: str, by: Column, hot: list, how: str = "inner", slices: int = SLICES) -> DataFrame:
+def lookup_known(rows: DataFrame, table: DataFrame, key: str, by: Column, hot: list, how: str = "inner") -> DataFrame:
     """As lookup, where the hot keys are known already."""
     if not hot:
         return rows.join(table, key, how)
-    is_hot = F.col(key).isin(*hot)
+    is_hot, slices = F.col(key).isin(*hot), slices_of(rows)
     every = F.when(is_hot, F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
     own = F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(slices))).otherwise(0).cast("int")
     return rows.withColumn("_slice", own).join(table.withColumn("_slice", F.explode(every)), [key, "_slice"], how).drop("_slice")

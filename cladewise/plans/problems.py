@@ -11,6 +11,7 @@ from cladewise.functions.names import spelled, spelled_sql
 from cladewise.operators import hierarchy as H
 from cladewise.operators.hot_keys import dominant_keys, key_profiles
 from cladewise.operators.references import dangling, dangling_report
+from cladewise.store import Cuts
 
 
 def read(spark: SparkSession, where: str, table: str) -> DataFrame:
@@ -30,8 +31,9 @@ def p2_keys(spark: SparkSession, where: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, where: str) -> DataFrame:
+    """Keys with at least 2 % of all rows, read from the whole profiles of all keys: the join of both inputs is made."""
     found, links = _profiles(spark, where)
-    return dominant_keys(found, links, 0.02).select("key_field", "key_name")
+    return dominant_keys(Cuts(spark, "profiles").save("profiles", found), links, 0.02).select("key_field", "key_name")
 
 
 def _ways(spark: SparkSession, where: str, table: str = "molecules") -> DataFrame:

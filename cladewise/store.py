@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+#: Folders of the runs of this process.
+_runs: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,12 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete the intermediate tables of all runs of this process, once their results are written; returns the number of folders."""
+    runs, _runs[:] = list(_runs), []
+    for path in runs:
+        _delete(spark, path)
+    return len(runs)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Cuts:
     """Named intermediate tables of one operator run; a later table of the same name replaces the earlier one."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        _runs.append(self.root)
         self._paths: dict[str, str] = {}
         self._n = 0
 
@@ -43,16 +59,11 @@ class Cuts:
         df.write.mode("overwrite").parquet(path)
         old = self._paths.pop(name, None)
         if old:
-            self._delete(old)
+            _delete(self.spark, old)
         self._paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         path = self._paths.pop(name, None)
         if path:
-            self._delete(path)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(self.spark, path)

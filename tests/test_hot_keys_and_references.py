@@ -1,11 +1,13 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from cladewise.functions.names import spelled
 from cladewise.operators.hot_keys import dominant_keys, key_profiles
 from cladewise.operators.references import dangling, dangling_report
-from cladewise.operators.skew import hot_keys, lookup
+from cladewise.operators.skew import census, hot_keys, lookup, lookup_known
+from cladewise.store import Cuts, clear
 
 LINKS = "species string, molecules string, reported_at timestamp, link_id long, n_rows int"
 T = dt.datetime
@@ -65,6 +67,23 @@ def test_lookup_with_a_hot_key(spark):
     assert lookup(nulls, table, "k", F.col("id"), "left").where("v is null").count() == 6
 
 
+@pytest.mark.parametrize("hot", [[], [0], [0, 3, 4999]])
+def test_lookup_with_known_hot_keys(spark, hot):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 5000).alias("k"), "id")
+    table = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = lookup_known(rows, table, "k", F.col("id"), hot)
+    assert got.count() == 3000 and got.where("v != 2 * k").count() == 0 and got.select("id").distinct().count() == 3000
+    assert census(rows, "k", 2000) == (3000, [0]) and census(rows.limit(0), "k", 1) == (0, [])
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    cuts = Cuts(spark, "test")
+    cuts.save("a", spark.range(3))
+    assert clear(spark) > 0 and clear(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(cuts.root).count()
+
+
 REFS, PARENTS = "field string, key string, id long, at timestamp, slice int", "field string, key string, since timestamp, until timestamp"
 
 
