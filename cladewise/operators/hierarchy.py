@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.operators.skew import HOT_SHARE, census, lookup_known
+from cladewise.operators.skew import census, hot_from, lookup_known
 from cladewise.store import Cuts
 
 #: One node in so many is a splitter.
@@ -60,14 +60,14 @@ class _Walk:
         farther, so a round that ends no row leaves only rows that never end: those on cycles and below. Their paths grow to
         twice the longest way that ends, at most.
         """
-        n, hot = census(self.open, "ptr", size * float(HOT_SHARE))
+        n, hot = census(self.open, "ptr", hot_from(size))
         while n:
             going = self.open.select(F.col("node").alias("who"), F.col("ptr").alias("node"), F.col("path").alias("p"), F.col("length").alias("l"))
             step = lookup_known(going, self.all(), "node", F.col("who"), hot).select(
                 F.col("who").alias("node"), "ptr", "state", F.concat("p", "path").alias("path"), (F.col("l") + F.col("length")).alias("length")
             )
             self._keep(step)
-            left, hot = census(self.open, "ptr", size * float(HOT_SHARE))
+            left, hot = census(self.open, "ptr", hot_from(size))
             if left == n:
                 break
             n = left
@@ -93,7 +93,7 @@ def cycle_keys(cuts: Cuts, name: str, edges: DataFrame) -> DataFrame:
     while True:
         # one job: how many nodes are still pointed at, and which by many
         counted = state.groupBy("ptr").agg(F.count(F.lit(1)).alias("n"))
-        seen = counted.agg(F.count(F.lit(1)).alias("now"), F.collect_list(F.when(F.col("n") >= size * float(HOT_SHARE) + 1, F.col("ptr"))).alias("hot")).first()
+        seen = counted.agg(F.count(F.lit(1)).alias("now"), F.collect_list(F.when(F.col("n") >= hot_from(size), F.col("ptr"))).alias("hot")).first()
         now, hot = seen.now, seen.hot
         if now == targets and span >= now:
             break
@@ -123,7 +123,7 @@ def solve(spark: SparkSession, links: DataFrame, every: int = EVERY) -> DataFram
     cuts = Cuts(spark, "hierarchy")
     links = cuts.save("links", links)
     inner = links.where("parent is not null")
-    size, hot = census(links, "parent", max(2.0, links.count() * float(HOT_SHARE)))
+    size, hot = census(links, "parent", hot_from(links.count()))
     hot = [x for x in hot if x is not None]
     above = links.select(F.col("node").alias("parent"), F.col("parent").isNotNull().alias("inner"))
     state = F.when(F.col("inner").isNull() | ~F.col("inner"), _ROOT).when(_is_splitter("parent", every), _SPLITTER).otherwise(_OPEN)
@@ -147,7 +147,7 @@ def solve(spark: SparkSession, links: DataFrame, every: int = EVERY) -> DataFram
     over = reduced.where(F.col("state") == _ROOT).select(F.col("node").alias("ptr"), F.col("ptr").alias("top"), F.col("path").alias("rest"), F.col("length").alias("more"), F.lit(None).cast("string").alias("key"))
     over = over.unionByName(keyed.select(F.col("node").alias("ptr"), F.lit(None).cast("string").alias("top"), F.lit(None).cast("array<string>").alias("rest"), F.lit(None).cast("double").alias("more"), F.col("cycle_key").alias("key")))
     to_splitter = walked.where(F.col("state") == _SPLITTER)
-    _, hot = census(to_splitter, "ptr", size * float(HOT_SHARE))
+    _, hot = census(to_splitter, "ptr", hot_from(size))
     via = lookup_known(to_splitter, over, "ptr", F.col("node"), hot).select(
         "node", F.concat("path", "rest").alias("way"), F.col("top").alias("root"), (F.col("length") + F.col("more")).alias("length"), F.col("key").alias("cycle_key")
     )

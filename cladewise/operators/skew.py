@@ -11,6 +11,8 @@ from cladewise.store import Cuts
 
 #: A key is hot from this share of the rows; so at most 1 / HOT_SHARE keys are, and their list may be broadcast.
 HOT_SHARE = Decimal("0.001")
+#: A key of fewer rows isn't hot, whatever its share: any task holds them.
+HOT_ROWS = 2_000
 #: Slices that a hot key's rows are spread over, at least; as many as a shuffle has partitions if those are more.
 SLICES = 64
 
@@ -25,14 +27,14 @@ def share_of(total: Column, share: Decimal | float) -> Column:
 
 
 def hot_keys(rows: DataFrame, keys: list[str], share: Decimal = HOT_SHARE) -> DataFrame:
-    """Key values that hold at least ``share`` of the rows of ``rows``: there are at most 1 / share of them.
+    """Key values that hold at least ``share`` of the rows of ``rows``, and HOT_ROWS: there are at most 1 / share of them.
 
     ``rows`` is read once: its counts are written to the shared folder, and their total and the few hot keys come from there.
     """
     cuts = Cuts(rows.sparkSession, "hot")
     counted = cuts.save("counts", rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
     total = counted.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
-    hot = cuts.save("keys", counted.where(F.col("_n") >= share_of(total, share)).select(*keys))
+    hot = cuts.save("keys", counted.where((F.col("_n") >= HOT_ROWS) & (F.col("_n") >= share_of(total, share))).select(*keys))
     cuts.drop("counts")
     return hot
 
@@ -59,6 +61,11 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, by: Column, how: str = "
     return sliced(rows, hot, [key], by).join(copied(table, hot, [key]), [key, "_slice"], how).drop("_slice")
 
 
+def hot_from(size: int) -> float:
+    """The number of rows from which a key of a table of ``size`` rows is hot."""
+    return max(HOT_ROWS, size * float(HOT_SHARE))
+
+
 def census(rows: DataFrame, key: str, least: float) -> tuple[int, list]:
     """The number of rows, and the keys that hold at least ``least`` of them, in one job. The keys reach the driver: with ``least`` a
     share of a table that ``rows`` is a part of there are at most 1 / share."""

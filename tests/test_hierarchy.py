@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladewise.operators import hierarchy as H
+from cladewise.operators import skew
 
 EDGES = "child string, parent string, length double, at long, tie long, path string"
 
@@ -37,8 +38,9 @@ def result(ways):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("every", [2, 1000])
-def test_random_forests_with_loops(spark, seed, every):
+@pytest.mark.parametrize(("every", "hot_rows"), [(2, 3), (1000, 10_000)])
+def test_random_forests_with_loops(spark, monkeypatch, seed, every, hot_rows):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
     rnd = random.Random(seed)
     n = 120
     rows = [(f"n{i}", f"n{rnd.randrange(max(1, i))}" if rnd.random() < 0.9 else None, rnd.choice([None, -1.0, float("nan"), 0.5, 1.0]), rnd.choice([None, 1, 2])) for i in range(1, n)]

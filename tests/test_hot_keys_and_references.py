@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladewise.functions.names import spelled
+from cladewise.operators import skew
 from cladewise.operators.hot_keys import dominant_keys, key_profiles
 from cladewise.operators.references import dangling, dangling_report
 from cladewise.operators.skew import census, hot_keys, lookup, lookup_known
@@ -57,7 +58,8 @@ def test_empty_tables(spark):
     assert found.count() == 0 and dominant_keys(found, links, 0.02).count() == 0
 
 
-def test_lookup_with_a_hot_key(spark):
+def test_lookup_with_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
     rows = spark.range(3000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 5000).alias("k"), "id")
     table = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     assert {r.k for r in hot_keys(rows, ["k"], 0.5).collect()} == {0}
@@ -100,7 +102,9 @@ def brute(refs, parents):
     return sorted(out, key=repr)
 
 
-def test_dangling_against_brute_force(spark):
+@pytest.mark.parametrize("hot_rows", [2, 10_000])
+def test_dangling_against_brute_force(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
     import random
 
     rnd = random.Random(5)
