@@ -30,28 +30,19 @@ def _is_splitter(node: str, every: int) -> Column:
 
 
 class _Walk:
-    """Pointers (node, ptr, state, path, length) that jump until they end: rows that have ended, and those that are open.
+    """Pointers (node, ptr, state, path, length) that jump until they end.
 
-    A round writes the rows it moved, nothing else. Its one other job counts the open rows and finds the targets that many of them
-    share, which the next round spreads.
+    A round reads its table, joins the open rows and writes the next table. Its one other job counts the open rows and finds the
+    targets that many of them share, which the next round spreads.
     """
 
     def __init__(self, cuts: Cuts, name: str, rows: DataFrame):
-        self.cuts, self.name, self.rounds = cuts, name, 0
-        self.ended: list[DataFrame] = []
-        self._keep(rows)
-
-    def _keep(self, rows: DataFrame) -> None:
-        self.rounds += 1
-        made = self.cuts.save(f"{self.name}-{self.rounds}", rows)
-        self.ended.append(made.where(F.col("state") != _OPEN))
-        self.open = made.where(F.col("state") == _OPEN)
-
-    def all(self) -> DataFrame:
-        out = self.open
-        for rows in self.ended:
-            out = out.unionByName(rows)
-        return out
+        self.cuts, self.name = cuts, name
+        self.all = cuts.save(name, rows)
+
+    @property
+    def open(self) -> DataFrame:
+        return self.all.where(F.col("state") == _OPEN)
 
     def settle(self, size: int) -> _Walk:
         """Jump until no open row gets anywhere.
@@ -63,20 +54,16 @@ class _Walk:
         n, hot = census(self.open, "ptr", hot_from(size))
         while n:
             going = self.open.select(F.col("node").alias("who"), F.col("ptr").alias("node"), F.col("path").alias("p"), F.col("length").alias("l"))
-            step = lookup_known(going, self.all(), "node", F.col("who"), hot).select(
+            step = lookup_known(going, self.all, "node", F.col("who"), hot).select(
                 F.col("who").alias("node"), "ptr", "state", F.concat("p", "path").alias("path"), (F.col("l") + F.col("length")).alias("length")
             )
-            self._keep(step)
+            self.all = self.cuts.save(self.name, self.all.where(F.col("state") != _OPEN).unionByName(step))
             left, hot = census(self.open, "ptr", hot_from(size))
             if left == n:
                 break
             n = left
         return self
 
-    def drop(self) -> None:
-        for k in range(self.rounds):
-            self.cuts.drop(f"{self.name}-{k + 1}")
-
 
 def cycle_keys(cuts: Cuts, name: str, edges: DataFrame) -> DataFrame:
     """The least name of the cycle that each node runs into: (node, cycle_key), from (node, ptr, low) where every ptr is a node.
@@ -129,13 +116,13 @@ def solve(spark: SparkSession, links: DataFrame, every: int = EVERY) -> DataFram
     state = F.when(F.col("inner").isNull() | ~F.col("inner"), _ROOT).when(_is_splitter("parent", every), _SPLITTER).otherwise(_OPEN)
     first = lookup_known(inner, above, "parent", F.col("node"), hot, "left").select("node", F.col("parent").alias("ptr"), state.alias("state"), F.array("node").alias("path"), "length")
     walk = _Walk(cuts, "walk", first).settle(size)
-    walked = walk.all()
+    walked = walk.all
 
     lone_end = F.col("state") == _OPEN
     ends = F.when(F.col("state") == _ROOT, _ROOT).when(lone_end, _LONE).otherwise(_OPEN)
     start = walked.where(_is_splitter("node", every)).select("node", F.when(lone_end, F.col("node")).otherwise(F.col("ptr")).alias("ptr"), ends.alias("state"), F.when(~lone_end, F.col("path")).alias("path"), "length")
     jumped = _Walk(cuts, "reduced", start).settle(size)
-    reduced = jumped.all()
+    reduced = jumped.all
     segments = walked.join(jumped.open.select("node"), "node", "left_semi").select("node", "ptr", F.array_min("path").alias("low"))
     # both kinds of circles in one run: splitters that never end, and nodes that never meet one; no node is both
     single = inner.join(walk.open.select("node"), "node", "left_semi").select("node", F.col("parent").alias("ptr"), F.col("node").alias("low"))
@@ -161,9 +148,7 @@ def solve(spark: SparkSession, links: DataFrame, every: int = EVERY) -> DataFram
     found, wanted = ways.count(), size + above_only.count()
     if found != wanted:
         raise RuntimeError(f"{wanted} nodes, but {found} ways")
-    walk.drop()
-    jumped.drop()
-    for name in ("cycles", "cycles-keys", "tops"):
+    for name in ("walk", "reduced", "cycles", "cycles-keys", "tops"):
         cuts.drop(name)
     return ways.join(links.select("node", "parent"), "node", "left").select("node", "parent", "way", "root", "length", "cycle_key")
 
