@@ -19,6 +19,9 @@ from cladewise.functions.prob import STATIONARY_CUTOFF, delta, draw, given_node,
 from cladewise.operators.sparse import Shape, row_col
 
 _TINY = -1.7976931348623157e308
+#: Fixed value: 2^24 leaves, and at most as many nodes above them.
+MOST_NODES = 2**25
+_ARRAYS: dict[tuple, "TreeArrays"] = {}
 
 
 # -- joins and sums over stored states -----------------------------------------------------------------------------------------
@@ -108,7 +111,8 @@ class Field:
 
     ``rows``: (r, up_r, bin_r, effort_r, alpha_m, nu_m) per leaf of the first tree, with the parent's internal index and the parameters
     of the clique that this leaf names in the second tree. ``cols``: (c, up_c, bin_c, effort_c, alpha_s, nu_s) likewise. ``z_rows``:
-    (internal_ix, other_ix, state) of the first tree, ``z_cols`` of the second.
+    (internal_ix, other_ix, state) of the first tree, ``z_cols`` of the second. ``seen`` gives, for cells (r, c), further log-weights
+    (r, c, log0, log1), as spectra do.
     """
 
     shape: Shape
@@ -120,6 +124,7 @@ class Field:
     links: DataFrame
     epsilon: float
     use_links: bool = True
+    seen: Callable[[DataFrame], DataFrame] | None = None
 
 
 def field_cells(field: Field, cells: DataFrame) -> DataFrame:
@@ -140,7 +145,12 @@ def y_log_weights(field: Field, cells: DataFrame) -> DataFrame:
         efforts = F.col("effort_r") * F.col("effort_c")
         log0 = log0 + safe_ln(p_link(F.lit(False), "link", efforts, field.epsilon))
         log1 = log1 + safe_ln(p_link(F.lit(True), "link", efforts, field.epsilon))
-    return field_cells(field, cells).select("r", "c", "link", log0.alias("log0"), log1.alias("log1"))
+    out = field_cells(field, cells).select("r", "c", "link", log0.alias("log0"), log1.alias("log1"))
+    if field.seen is None:
+        return out
+    more = field.seen(cells.select("r", "c")).select("r", "c", F.col("log0").alias("more0"), F.col("log1").alias("more1"))
+    both = [(F.col(f"log{k}") + F.coalesce(f"more{k}", F.lit(0.0))).alias(f"log{k}") for k in (0, 1)]
+    return out.join(more, ["r", "c"], "left").select("r", "c", "link", *both)
 
 
 def sampled_y(field: Field, cells: DataFrame, u: Column) -> DataFrame:
@@ -163,8 +173,8 @@ def swept_y(spark: SparkSession, field: Field, y: DataFrame, u: Column, first: i
 # -- cliques as arrays -------------------------------------------------------------------------------------------------------------
 @dataclass(frozen=True)
 class TreeArrays:
-    """A tree by node index: parent (-1 at roots), bin, and nodes by depth. It is broadcast to the tasks of a sweep; a tree has fewer
-    than 2^24 leaves, which bounds it."""
+    """A tree by node index: parent (-1 at roots), bin, and nodes by depth. It is broadcast to the tasks of a sweep; more than MOST_NODES
+    nodes are an error."""
 
     parent: np.ndarray
     bins: np.ndarray
@@ -175,6 +185,9 @@ class TreeArrays:
     @staticmethod
     def of(table: DataFrame, n_bins: int) -> TreeArrays:
         """From (node_ix, parent_ix, kind, bin)."""
+        size = table.count()
+        if size > MOST_NODES:
+            raise ValueError(f"a tree of {size} nodes: more than {MOST_NODES} can't be broadcast")
         pdf = table.select("node_ix", F.coalesce("parent_ix", F.lit(-1)).alias("parent_ix"), "kind", F.coalesce("bin", F.lit(0)).alias("bin")).toPandas().sort_values("node_ix")
         parent = pdf["parent_ix"].to_numpy(np.int64)
         depth = np.zeros(len(parent), np.int64)
@@ -185,6 +198,16 @@ class TreeArrays:
         levels = tuple(np.flatnonzero(depth == d) for d in range(depth.max(initial=0) + 1))
         return TreeArrays(parent, pdf["bin"].to_numpy(np.int64), (pdf["kind"] == "leaf").to_numpy(), levels, n_bins)
 
+    @staticmethod
+    def cached(table: DataFrame, n_bins: int) -> TreeArrays:
+        """The same, kept for the last tables: a tree changes only when its bins do, and each change is a table of its own."""
+        key = (tuple(sorted(table.inputFiles())), n_bins)
+        if key not in _ARRAYS:
+            while len(_ARRAYS) > 3:
+                _ARRAYS.pop(next(iter(_ARRAYS)))
+            _ARRAYS[key] = TreeArrays.of(table, n_bins)
+        return _ARRAYS[key]
+
     def matrices(self, alpha: float, nu: float, cutoff: float = STATIONARY_CUTOFF) -> np.ndarray:
         """p[bin, from, to]."""
         t = delta(self.n_bins) * (np.arange(self.n_bins) + 0.5)

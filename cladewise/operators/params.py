@@ -84,27 +84,57 @@ def clique_ratios(rows: DataFrame, n_bins: int) -> DataFrame:
     return tree_log_likelihood(rows, n_bins, F.col("alpha_try"), F.col("nu_try"))
 
 
+# -- mean and variance of log_nu -----------------------------------------------------------------------------------------------------
+def log_nu_moments(cliques: DataFrame) -> tuple[int, float, float]:
+    """Number, sum and sum of squares of log_nu: all that its mean and variance depend on."""
+    r = cliques.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("log_nu"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("log_nu") * F.col("log_nu")), F.lit(0.0)).alias("q")).first()
+    return r.n, r.s, r.q
+
+
+def hyper_log_ratio(moments: tuple[int, float, float], old: tuple[float, float], new: tuple[float, float]) -> float:
+    """Log posterior of (mean, variance) of log_nu, new less old, given the moments."""
+
+    def posterior(mean: float, var: float) -> float:
+        n, s, q = moments
+        likelihood = -0.5 * n * math.log(2 * math.pi * var) - (q - 2 * mean * s + n * mean * mean) / (2 * var)
+        return likelihood + ln_prior_of("mean_log_nu", mean) + ln_prior_of("var_log_nu", var)
+
+    return posterior(*new) - posterior(*old)
+
+
+def updated_hyper(moments: tuple[int, float, float], mean: float, var: float, steps: tuple[float, float], rng) -> tuple[float, float]:
+    """Mean and variance of log_nu after a Metropolis-Hastings step each; a variance is reflected at 0."""
+    for tried in ((mean + steps[0] * rng.standard_normal(), None), (None, steps[1] * rng.standard_normal())):
+        new = (tried[0], var) if tried[1] is None else (mean, abs(var + tried[1]))
+        if new[1] > 0 and math.log(rng.random()) < hyper_log_ratio(moments, (mean, var), new):
+            mean, var = new
+    return mean, var
+
+
 # -- branch bins ---------------------------------------------------------------------------------------------------------------
-def branch_pairs(branches: DataFrame, seed: int, iteration: int) -> DataFrame:
-    """Branches (id, bin) in disjoint random pairs: (pair, id, bin, first).
+def branch_pairs(branches: DataFrame, seed: int, iteration: int, buckets: int = 64) -> DataFrame:
+    """Branches (id, bin) in disjoint random pairs: (pair, id, bin, first). One branch at most stays alone.
 
-    Order is by a hash of id, seed and iteration; neighbours in a hash bucket are paired, so no window sees the whole tree. A bucket
-    of odd size leaves its last branch out for this round.
+    Order is by a hash of id, seed and iteration; neighbours in a hash bucket are paired, so no window sees the whole tree. What
+    is left over in buckets of odd size, one branch each, is paired in a second round.
     """
     key = P.uniform("id", iteration, seed=seed)
-    rows = branches.select("id", "bin", key.alias("_u")).withColumn("_b", F.floor(F.col("_u") * 64).cast("int"))
+    rows = branches.select("id", "bin", key.alias("_u")).withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
     by = Window.partitionBy("_b")
     rows = rows.withColumn("_k", F.row_number().over(by.orderBy("_u", "id")) - 1).withColumn("_n", F.count(F.lit(1)).over(by))
-    rows = rows.where((F.col("_n") % 2 == 0) | (F.col("_k") < F.col("_n") - 1))
-    pair = F.concat_ws("-", "_b", F.floor(F.col("_k") / 2))
-    return rows.select(pair.alias("pair"), "id", "bin", (F.col("_k") % 2 == 0).alias("first"))
+    alone = (F.col("_n") % 2 == 1) & (F.col("_k") == F.col("_n") - 1)
+    met = rows.where(~alone).select(F.concat_ws("-", "_b", F.floor(F.col("_k") / 2)).alias("pair"), "id", "bin", (F.col("_k") % 2 == 0).alias("first"))
+    # at most one row per bucket
+    rest = rows.where(alone).withColumn("_r", F.row_number().over(Window.orderBy("_u", "id")) - 1).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy()))
+    rest = rest.where((F.col("_m") % 2 == 0) | (F.col("_r") < F.col("_m") - 1))
+    return met.unionByName(rest.select(F.concat_ws("-", F.lit("rest"), F.floor(F.col("_r") / 2)).alias("pair"), "id", "bin", (F.col("_r") % 2 == 0).alias("first")))
 
 
-def pair_moves(pairs: DataFrame, n_bins: int, seed: int, iteration: int) -> DataFrame:
+def pair_moves(pairs: DataFrame, n_bins: int, seed: int, iteration: int, u: Column | None = None) -> DataFrame:
     """(pair, id_1, id_2, bin_1, bin_2, move): one bin goes up, the other down, so the sum stays.
 
-    A branch at a bound goes the only way it can; pairs with both at the same bound don't move. Boundaries are looked at in the
-    order: both, first low, second low, first high, second high.
+    Of the steps -1 and +1 of the first bin those are allowed that keep both bins on the grid; one of them is drawn by ``u``, a
+    uniform of the pair, and 0 stands where none is.
     """
     top = n_bins - 1
 
@@ -112,10 +142,11 @@ def pair_moves(pairs: DataFrame, n_bins: int, seed: int, iteration: int) -> Data
         return F.max(F.when(flag, F.col(name)))
 
     wide = pairs.groupBy("pair").agg(side(F.col("first"), "id").alias("id_1"), side(~F.col("first"), "id").alias("id_2"), side(F.col("first"), "bin").alias("bin_1"), side(~F.col("first"), "bin").alias("bin_2"))
-    a, b = F.col("bin_1"), F.col("bin_2")
-    free = F.when(P.uniform("pair", iteration, seed=seed + 5) < 0.5, -1).otherwise(1)
-    move = F.when(((a == 0) & (b == 0)) | ((a == top) & (b == top)), 0).when(a == 0, 1).when(b == 0, -1).when(a == top, -1).when(b == top, 1).otherwise(free)
-    return wide.withColumn("move", move.cast("int"))
+    down = F.when((F.col("bin_1") > 0) & (F.col("bin_2") < top), F.lit(-1))
+    up = F.when((F.col("bin_1") < top) & (F.col("bin_2") > 0), F.lit(1))
+    allowed = F.array_compact(F.array(down, up))
+    drawn = F.get(allowed, F.floor((P.uniform("pair", iteration, seed=seed + 5) if u is None else u) * F.size(allowed)).cast("int"))
+    return wide.withColumn("move", F.coalesce(drawn, F.lit(0)).cast("int"))
 
 
 def pair_ratios(moves: DataFrame, rows: DataFrame, n_bins: int) -> DataFrame:

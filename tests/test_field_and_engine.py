@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladewise.functions import prob as P
-from cladewise.operators import field, likelihood, matching, msms, params, sparse
+from cladewise.operators import analysis, field, likelihood, matching, msms, params, sparse
 from cladewise.plans import engine
 from cladewise.sources import synthetic
 
@@ -258,11 +258,53 @@ def test_simulate_then_infer(spark):
     assert {(r.r, r.c): r.fraction for r in again["y"].collect()} == y
 
 
+def test_hyper_parameters_have_the_exact_posterior():
+    x = np.array([0.3, -0.2, 0.9, 0.4])
+    moments = (len(x), x.sum(), (x * x).sum())
+    rng = np.random.default_rng(4)
+    mean, var, seen = 0.0, 1.0, []
+    for _ in range(40_000):
+        mean, var = params.updated_hyper(moments, mean, var, (0.8, 0.5), rng)
+        seen.append((mean, var))
+    ms, vs = np.meshgrid(np.linspace(-4, 4, 400), np.linspace(0.005, 8, 800), indexing="ij")
+    ln = -0.5 * len(x) * np.log(2 * np.pi * vs) - ((x[:, None, None] - ms) ** 2).sum(0) / (2 * vs) - ms**2 / 4 - vs
+    w = np.exp(ln - ln.max())
+    assert np.allclose(np.mean(seen, 0), [(w * ms).sum() / w.sum(), (w * vs).sum() / w.sum()], atol=0.04)
+
+
+def test_pairs_leave_one_branch_out_at_most(spark):
+    for n in (100, 101):
+        rows = spark.range(n).select(F.concat(F.lit("b"), "id").alias("id"), (F.col("id") % 20).cast("int").alias("bin"))
+        pairs = params.branch_pairs(rows, 3, 1)
+        assert pairs.count() == n - n % 2 and pairs.select("id").distinct().count() == n - n % 2
+        moves = params.pair_moves(pairs, 20, 3, 1).collect()
+        assert len(moves) == n // 2 and all(0 <= r.bin_1 + r.move <= 19 and 0 <= r.bin_2 - r.move <= 19 for r in moves)
+
+
 def test_one_iteration_with_parameters(spark):
     sp, mo, (pr, pc) = small_world(spark)
     names = spark.createDataFrame([("s_7", "m_7"), ("s_8", "m_7"), ("s_9", "m_14")], "species string, molecules string")
-    got = engine.infer(spark, engine.Config(iterations=1, n_burnin=0, seed=1), sp, mo, names, pr, pc, lambda *_: None)
-    assert {r.name for r in got["summary"].collect()} == {"gamma_species", "gamma_molecules", "epsilon", "pseudo_log_density"}
+    runs = spark.createDataFrame([(1, 0, 1), (2, 1, 1)], "run long, species long, filter long")
+    cands = spark.createDataFrame([(1, 1, 0, 200), (1, 1, 1, 180), (1, 2, 1, 150), (2, 1, 0, 220)], "run long, feature long, molecule long, bin int")
+    unknowns = spark.createDataFrame([(1, 1, 20), (1, 2, 20), (2, 1, 20)], "run long, feature long, bin int")
+    config = engine.Config(iterations=2, n_burnin=0, seed=1, trace_states=True)
+    start_y, start_z = spark.createDataFrame([(0,), (9,)], "position long"), {"species": spark.createDataFrame([(0,), (8,)], "position long")}
+    got = engine.infer(spark, config, sp, mo, names, pr, pc, lambda *_: None, start_y, start_z, engine.Spectra(runs, cands, unknowns))
+    summary = {r.name: r for r in got["summary"].collect()}
+    plain = {"gamma_species", "gamma_molecules", "epsilon", "pseudo_log_density", "contamination", *(f"{t}_{k}" for t in ("species", "molecules") for k in ("mean_log_nu", "var_log_nu"))}
+    cliques = {f"{t}_{k}_{o}_{i}" for t, o in (("species", "m"), ("molecules", "s")) for k in ("alpha", "log_nu") for i in range(7, 15)}
+    branches = {f"{t}_branch_lengths_{t[0]}_{i}" for t in ("species", "molecules") for i in range(1, 15)}
+    assert set(summary) == plain | cliques | branches and all(r.n == 2 for r in summary.values())
+    assert sum(summary[f"species_branch_lengths_s_{i}"].post_mean for i in range(1, 15)) == 14 * 20 // 2
+    assert got["assigned"].count() == 3 and msms.molecules_twice(got["assigned"]).count() == 0
+    assert {r["index"] for r in got["filters"].collect()} <= set(range(1, 255)) and got["filters"].count() == 2
+    assert {r.iteration for r in got["y_trace"].collect()} <= {1, 2} and got["z_species_trace"].where("position >= 7 * 8").count() == 0
+    truth = spark.createDataFrame([("species_alpha_m_7", 0.5), ("nothing", 1.0)], "name string, value double")
+    assert analysis.true_against_inferred(truth, got["summary"]).count() == 1
+    with pytest.raises(sparse.OutOfBounds):
+        engine.infer(spark, config, sp, mo, names, pr, pc, lambda *_: None, spark.createDataFrame([(64,)], "position long"))
+    with pytest.raises(ValueError):
+        engine.infer(spark, config, sp, mo, names, pr, pc, lambda *_: None, spectra=engine.Spectra(runs, cands, unknowns.limit(1)))
     with pytest.raises(ValueError):
         engine.infer(spark, engine.Config(iterations=1), sp, mo, spark.createDataFrame([("s_0", "m_7")], "species string, molecules string"), pr, pc)
     for bad in ({"n_bins": 255}, {"epsilon": 0.0}):
