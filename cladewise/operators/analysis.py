@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.functions.prob import uniform
@@ -55,6 +55,6 @@ def true_against_inferred(truth: DataFrame, posterior: DataFrame) -> DataFrame:
     return truth.join(posterior, "name").select("name", "value", "post_mean", "post_var", sd.alias("post_sd"))
 
 
-def subsample(df: DataFrame, n: int, *keys: str, seed: int = 0) -> DataFrame:
-    """``n`` rows without replacement: those with the least hash of their keys. Spark keeps n rows per task for this."""
-    return df.withColumn("_u", uniform(*keys, seed=seed)).orderBy("_u", *keys).limit(n).drop("_u")
+def subsample(df: DataFrame, n: int, *keys: str, seed: int = 0, u: Column | None = None) -> DataFrame:
+    """``n`` rows without replacement: those with the least hash of their keys, or the least ``u``. Spark keeps n rows per task for this."""
+    return df.withColumn("_u", uniform(*keys, seed=seed) if u is None else u).orderBy("_u", *keys).limit(n).drop("_u")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,24 +162,24 @@ def ancestors(ways: DataFrame) -> DataFrame:
     return rows.select("ancestor", "descendant", (F.col("i") + 1).cast("long").alias("distance"))
 
 
-def n_descendants(ways: DataFrame, every: int = EVERY) -> DataFrame:
-    """(node, n) of nodes with descendants, without making all pairs of a node and one above.
+def over_descendants(ways: DataFrame, value: Column, how: Callable[[Column], Column], every: int = EVERY) -> DataFrame:
+    """(node, x) of nodes with descendants: ``how`` (F.sum, F.max, F.min) of ``value`` over these, without making all pairs of a node and
+    one above it.
 
-    A node counts for those up to the next splitter only. A splitter counts for itself and all below it there; those totals are sums
-    over the splitters above each splitter, one pair in about ``every`` squared.
+    A node counts for those up to the next splitter only. A splitter stands for itself and all below it there; its figure comes from the
+    splitters above each splitter, one pair in about ``every`` squared. ``value`` is a column of ``ways``.
     """
     split = lambda x: F.pmod(F.xxhash64(x), F.lit(every)) == 0
     up = F.concat(F.slice("way", 2, F.greatest(F.size("way") - 1, F.lit(0))), F.array("root"))
-    rows = ways.where("cycle_key is null and size(way) > 0").select("node", split(F.col("node")).alias("is_splitter"), up.alias("up"))
+    rows = ways.where("cycle_key is null and size(way) > 0").select("node", split(F.col("node")).alias("is_splitter"), up.alias("up"), value.alias("v"))
     first = F.array_position(F.transform("up", split), True)
     rows = rows.withColumn("near", F.when(first > 0, F.slice("up", 1, first.cast("int"))).otherwise(F.col("up")))
-    # all nodes that end at a splitter or root, the splitters and roots themselves
-    own = rows.where("not is_splitter").select(F.element_at("near", -1).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    # splitters with what ends at them, then with all splitters below
+    own = rows.select(F.when(F.col("is_splitter"), F.col("node")).otherwise(F.element_at("near", -1)).alias("node"), "v").groupBy("node").agg(how(F.col("v")).alias("v"))
     chain = rows.where("is_splitter").select("node", F.concat(F.array("node"), F.filter("up", split)).alias("chain"))
-    own_of = chain.join(own, "node", "left").select(F.explode("chain").alias("node"), (F.coalesce("k", F.lit(0)) + 1).alias("k"))
-    total = own_of.groupBy("node").agg(F.sum("k").alias("total"))
-    weighed = rows.join(total, "node", "left").select(F.explode("near").alias("node"), F.when(F.col("is_splitter"), F.col("total")).otherwise(1).alias("m"))
-    return weighed.groupBy("node").agg(F.sum("m").alias("n"))
+    total = chain.join(own, "node").select(F.explode("chain").alias("node"), "v").groupBy("node").agg(how(F.col("v")).alias("total"))
+    weighed = rows.join(total, "node", "left").select(F.explode("near").alias("node"), F.when(F.col("is_splitter"), F.col("total")).otherwise(F.col("v")).alias("v"))
+    return weighed.groupBy("node").agg(how(F.col("v")).alias("x"))
 
 
 def hierarchy(ways: DataFrame, every: int = EVERY) -> DataFrame:
@@ -185,7 +187,7 @@ def hierarchy(ways: DataFrame, every: int = EVERY) -> DataFrame:
 
     Nodes on or below a circle have only their ``cycle_key``.
     """
-    below = n_descendants(ways, every)
+    below = over_descendants(ways, F.lit(1), F.sum, every).withColumnRenamed("x", "n")
     ok = F.col("cycle_key").isNull()
     names = F.concat(F.array("root"), F.reverse("way"))
     path = F.array_join(F.when(F.size("way") == 0, F.array("root")).otherwise(names), "/")

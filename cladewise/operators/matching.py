@@ -180,7 +180,7 @@ def auction(cuts: Cuts, edges: DataFrame, epsilon: float, most_rounds: int = 100
 def assign(edges: DataFrame, min_score: float = 0.0, most_edges: int = MOST_EDGES, epsilon: float = EPSILON) -> DataFrame:
     """(Feature, Assigned_Molecule, Score, Low_Confidence, Unassigned) of every feature with an edge.
 
-    Scores are rounded to six digits. Features without a molecule have a null one and score 0. Repeated pairs count once, with their
+    Rows are sorted by feature, scores rounded to six digits. Features without a molecule have a null one and score 0. Repeated pairs count once, with their
     highest score; an empty edge list gives no rows.
     """
     cuts = Cuts(edges.sparkSession, "matching")
@@ -195,7 +195,7 @@ def assign(edges: DataFrame, min_score: float = 0.0, most_edges: int = MOST_EDGE
     if big.limit(1).count():
         won = auction(cuts, big, epsilon)
         found = exact.unionByName(won).unionByName(big.select("feature").distinct().join(won.select("feature"), "feature", "left_anti").select("feature", F.lit(None).cast("string").alias("molecule"), F.lit(0.0).alias("score")))
-    return report_rows(found, min_score)
+    return report_rows(found, min_score).orderBy("Feature")
 
 
 def report_rows(found: DataFrame, min_score: float) -> DataFrame:
@@ -217,14 +217,21 @@ def assignment_summary(result: DataFrame) -> DataFrame:
 
 
 def encoded(edges: DataFrame) -> DataFrame:
-    """Edges with dense codes of their names in byte order: (row, col, score, feature, molecule)."""
+    """Edges with dense codes of their names in byte order: (row, col, score, feature, molecule).
+
+    Names are brought into ranges of about equal size, whose bounds Spark samples, and the ranges are written with their numbers. Names
+    are ranked inside of their range, and names in the ranges before are added; the window over ranges sees a row per range.
+    """
+    cuts = Cuts(edges.sparkSession, "codes")
+
     def codes(name: str, code: str) -> DataFrame:
-        names = edges.select(name).distinct().withColumn("_p", F.substring(name, 1, 4))
-        # codes inside of a prefix, and counts of the prefixes before: no window sees all names
-        counts = names.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+        names = edges.select(name).distinct()
+        ranges = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        kept = cuts.save(name, names.repartitionByRange(ranges, name).withColumn("_p", F.spark_partition_id()))
+        counts = kept.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
         before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
         offsets = counts.select("_p", F.coalesce(before, F.lit(0)).alias("_o"))
         inside = F.row_number().over(Window.partitionBy("_p").orderBy(name)) - 1
-        return names.withColumn("_i", inside).join(offsets, "_p").select(name, (F.col("_o") + F.col("_i")).cast("long").alias(code))
+        return kept.withColumn("_i", inside).join(offsets, "_p").select(name, (F.col("_o") + F.col("_i")).cast("long").alias(code))
 
     return edges.join(codes("feature", "row"), "feature").join(codes("molecule", "col"), "molecule").select("row", "col", "score", "feature", "molecule")

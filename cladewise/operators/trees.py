@@ -115,8 +115,9 @@ def depth_and_height(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(id, depth, height): steps from the root, and steps to the deepest node below; order by depth is breadth first, order by
     height has all children of a node before it."""
     ways = hierarchy.solve(spark, edges.select(F.col("child").alias("node"), "parent", "length"))
-    below = hierarchy.ancestors(ways).groupBy(F.col("ancestor").alias("node")).agg(F.max("distance").alias("height"))
-    return ways.join(below, "node", "left").select(F.col("node").alias("id"), F.size("way").cast("long").alias("depth"), F.coalesce("height", F.lit(0)).alias("height"))
+    deepest = hierarchy.over_descendants(ways, F.size("way"), F.max)
+    depth = F.size("way").cast("long")
+    return ways.join(deepest, "node", "left").select(F.col("node").alias("id"), depth.alias("depth"), F.coalesce(F.col("x") - depth, F.lit(0)).cast("long").alias("height"))
 
 
 # -- branch lengths --------------------------------------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 Species are customers below nations below regions; molecules are parts below (type, brand) below type below one root. A customer and
 a part are linked by their order lines: Y holds those with a line that wasn't returned, L those with one that isn't new. Customer and part
 keys run from 0 without gaps, so they are the leaf indices. Runs are orders, their features line numbers, their candidates the order's
-parts. All tables are used whole.
+parts. All tables are used whole; what is unknown in them (filters, assignments) is so by size or likelihood.
 """
 
 from __future__ import annotations
@@ -28,13 +28,13 @@ BASE = {
     "runs": "SELECT o_orderkey AS run, o_custkey AS species, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS filter FROM orders WHERE o_orderpriority IS NOT NULL",
     "features": "SELECT DISTINCT l_orderkey AS run, CAST(l_linenumber AS BIGINT) AS feature FROM lineitem",
     "parts_of": "SELECT l_orderkey AS run, l_partkey AS molecule, CAST(max(5 * l_quantity) AS INT) AS bin FROM lineitem GROUP BY l_orderkey, l_partkey",
-    "filters": "SELECT CAST(f.filter AS BIGINT) AS filter, p_partkey AS molecule, CAST((p_size * 5 + f.filter * 11) % 255 + 1 AS INT) AS index FROM part CROSS JOIN (SELECT 1 AS filter UNION ALL SELECT 2 UNION ALL SELECT 3) f WHERE p_partkey % 3 > 0",
+    "filters": "SELECT CAST(f.filter AS BIGINT) AS filter, p_partkey AS molecule, CAST((p_size * 5 + f.filter * 11) % 255 + 1 AS INT) AS index FROM part CROSS JOIN (SELECT 1 AS filter UNION ALL SELECT 2 UNION ALL SELECT 3) f WHERE p_size > 16",
 }
 _NEEDS = {"sp": ("nation", "customer"), "mo": ("part",), "cells": ("lineitem", "orders"), "papers_r": ("orders",), "papers_c": ("lineitem",), "runs": ("orders",), "features": ("lineitem",), "parts_of": ("lineitem",), "filters": ("part",)}
 #: Each feature takes the candidate whose rank by molecule is its own rank, if there is one: so no molecule is taken twice.
 BASE["assigned"] = """SELECT f.run, f.feature, p.molecule, COALESCE(p.bin, 60) AS bin
     FROM (SELECT run, feature, row_number() OVER (PARTITION BY run ORDER BY feature) AS k FROM features) f
-    LEFT JOIN (SELECT run, molecule, bin, row_number() OVER (PARTITION BY run ORDER BY molecule) AS k FROM parts_of WHERE molecule % 4 > 0) p ON p.run = f.run AND p.k = f.k"""
+    LEFT JOIN (SELECT run, molecule, bin, row_number() OVER (PARTITION BY run ORDER BY molecule) AS k FROM parts_of WHERE bin > 60) p ON p.run = f.run AND p.k = f.k"""
 _NEEDS["assigned"] = ("lineitem",)
 _BUILT_ON = {"assigned": ("features", "parts_of")}
 
@@ -60,7 +60,7 @@ def shape_of(spark: SparkSession, where: str) -> Shape:
 def with_base(sql: str, *names: str, recursive: bool = False) -> str:
     """SQL with the named base tables in front."""
     all_names = [n for name in names for n in (*_BUILT_ON.get(name, ()), name)]
-    ctes = ", ".join(f"{n} AS ({BASE[n]})" for n in dict.fromkeys(all_names))
+    ctes = ", ".join(f"{n} AS MATERIALIZED ({BASE[n]})" for n in dict.fromkeys(all_names))
     inner = sql.lstrip()
     if inner.startswith("WITH "):
         inner = f", {inner[5:]}"
@@ -74,7 +74,7 @@ def nodes_sql(t: str) -> str:
 {t}_n AS (SELECT o.id, e.parent, coalesce(e.length, 0) AS length, coalesce(k.k, 0) AS n_children, e.parent IS NULL AS is_root,
     CASE WHEN coalesce(k.k, 0) = 0 THEN 'leaf' WHEN e.parent IS NULL THEN 'root' ELSE 'internal' END AS kind, row_number() OVER (ORDER BY o.o) - 1 AS node_ix
     FROM {t}_o o LEFT JOIN {t} e ON e.child = o.id LEFT JOIN {t}_k k ON k.id = o.id),
-{t}_nodes AS (SELECT *, CASE WHEN kind = 'leaf' THEN row_number() OVER (PARTITION BY kind = 'leaf' ORDER BY node_ix) - 1 END AS leaf_ix,
+{t}_nodes AS MATERIALIZED (SELECT *, CASE WHEN kind = 'leaf' THEN row_number() OVER (PARTITION BY kind = 'leaf' ORDER BY node_ix) - 1 END AS leaf_ix,
     CASE WHEN kind <> 'leaf' THEN row_number() OVER (PARTITION BY kind = 'leaf' ORDER BY node_ix) - 1 END AS internal_ix,
     CASE WHEN kind = 'root' THEN row_number() OVER (PARTITION BY kind = 'root' ORDER BY node_ix) - 1 END AS root_ix,
     CASE WHEN NOT is_root THEN row_number() OVER (PARTITION BY is_root ORDER BY node_ix) - 1 END AS branch_ix FROM {t}_n)"""

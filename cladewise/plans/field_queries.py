@@ -228,37 +228,43 @@ def _ones(spark: SparkSession, where: str) -> DataFrame:
     return field.ones_per_clique(y_of(spark, where), "c")
 
 
-@query("sv_a04_changed_ones", with_base("SELECT c AS clique, sum(CASE WHEN (r + c) % 4 = 0 THEN 1 - y ELSE y END)::BIGINT AS n_ones FROM cells GROUP BY c", "cells"))
+@query("sv_a04_changed_ones", with_base("SELECT c AS clique, sum(CASE WHEN n > 1 THEN 1 - y ELSE y END)::BIGINT AS n_ones FROM cells GROUP BY c", "cells"))
 def _changed(spark: SparkSession, where: str) -> DataFrame:
     y = y_of(spark, where)
-    flips = y.where("(r + c) % 4 = 0").select("r", "c", F.col("state").alias("old"), (~F.col("state")).alias("new"))
+    flips = y.where("n_ones > 1").select("r", "c", F.col("state").alias("old"), (~F.col("state")).alias("new"))
     return field.changed_ones(field.ones_per_clique(y, "c"), flips, "c")
 
 
 _PAIR = "pr AS (SELECT id, bin, (n.node_ix // 2)::VARCHAR AS pair, n.node_ix % 2 = 0 AS first FROM (SELECT n.*, CAST((n.node_ix * 13) % 20 AS INT) AS bin FROM sp_nodes n WHERE NOT n.is_root) n)"
-_MOVE = """mv AS (SELECT pair, max(CASE WHEN first THEN id END) AS id_1, max(CASE WHEN NOT first THEN id END) AS id_2, CASE WHEN max(CASE WHEN first THEN bin END) = 0 THEN 1 WHEN max(CASE WHEN NOT first THEN bin END) = 0 THEN -1
-WHEN max(CASE WHEN first THEN bin END) = 19 THEN -1 WHEN max(CASE WHEN NOT first THEN bin END) = 19 THEN 1 ELSE -1 END AS move FROM pr GROUP BY pair HAVING count(*) = 2)"""
+_MOVE = """wd AS (SELECT pair, max(CASE WHEN first THEN id END) AS id_1, max(CASE WHEN NOT first THEN id END) AS id_2, max(CASE WHEN first THEN bin END) AS a, max(CASE WHEN NOT first THEN bin END) AS b FROM pr GROUP BY pair HAVING count(*) = 2),
+mv AS (SELECT *, CASE WHEN a > 0 AND b < 19 AND a < 19 AND b > 0 THEN CASE WHEN {u} < 0.5 THEN -1 ELSE 1 END WHEN a > 0 AND b < 19 THEN -1 WHEN a < 19 AND b > 0 THEN 1 ELSE 0 END AS move FROM wd)"""
 
 
-@query("sv_j13_a08_pair_ratios", with_base(f"""WITH {_GRID}, {_PAIR}, {_MOVE}, bb AS (SELECT pair, id_1 AS id, move AS step FROM mv UNION ALL SELECT pair, id_2, -move FROM mv)
+@query("sv_j13_a08_pair_ratios", with_base(f"""WITH {_GRID}, {_PAIR}, {_MOVE.format(u="0.25")}, bb AS (SELECT pair, id_1 AS id, move AS step FROM mv UNION ALL SELECT pair, id_2, -move FROM mv)
 SELECT pair, round(sum({ln(p_of('alpha', 'nu', '(bin + step)', 'up', 'state'))} - {ln(p_of('alpha', 'nu', 'bin', 'up', 'state'))}), 4) AS log_ratio FROM bb JOIN br ON br.id = bb.id GROUP BY pair""", "sp", "cells"))
 def _pair_ratios(spark: SparkSession, where: str) -> DataFrame:
     b = sp_bins(spark, where).where("not is_root")
     pairs = b.select(F.floor(F.col("node_ix") / 2).cast("string").alias("pair"), "id", "bin", (F.col("node_ix") % 2 == 0).alias("first"))
-    moves = params.pair_moves(pairs, N_BINS, 0, 0).where("id_1 is not null and id_2 is not null")
-    low, a, c = N_BINS - 1, F.col("bin_1"), F.col("bin_2")
-    free = (a > 0) & (c > 0) & (a < low) & (c < low)  # where chance decides, SQL goes down
-    moves = moves.withColumn("move", F.when(free, -1).otherwise(F.col("move")))
+    moves = params.pair_moves(pairs, N_BINS, 0, 0, F.lit(0.25)).where("id_1 is not null and id_2 is not null")
     return params.pair_ratios(moves, branches(spark, where), N_BINS).withColumn("log_ratio", F.round("log_ratio", 4))
 
 
-@query("sv_g11_bin_sum", with_base(f"WITH {nodes_sql('mo')} SELECT count(*) AS n, count(*) * {N_BINS} // 2 AS sum_before, count(*) * {N_BINS} // 2 AS sum_after, 0 AS outside FROM mo_nodes WHERE NOT is_root", "mo"))
-def _bin_sum(spark: SparkSession, where: str) -> DataFrame:
-    b = fixed_bins(spark, where, "mo").select("id", "bin")
-    moves = params.pair_moves(params.branch_pairs(b, 1, 1), N_BINS, 1, 1)
-    new = params.moved_bins(b, moves, moves.select("pair", F.lit(0.0).alias("log_ratio")), 1, 1)
-    before = b.agg(F.sum("bin")).scalar()
-    return new.agg(F.count(F.lit(1)).alias("n"), F.sum("bin").alias("sum_after"), F.count_if((F.col("bin") < 0) | (F.col("bin") >= N_BINS)).cast("int").alias("outside")).select("n", before.alias("sum_before"), "sum_after", "outside")
+@query("sv_g11_moved_bins", with_base(f"WITH {nodes_sql('sp')}, {_PAIR}, {_MOVE.format(u=_u('pair::BIGINT', '5'))} SELECT pr.id, CAST(pr.bin + CASE WHEN pr.id = id_1 THEN move WHEN pr.id = id_2 THEN -move ELSE 0 END AS INT) AS bin FROM pr LEFT JOIN mv ON mv.pair = pr.pair", "sp"))
+def _moved_bins(spark: SparkSession, where: str) -> DataFrame:
+    """Bins after one accepted move of each pair, drawn from the steps that are allowed."""
+    b = sp_bins(spark, where).where("not is_root")
+    pairs = b.select(F.floor(F.col("node_ix") / 2).cast("string").alias("pair"), "id", "bin", (F.col("node_ix") % 2 == 0).alias("first"))
+    moves = params.pair_moves(pairs, N_BINS, 1, 1, P.lattice(F.col("pair"), F.lit(5))).where("id_1 is not null and id_2 is not null")
+    return params.moved_bins(b.select("id", "bin"), moves, moves.select("pair", F.lit(0.0).alias("log_ratio")), 1, 1)
+
+
+@query("sv_g11_branch_pairs", with_base(f"WITH {nodes_sql('mo')} SELECT count(*) // 2 AS n_pairs, count(*) % 2 AS n_alone, 2 AS least, 2 AS most FROM mo_nodes WHERE NOT is_root", "mo"))
+def _branch_pairs(spark: SparkSession, where: str) -> DataFrame:
+    """All branches but one at most are in a pair of two."""
+    b = tree(spark, where, "mo").where("not is_root").select("id", F.lit(0).alias("bin"))
+    sizes = params.branch_pairs(b, 1, 1).groupBy("pair").agg(F.count_distinct("id").alias("n"))
+    total = b.agg(F.count(F.lit(1))).scalar()
+    return sizes.agg(F.count(F.lit(1)).alias("n_pairs"), F.min("n").alias("least"), F.max("n").alias("most")).select("n_pairs", (total - 2 * F.col("n_pairs")).alias("n_alone"), "least", "most")
 
 
 # ---- sweeps --------------------------------------------------------------------------------------------------------------------------------------
@@ -472,11 +478,11 @@ def _moves(spark: SparkSession, where: str) -> DataFrame:
     return new.agg(F.count(F.lit(1)).alias("n_features")).select("n_features", twice.alias("twice"), strange.alias("not_candidates"))
 
 
-@query("sv_u05_changed_molecules", with_base("""SELECT 'gone' AS change, run, molecule FROM assigned WHERE molecule IS NOT NULL AND molecule % 5 = 0
-UNION ALL SELECT 'come', run, molecule + 1000000 FROM assigned WHERE molecule IS NOT NULL AND molecule % 5 = 0""", "assigned"))
+@query("sv_u05_changed_molecules", with_base("""SELECT 'gone' AS change, run, molecule FROM assigned WHERE molecule IS NOT NULL AND bin > 150
+UNION ALL SELECT 'come', run, molecule + 1000000 FROM assigned WHERE molecule IS NOT NULL AND bin > 150""", "assigned"))
 def _changed_molecules(spark: SparkSession, where: str) -> DataFrame:
     old = ms(spark, where)[3]
-    new = old.withColumn("molecule", F.when(F.col("molecule") % 5 == 0, F.col("molecule") + 1_000_000).otherwise(F.col("molecule")))
+    new = old.withColumn("molecule", F.when(F.col("bin") > 150, F.col("molecule") + 1_000_000).otherwise(F.col("molecule")))
     gone, come = msms.changed_molecules(old, new)
     return gone.select(F.lit("gone").alias("change"), "*").unionByName(come.select(F.lit("come").alias("change"), "*"))
 
@@ -491,13 +497,13 @@ def _density(spark: SparkSession, where: str) -> DataFrame:
     return got.withColumns({c: F.round(c, 9) for c in ("coverage", "density_overall", "density_leaf", "density_internal")})
 
 
-_PRED = "pp AS (SELECT t.o_custkey * 100000 + t.o_orderkey % 97 AS position, t.s AS truth, coalesce(q.p, 0) AS predicted FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0 END AS s FROM orders) t LEFT JOIN (SELECT o_orderkey, (o_custkey * 31 % 101) / 100.0::DOUBLE AS p FROM orders WHERE o_custkey % 6 > 0) q ON q.o_orderkey = t.o_orderkey)"
+_PRED = "pp AS (SELECT t.o_custkey * 100000 + t.o_orderkey % 97 AS position, t.s AS truth, coalesce(q.p, 0) AS predicted FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0 END AS s FROM orders) t LEFT JOIN (SELECT o_orderkey, (o_custkey * 31 % 101) / 100.0::DOUBLE AS p FROM orders WHERE o_orderpriority <> '1-URGENT') q ON q.o_orderkey = t.o_orderkey)"
 
 
 def predictions(spark: SparkSession, where: str) -> DataFrame:
     orders = raw(spark, where, "orders")
     truth = orders.select(F.col("o_orderkey").alias("position"), F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("truth"))
-    pred = orders.where("o_custkey % 6 > 0").select(F.col("o_orderkey").alias("position"), ((F.col("o_custkey") * 31 % 101) / 100.0).alias("predicted"))
+    pred = orders.where("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("position"), ((F.col("o_custkey") * 31 % 101) / 100.0).alias("predicted"))
     return analysis.with_predictions(truth, pred)
 
 
@@ -561,7 +567,7 @@ def _head(spark: SparkSession, where: str) -> DataFrame:
     return best(spark, where).orderBy(F.desc("score"), "feature", "molecule").limit(20)
 
 
-@query("sv_o05_subsample")
+@query("sv_o05_subsample", f"WITH q AS (SELECT o_orderkey AS position, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0 END AS truth, CASE WHEN o_orderpriority <> '1-URGENT' THEN (o_custkey * 31 % 101) / 100.0::DOUBLE ELSE 0 END AS predicted FROM orders) SELECT * FROM q ORDER BY {_u('position', '7')}, position LIMIT 500")
 def _subsample(spark: SparkSession, where: str) -> DataFrame:
     """Points of a plot: 500 rows without replacement."""
-    return analysis.subsample(predictions(spark, where), 500, "position")
+    return analysis.subsample(predictions(spark, where), 500, "position", u=P.lattice("position", F.lit(7)))

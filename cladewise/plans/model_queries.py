@@ -14,7 +14,8 @@ from cladewise.functions import prob as P
 from cladewise.functions.names import spelled, spelled_sql
 from cladewise.operators import analysis, field, likelihood, matching, msms, params, sparse, trees
 from cladewise.plans.base import EPSILON, GAMMA, N_BINS, base, nodes_sql, shape_of, with_base
-from cladewise.sources import synthetic, writers
+from cladewise.sources import readers, synthetic, writers
+from cladewise.store import Cuts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,9 +137,14 @@ def _generators(spark: SparkSession, where: str) -> DataFrame:
     return made.select("child", "parent", "length")
 
 
-@query("sv_t21_f08_poisson_counts")
+_STEPS4 = ", ".join(repr(x) for x in synthetic.poisson_steps(4.0))
+_LEAF_U = "(((leaf_ix * 7919 + 11 * 104729) % 1000003) + 0.5) / 1000003.0"
+
+
+@query("sv_t21_f08_poisson_counts", with_base(f"WITH {nodes_sql('sp')}, q AS (SELECT id AS leaf, (SELECT count(*) FROM unnest([{_STEPS4}]::DOUBLE[]) t(x) WHERE x < {_LEAF_U}) AS n FROM sp_nodes WHERE kind = 'leaf') SELECT leaf, n FROM q WHERE n > 0", "sp"))
 def _poisson(spark: SparkSession, where: str) -> DataFrame:
-    return synthetic.poisson_counts(trees.leaf_ids(base(spark, where, "sp")))
+    leaves = tree(spark, where, "sp").where("kind = 'leaf'")
+    return synthetic.poisson_counts(leaves, 4.0, u=P.lattice("leaf_ix", F.lit(11)))
 
 
 @query("sv_t22_g21_k11_parameters")
@@ -279,32 +285,39 @@ def _posterior(spark: SparkSession, where: str) -> DataFrame:
     return writers.y_dump(spark, y_of(spark, where), shape_of(spark, where), *names, 8, False).withColumn("fraction_of_one", F.round("fraction_of_one", 9))
 
 
-# nation x brand: a small matrix for what is dense by definition
-_SMALL = "nb AS (SELECT CAST(c_nationkey AS BIGINT) AS r, CAST(split_part(p_brand, '#', 2) AS BIGINT) AS c, max(y) AS y, CAST(sum(n) AS INT) AS n FROM cells JOIN customer ON c_custkey = r JOIN part ON p_partkey = c WHERE (r + c) % 5 = 0 GROUP BY 1, 2)"
-_SMALL_SHAPE = sparse.Shape(25, 30)
-
+# the whole customer x part matrix; what is dense by definition is summed by row
+_GRID_CELLS = "SELECT c_custkey AS r, p_partkey AS c FROM customer, part"
+_EXISTS = "coalesce(y = 1, false) AS state, y IS NOT NULL AS \"exists\""
 
-def small(spark: SparkSession, where: str) -> DataFrame:
-    rows = base(spark, where, "cells").where("(r + c) % 5 = 0").join(raw(spark, where, "customer").select(F.col("c_custkey").alias("r"), "c_nationkey"), "r").join(raw(spark, where, "part").select(F.col("p_partkey").alias("c"), "p_brand"), "c")
-    return rows.groupBy(F.col("c_nationkey").cast("long").alias("r"), F.split_part("p_brand", F.lit("#"), F.lit(2)).cast("long").alias("c")).agg((F.max("y") == 1).alias("state"), F.sum("n").cast("int").alias("n_ones"))
 
-
-_DENSE = "SELECT {0} FROM range(750) t(p) LEFT JOIN nb ON nb.r = p // 30 AND nb.c = p % 30 {1}"
+@query("sv_m15_k01_dense", with_base(f"""WITH g AS ({_GRID_CELLS})
+SELECT g.r, count(*) AS n_cells, CAST(sum(g.r * {_N} + g.c) AS BIGINT) AS sum_linear, count(CASE WHEN y = 1 THEN 1 END) AS n_ones, count(y) AS n_stored FROM g LEFT JOIN cells k ON k.r = g.r AND k.c = g.c GROUP BY g.r""", "cells"))
+def _dense(spark: SparkSession, where: str) -> DataFrame:
+    """Every cell of the full matrix, summed by row."""
+    cells = sparse.densified(spark, y_of(spark, where), shape_of(spark, where))
+    return cells.groupBy("r").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("linear").alias("sum_linear"), F.count_if("state").alias("n_ones"), F.count_if("exists").alias("n_stored"))
 
 
-@query("sv_m15_k01_dense", with_base(f"WITH {_SMALL} " + _DENSE.format("p AS linear, p // 30 AS r, p % 30 AS c, coalesce(y = 1, false) AS state, y IS NOT NULL AS \"exists\"", ""), "cells"))
-def _dense(spark: SparkSession, where: str) -> DataFrame:
-    return sparse.densified(spark, small(spark, where), _SMALL_SHAPE)
+@query("sv_k01_full_dump", with_base(f"""WITH g AS ({_GRID_CELLS})
+SELECT 'c' || g.r AS species, count(*) AS n_cells, min(g.r * {_N} + g.c) AS first, max(g.r * {_N} + g.c) AS last, count(CASE WHEN y = 1 THEN 1 END) AS n_ones, round(coalesce(sum(n), 0) / 8.0::DOUBLE, 6) AS fractions FROM g LEFT JOIN cells k ON k.r = g.r AND k.c = g.c GROUP BY g.r""", "cells"))
+def _full_dump(spark: SparkSession, where: str) -> DataFrame:
+    """The full dump of Y with names and fractions, summed by species."""
+    names = [tree(spark, where, t).where("kind = 'leaf'").select(F.col("leaf_ix").alias("ix"), "id") for t in ("sp", "mo")]
+    rows = writers.y_dump(spark, y_of(spark, where), shape_of(spark, where), *names, 8, True)
+    position = F.col("position")
+    return rows.groupBy("species").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.min(position).alias("first"), F.max(position).alias("last"), F.count_if(F.col("Y_state") == 1).alias("n_ones"), r(F.sum("fraction_of_one"), 6, "fractions")
+    )
 
 
-@query("sv_m16_w02_row_window", with_base(f"WITH {_SMALL} " + _DENSE.format("p AS linear, p % 30 AS c, coalesce(y = 1, false) AS state, y IS NOT NULL AS \"exists\"", "WHERE p BETWEEN 95 AND 114"), "cells"))
+@query("sv_m16_w02_row_window", with_base(f"SELECT 3 * {_N} + p_partkey AS linear, p_partkey AS c, {_EXISTS} FROM part LEFT JOIN cells k ON k.r = 3 AND k.c = p_partkey WHERE p_partkey BETWEEN 5 AND 154", "cells"))
 def _row(spark: SparkSession, where: str) -> DataFrame:
-    return sparse.row_window(spark, small(spark, where), _SMALL_SHAPE, 3, 5, 20)
+    return sparse.row_window(spark, y_of(spark, where), shape_of(spark, where), 3, 5, 150)
 
 
-@query("sv_m17_w02_column_window", with_base(f"WITH {_SMALL} " + _DENSE.format("p AS linear, p // 30 AS r, coalesce(y = 1, false) AS state, y IS NOT NULL AS \"exists\"", "WHERE p % 30 = 7 AND p // 30 BETWEEN 4 AND 13"), "cells"))
+@query("sv_m17_w02_column_window", with_base(f"SELECT c_custkey * {_N} + 7 AS linear, c_custkey AS r, {_EXISTS} FROM customer LEFT JOIN cells k ON k.c = 7 AND k.r = c_custkey WHERE c_custkey BETWEEN 4 AND 103", "cells"))
 def _column(spark: SparkSession, where: str) -> DataFrame:
-    return sparse.column_window(spark, small(spark, where), _SMALL_SHAPE, 7, 4, 10)
+    return sparse.column_window(spark, y_of(spark, where), shape_of(spark, where), 7, 4, 100)
 
 
 @query("sv_m18_switch", with_base("SELECT r, c, y = 0 AS state, n AS n_ones, y = 1 AND n = 0 AS empty FROM cells", "cells"))
@@ -312,16 +325,16 @@ def _switch(spark: SparkSession, where: str) -> DataFrame:
     return sparse.switched(y_of(spark, where)).withColumn("empty", sparse.is_empty_cell())
 
 
-_Z = "z AS (SELECT n.internal_ix, k.c AS other_ix, max(k.y) = 1 AS state FROM cells k JOIN customer ON c_custkey = k.r JOIN sp_nodes n ON n.id = 'n' || c_nationkey WHERE (k.r + k.c) % 3 = 0 GROUP BY 1, 2)"
+_Z = "z AS MATERIALIZED (SELECT n.internal_ix, k.c AS other_ix, max(k.y) = 1 AS state FROM cells k JOIN customer ON c_custkey = k.r JOIN sp_nodes n ON n.id = 'n' || c_nationkey GROUP BY 1, 2)"
 
 
 def z_sp(spark: SparkSession, where: str) -> DataFrame:
-    """Z of the species tree: a nation holds a part if some of its customers (a third of the cells) do."""
+    """Z of the species tree: a nation holds a part if some of its customers do."""
     up = raw(spark, where, "customer").select(F.col("c_custkey").alias("r"), F.expr("'n' || c_nationkey").alias("id")).join(tree(spark, where, "sp").select("id", "internal_ix"), "id")
-    return base(spark, where, "cells").where("(r + c) % 3 = 0").join(up, "r").groupBy("internal_ix", F.col("c").alias("other_ix")).agg((F.max("y") == 1).alias("state"))
+    return base(spark, where, "cells").join(up, "r").groupBy("internal_ix", F.col("c").alias("other_ix")).agg((F.max("y") == 1).alias("state"))
 
 
-_STATES = f"{nodes_sql('sp')}, {_Z}, st AS (SELECT k.c AS clique, 'c' || k.r AS id, k.y = 1 AS state FROM cells k UNION ALL SELECT z.other_ix, n.id, z.state FROM z JOIN sp_nodes n ON n.internal_ix = z.internal_ix)"
+_STATES = f"{nodes_sql('sp')}, {_Z}, st AS MATERIALIZED (SELECT k.c AS clique, 'c' || k.r AS id, k.y = 1 AS state FROM cells k UNION ALL SELECT z.other_ix, n.id, z.state FROM z JOIN sp_nodes n ON n.internal_ix = z.internal_ix)"
 
 
 def states(spark: SparkSession, where: str) -> DataFrame:
@@ -346,3 +359,51 @@ def _z_dump(spark: SparkSession, where: str) -> DataFrame:
 def _trace(spark: SparkSession, where: str) -> DataFrame:
     ones, shape = sparse.without_zeros(y_of(spark, where)), shape_of(spark, where)
     return writers.trace_rows(ones, shape, 1).unionByName(writers.trace_rows(ones, shape, 2))
+
+
+# ---- text files: written and read again ------------------------------------------------------------------------------------------------
+def _written(spark: SparkSession, df: DataFrame, sep: str = "\t") -> str:
+    path = f"{Cuts(spark, 'text').root}/table"
+    writers.write_table(df, path, sep)
+    return path
+
+
+@query("sv_s01_tree_file", with_base("SELECT child, parent, length FROM sp", "sp"))
+def _tree_file(spark: SparkSession, where: str) -> DataFrame:
+    return readers.edges(spark, _written(spark, base(spark, where, "sp").select("child", "parent", "length"))).select("child", "parent", "length")
+
+
+@query("sv_s05_paper_file", with_base("SELECT leaf, n FROM papers_r", "papers_r"))
+def _paper_file(spark: SparkSession, where: str) -> DataFrame:
+    return readers.paper_counts(spark, _written(spark, base(spark, where, "papers_r").select("leaf", "n"))).select("leaf", "n")
+
+
+@query("sv_s06_y_file", with_base(f"SELECT r * {_N} + c AS position, n / 8.0::DOUBLE AS fraction FROM cells WHERE y = 1", "cells"))
+def _y_file(spark: SparkSession, where: str) -> DataFrame:
+    names = [raw(spark, where, t).select(F.col(k).alias("ix"), F.col(k).alias("id")) for t, k in (("customer", "c_custkey"), ("part", "p_partkey"))]
+    return readers.y_state(spark, _written(spark, writers.y_dump(spark, y_of(spark, where), shape_of(spark, where), *names, 8, False)))
+
+
+@query("sv_s07_z_file", with_base(f"WITH {_STATES} SELECT z.internal_ix * {_N} + z.other_ix AS position FROM z WHERE state", "sp", "cells"))
+def _z_file(spark: SparkSession, where: str) -> DataFrame:
+    z = z_sp(spark, where).select(F.col("internal_ix").alias("r"), F.col("other_ix").alias("c"), "state")
+    rows = tree(spark, where, "sp").where("internal_ix is not null").select(F.col("internal_ix").alias("ix"), "id")
+    cols = raw(spark, where, "part").select(F.col("p_partkey").alias("ix"), F.col("p_partkey").alias("id"))
+    return readers.z_state(spark, _written(spark, writers.z_dump(spark, z, shape_of(spark, where), rows, cols, False)))
+
+
+@query("sv_s08_parameter_file", "SELECT 'species_log_nu_' || p_partkey AS name, p_retailprice AS value FROM part")
+def _parameter_file(spark: SparkSession, where: str) -> DataFrame:
+    rows = raw(spark, where, "part").select(F.expr("'species_log_nu_' || p_partkey").alias("name"), F.col("p_retailprice").alias("value"))
+    return readers.parameters(spark, _written(spark, rows, ","))
+
+
+@query("sv_s12_s13_delimited_columns", "SELECT edge_id, feature, score FROM edges WHERE score IS NOT NULL AND isfinite(score)")
+def _delimited(spark: SparkSession, where: str) -> DataFrame:
+    path = _written(spark, raw(spark, where, "edges"))
+    return readers.delimited(spark, path, {"edge_id": "long", "feature": "string", "score": "double"}).where("score is not null and not isnan(score) and abs(score) < double('infinity')")
+
+
+@query("sv_a10_t15_strides", "SELECT 0 AS dimension, 35 AS stride UNION ALL SELECT 1, 7 UNION ALL SELECT 2, 1")
+def _strides(spark: SparkSession, where: str) -> DataFrame:
+    return spark.createDataFrame([(d, trees.clique_stride([4, 5, 7], d)) for d in range(3)], "dimension int, stride int")

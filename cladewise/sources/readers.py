@@ -16,7 +16,7 @@ def table(spark: SparkSession, path: str, n_columns: int | None = None) -> DataF
     """A text table split at any run of white space, as strings, with ``_row``, the place of the line in the data.
 
     Tabs, blanks and CR LF line ends may be mixed; blank lines don't count. ``_row`` orders lines of one file as they stand: it is made
-    from the offset of the block and the place in it.
+    from the offset of the block and the place in it. A folder of parts that each have the header is read as one table.
     """
     lines = spark.read.text(path).withColumn("_row", F.monotonically_increasing_id()).where(F.trim(F.regexp_replace("value", r"\s+", " ")) != "")
     parts = lines.select("_row", F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("p"))
@@ -26,7 +26,7 @@ def table(spark: SparkSession, path: str, n_columns: int | None = None) -> DataF
     names = first[0].p
     if n_columns is not None and len(names) != n_columns:
         raise BadTable(f"{path} has {len(names)} columns, not {n_columns}")
-    rows = parts.where(F.col("_row") != first[0]._row)
+    rows = parts.where(F.col("p") != F.array(*map(F.lit, names)))
     return rows.select("_row", *(F.try_element_at("p", F.lit(i + 1)).alias(n) for i, n in enumerate(names)))
 
 

@@ -41,19 +41,24 @@ def balanced(spark: SparkSession, name: str, n_nodes: int) -> DataFrame:
 TREES = {"grass": grass, "star": star, "balanced": balanced}
 
 
-def poisson(u: Column, mean: float, most: int = 64) -> Column:
-    """A Poisson number by inversion of one uniform: how many cumulative probabilities lie below it."""
-    cumulative, p, total = [], math.exp(-mean), 0.0
+def poisson_steps(mean: float, most: int = 64) -> list[float]:
+    """The cumulative probabilities of 0, 1, ... most - 1."""
+    out, p, total = [], math.exp(-mean), 0.0
     for k in range(most):
         total += p
         p *= mean / (k + 1)
-        cumulative.append(total)
-    return F.size(F.filter(F.array(*(F.lit(c) for c in cumulative)), lambda c: c < u)).cast("long")
+        out.append(total)
+    return out
+
+
+def poisson(u: Column, mean: float, most: int = 64) -> Column:
+    """A Poisson number by inversion of one uniform: how many cumulative probabilities lie below it."""
+    return F.size(F.filter(F.array(*(F.lit(c) for c in poisson_steps(mean, most))), lambda c: c < u)).cast("long")
 
 
-def poisson_counts(leaves: DataFrame, mean: float = 4.0, seed: int = 0) -> DataFrame:
+def poisson_counts(leaves: DataFrame, mean: float = 4.0, seed: int = 0, u: Column | None = None) -> DataFrame:
     """(leaf, n): Poisson paper counts per leaf id, without zeros."""
-    return leaves.select(F.col("id").alias("leaf"), poisson(uniform("id", seed=seed), mean).alias("n")).where("n > 0")
+    return leaves.select(F.col("id").alias("leaf"), poisson(uniform("id", seed=seed) if u is None else u, mean).alias("n")).where("n > 0")
 
 
 def beta_2_3(*keys: Column | str | int, seed: int) -> Column:
