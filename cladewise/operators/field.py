@@ -49,6 +49,64 @@ def all_branches(states: DataFrame, table: DataFrame, cliques: DataFrame) -> Dat
     return rows.join(up, ["clique", "parent"], "left").fillna({"state": False, "parent_state": False}).drop("branch_ix")
 
 
+def touched_branches(states: DataFrame, table: DataFrame, cliques: DataFrame) -> DataFrame:
+    """The branches at whose ends a one stands, with the columns of all_branches; at every other branch both states are false.
+
+    As many rows as ones, and as children of ones: what no one touches needs no row, see bulk_counts.
+    """
+    branches = table.where("branch_ix is not null").select("id", "parent", "bin")
+    ones = states.where("state").select("clique", "id")
+    own = ones.join(branches, "id").select("clique", "id", "parent", "bin", F.lit(True).alias("state"), F.lit(False).alias("parent_state"))
+    below = ones.withColumnRenamed("id", "parent").join(branches, "parent").select("clique", "id", "parent", "bin", F.lit(False).alias("state"), F.lit(True).alias("parent_state"))
+    both = own.unionByName(below).groupBy("clique", "id", "parent", "bin").agg(F.bool_or("state").alias("state"), F.bool_or("parent_state").alias("parent_state"))
+    return both.join(cliques.select("clique", "alpha", "nu"), "clique").select("clique", "id", "parent", "bin", "alpha", "nu", "state", "parent_state")
+
+
+def bulk_counts(table: DataFrame, n_bins: int) -> list[int]:
+    """The number of branches by bin: what all cliques have in common."""
+    found = {r.bin: r.n for r in table.where("branch_ix is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [found.get(b, 0) for b in range(n_bins)]
+
+
+def _bulk(alpha: Column | str, nu: Column | str, counts: list[int], minus: Callable[[int], Column] | None = None) -> Column:
+    """Sum over bins of (count - minus) ln P(0 | 0); empty bins add nothing, so a guard value for ln 0 can't leak in."""
+    out = F.lit(0.0)
+    for b, n in enumerate(counts):
+        if n:
+            left = F.lit(n) - (minus(b) if minus else F.lit(0))
+            out = out + F.when(left > 0, left * safe_ln(transition(alpha, nu, F.lit(b), len(counts))["p00"])).otherwise(0.0)
+    return out
+
+
+def sparse_log_likelihood(touched: DataFrame, cliques: DataFrame, counts: list[int], alpha_try: Column | None = None, nu_try: Column | None = None) -> DataFrame:
+    """As tree_log_likelihood, from touched_branches and bulk_counts: the rest of the branches is one term per bin."""
+    n_bins = len(counts)
+    alpha_new, nu_new = ("alpha" if alpha_try is None else alpha_try), ("nu" if nu_try is None else nu_try)
+
+    def ln(alpha: Column | str, nu: Column | str) -> Column:
+        return F.sum(safe_ln(transition_to("parent_state", "state", transition(alpha, nu, "bin", n_bins))))
+
+    per_bin = [F.count_if(F.col("bin") == b).alias(f"n_{b}") for b in range(n_bins)]
+    extra = [c for c in touched.columns if c in ("alpha_try", "nu_try")]
+    some = touched.groupBy("clique").agg(ln("alpha", "nu").alias("s_cur"), ln(alpha_new, nu_new).alias("s_try"), *per_bin)
+    rows = cliques.select("clique", "alpha", "nu", *extra).join(some, "clique", "left").fillna(0)
+    return rows.select(
+        "clique", (F.col("s_cur") + _bulk("alpha", "nu", counts, lambda b: F.col(f"n_{b}"))).alias("cur"), (F.col("s_try") + _bulk(alpha_new, nu_new, counts, lambda b: F.col(f"n_{b}"))).alias("try")
+    )
+
+
+def sparse_joint_log_density(touched: DataFrame, states: DataFrame, table: DataFrame, cliques: DataFrame, counts: list[int]) -> DataFrame:
+    """As joint_log_density, without a row per branch and clique."""
+    branches = sparse_log_likelihood(touched, cliques, counts).agg(F.sum("cur")).scalar()
+    roots = table.where("kind = 'root'").select("id")
+    n_roots = roots.agg(F.count(F.lit(1))).scalar()
+    on = states.where("state").join(roots, "id", "left_semi").groupBy("clique").agg(F.count(F.lit(1)).alias("on"))
+    tops = cliques.select("clique", "alpha").join(on, "clique", "left").fillna({"on": 0})
+    one, zero = F.col("on"), n_roots - F.col("on")
+    term = F.when(one > 0, one * safe_ln("alpha")).otherwise(0.0) + F.when(zero > 0, zero * safe_ln(1 - F.col("alpha"))).otherwise(0.0)
+    return tops.agg((F.sum(term) + branches).alias("joint_log_density"))
+
+
 def branch_probabilities(rows: DataFrame, n_bins: int) -> DataFrame:
     """Adds ``p`` = P(state | parent's state) of each branch."""
     return rows.withColumn("p", transition_to("parent_state", "state", transition("alpha", "nu", "bin", n_bins)))

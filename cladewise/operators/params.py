@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladewise.functions import prob as P
-from cladewise.operators.field import tree_log_likelihood
+from cladewise.operators.field import sparse_log_likelihood
 
 #: The priors and starting points of the model.
 PRIORS = {"gamma": ("gamma", 2.0, 4.6), "epsilon": ("beta", 0.3, 5.0), "mean_log_nu": ("normal", 0.0, 2.0), "var_log_nu": ("exponential", 1.0), "contamination": ("beta", 0.3, 5.0)}
@@ -79,9 +79,10 @@ def decide_cliques(cliques: DataFrame, ratios: DataFrame, name: str, seed: int,
     return rows.select("clique", "alpha", "log_nu", F.exp("log_nu").alias("nu"), "accepted")
 
 
-def clique_ratios(rows: DataFrame, n_bins: int) -> DataFrame:
-    """(clique, cur, try) from branches that carry alpha_try and nu_try too."""
-    return tree_log_likelihood(rows, n_bins, F.col("alpha_try"), F.col("nu_try"))
+def clique_ratios(touched: DataFrame, tries: DataFrame, counts: list[int]) -> DataFrame:
+    """(clique, cur, try) of proposals (clique, alpha, nu, alpha_try, nu_try), from touched_branches and bulk_counts."""
+    rows = touched.join(tries.select("clique", "alpha_try", "nu_try"), "clique")
+    return sparse_log_likelihood(rows, tries, counts, F.col("alpha_try"), F.col("nu_try"))
 
 
 # -- mean and variance of log_nu -----------------------------------------------------------------------------------------------------
@@ -161,6 +162,23 @@ def pair_ratios(moves: DataFrame, rows: DataFrame, n_bins: int) -> DataFrame:
     return met.groupBy("pair", "id").agg(F.sum(P.safe_ln(new) - P.safe_ln(old)).alias("d")).groupBy("pair").agg(F.sum("d").alias("log_ratio"))
 
 
+def sparse_pair_ratios(moves: DataFrame, touched: DataFrame, cliques: DataFrame, n_bins: int) -> DataFrame:
+    """As pair_ratios, from touched_branches: cliques that don't touch a branch are one sum per bin, from a single pass over the cliques."""
+    sums = cliques.agg(*(F.sum(P.safe_ln(P.transition("alpha", "nu", F.lit(b), n_bins)["p00"])).alias(f"s_{b}") for b in range(n_bins))).first()
+    all_of = F.array(*(F.lit(float(sums[f"s_{b}"] or 0.0)) for b in range(n_bins)))
+    both = moves.select("pair", F.explode(F.array(F.struct(F.col("id_1").alias("id"), F.col("bin_1").alias("bin"), F.col("move").alias("by")), F.struct(F.col("id_2").alias("id"), F.col("bin_2").alias("bin"), (-F.col("move")).alias("by")))).alias("x")).select("pair", "x.*")
+    met = touched.drop("bin").join(both, "id")
+    to = F.col("bin") + F.col("by")
+
+    def ln(bin_: Column, state: bool) -> Column:
+        p = P.transition("alpha", "nu", bin_, n_bins)
+        return P.safe_ln(P.transition_to("parent_state", "state", p) if state else p["p00"])
+
+    seen = met.groupBy("pair", "id").agg(F.sum(ln(to, True) - ln(F.col("bin"), True) - ln(to, False) + ln(F.col("bin"), False)).alias("d"))
+    rest = F.get(all_of, to) - F.get(all_of, F.col("bin"))
+    return both.join(seen, ["pair", "id"], "left").groupBy("pair").agg(F.sum(rest + F.coalesce("d", F.lit(0.0))).alias("log_ratio"))
+
+
 def moved_bins(branches: DataFrame, moves: DataFrame, ratios: DataFrame, seed: int, iteration: int) -> DataFrame:
     """Branches (id, bin) after the accepted moves."""
     took = moves.join(ratios, "pair").where(P.accepted(F.col("log_ratio"), P.uniform("pair", iteration, seed=seed + 7)))

@@ -161,14 +161,15 @@ def update_tree_parameters(cuts: Cuts, state: State, config: Config, tree: str,
     table, cliques = (state.species, state.cliques_s) if tree == "species" else (state.molecules, state.cliques_m)
     states = cuts.save(f"states-{tree}", stored_states(state, tree).select("clique", "id", "state"))
     seed = config.seed * 31 + (tree == "molecules") * 17
+    counts = fields.bulk_counts(table, config.n_bins)
     for name, propose in (("alpha", params.proposed_alpha), ("log_nu", params.proposed_log_nu)):
         tries = propose(cliques, config.steps[name], seed, iteration)
-        rows = fields.all_branches(states, table, cliques).join(tries.select("clique", "alpha_try", "nu_try"), "clique")
-        done = params.decide_cliques(tries, params.clique_ratios(rows, config.n_bins), name, seed, iteration, *state.hyper[tree])
+        touched = fields.touched_branches(states, table, cliques)
+        done = params.decide_cliques(tries, params.clique_ratios(touched, tries, counts), name, seed, iteration, *state.hyper[tree])
         cliques = cuts.save(f"params-{tree}-{name}", done.drop("accepted"))
     branches = table.where("not is_root").select("id", "bin")
     moves = cuts.save(f"moves-{tree}", params.pair_moves(params.branch_pairs(branches, seed, iteration), config.n_bins, seed, iteration))
-    ratios = params.pair_ratios(moves, fields.all_branches(states, table, cliques), config.n_bins)
+    ratios = params.sparse_pair_ratios(moves, fields.touched_branches(states, table, cliques), cliques, config.n_bins)
     bins = params.moved_bins(branches, moves, ratios, seed, iteration)
     table = cuts.save(f"nodes-{tree}", table.drop("bin").join(bins, "id", "left"))
     rng = np.random.Generator(np.random.Philox(key=[seed + 5, iteration]))

@@ -198,7 +198,8 @@ def _children(spark: SparkSession, where: str) -> DataFrame:
 
 @query("sv_a07_tree_log_likelihood", with_base(f"WITH {_GRID} SELECT clique, round(sum({ln(p_of('alpha', 'nu', 'bin', 'up', 'state'))}), 5) AS cur, round(sum({ln(p_of('0.5::DOUBLE', '(nu * 1.5::DOUBLE)', 'bin', 'up', 'state'))}), 5) AS try FROM br GROUP BY clique", "sp", "cells"))
 def _tree_ll(spark: SparkSession, where: str) -> DataFrame:
-    got = field.tree_log_likelihood(branches(spark, where), N_BINS, F.lit(0.5), F.col("nu") * 1.5)
+    sp, cl = sp_bins(spark, where), sp_cliques(spark, where)
+    got = field.sparse_log_likelihood(field.touched_branches(states(spark, where), sp, cl), cl, field.bulk_counts(sp, N_BINS), F.lit(0.5), F.col("nu") * 1.5)
     return got.select("clique", r("cur", 5, "cur"), r("try", 5, "try"))
 
 
@@ -219,7 +220,8 @@ round((SELECT sum({ln(p_of('alpha', 'nu', 'bin', 'up', 'state'))}) FROM br) + (S
 def _densities(spark: SparkSession, where: str) -> DataFrame:
     rows, st, sp, cl = branches(spark, where), states(spark, where), tree(spark, where, "sp"), sp_cliques(spark, where)
     pseudo = field.pseudo_log_density(field.full_conditionals(rows, st, sp, cl, N_BINS)).scalar()
-    joint = field.joint_log_density(rows, st, sp, cl, N_BINS)
+    bins = sp_bins(spark, where)
+    joint = field.sparse_joint_log_density(field.touched_branches(st, bins, cl), st, sp, cl, field.bulk_counts(bins, N_BINS))
     return joint.select(r(pseudo, 2, "pseudo_log_density"), r("joint_log_density", 2, "joint_log_density"))
 
 
@@ -246,7 +248,8 @@ def _pair_ratios(spark: SparkSession, where: str) -> DataFrame:
     b = sp_bins(spark, where).where("not is_root")
     pairs = b.select(F.floor(F.col("node_ix") / 2).cast("string").alias("pair"), "id", "bin", (F.col("node_ix") % 2 == 0).alias("first"))
     moves = params.pair_moves(pairs, N_BINS, 0, 0, F.lit(0.25)).where("id_1 is not null and id_2 is not null")
-    return params.pair_ratios(moves, branches(spark, where), N_BINS).withColumn("log_ratio", F.round("log_ratio", 4))
+    touched = field.touched_branches(states(spark, where), sp_bins(spark, where), sp_cliques(spark, where))
+    return params.sparse_pair_ratios(moves, touched, sp_cliques(spark, where), N_BINS).withColumn("log_ratio", F.round("log_ratio", 4))
 
 
 @query("sv_g11_moved_bins", with_base(f"WITH {nodes_sql('sp')}, {_PAIR}, {_MOVE.format(u=_u('pair::BIGINT', '5'))} SELECT pr.id, CAST(pr.bin + CASE WHEN pr.id = id_1 THEN move WHEN pr.id = id_2 THEN -move ELSE 0 END AS INT) AS bin FROM pr LEFT JOIN mv ON mv.pair = pr.pair", "sp"))
@@ -376,8 +379,8 @@ def _proposals(spark: SparkSession, where: str) -> DataFrame:
     out = None
     for name, propose in (("alpha", params.proposed_alpha), ("log_nu", params.proposed_log_nu)):
         tries = propose(start, 0.1, 1, 1)
-        rows = field.all_branches(states(spark, where), sp_bins(spark, where), start).join(tries.select("clique", "alpha_try", "nu_try"), "clique")
-        done = params.decide_cliques(tries, params.clique_ratios(rows, N_BINS), name, 1, 1).withColumn("step", F.lit(name))
+        touched = field.touched_branches(states(spark, where), sp_bins(spark, where), start)
+        done = params.decide_cliques(tries, params.clique_ratios(touched, tries, field.bulk_counts(sp_bins(spark, where), N_BINS)), name, 1, 1).withColumn("step", F.lit(name))
         out = done if out is None else out.unionByName(done)
     return out
 

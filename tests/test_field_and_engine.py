@@ -94,6 +94,14 @@ def test_conditionals_of_spark_and_arrays_agree(spark):
         for node, w in brute_conditionals(t, st[k], a, v).items():
             assert got[k, ids[node]] == pytest.approx(tuple(w))
     joint = field.joint_log_density(grid, states, table, cliques, 20).first()[0]
+    touched, counts = field.touched_branches(states, table, cliques), field.bulk_counts(table, 20)
+    assert touched.count() < grid.count() and field.sparse_joint_log_density(touched, states, table, cliques, counts).first()[0] == pytest.approx(joint)
+    whole = {r.clique: (r["cur"], r["try"]) for r in field.tree_log_likelihood(grid, 20, F.lit(0.4), F.col("nu") * 2).collect()}
+    assert {r.clique: (r["cur"], r["try"]) for r in field.sparse_log_likelihood(touched, cliques, counts, F.lit(0.4), F.col("nu") * 2).collect()} == {k: pytest.approx(v) for k, v in whole.items()}
+    pairs = spark.createDataFrame([("a", "v1", 3, True), ("a", "v2", 9, False), ("b", "v3", 1, True), ("b", "v8", 6, False)], "pair string, id string, bin int, first boolean")
+    moves = params.pair_moves(pairs, 20, 1, 1)
+    ratios = [{r.pair: r.log_ratio for r in x.collect()} for x in (params.pair_ratios(moves, grid, 20), params.sparse_pair_ratios(moves, touched, cliques, 20))]
+    assert ratios[1] == {k: pytest.approx(v) for k, v in ratios[0].items()}
     want = 0.0
     for k, (a, v) in enumerate(((0.3, 0.8), (0.6, 2.0))):
         p = t.matrices(a, v)
