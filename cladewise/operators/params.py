@@ -194,13 +194,19 @@ def named(cliques: DataFrame, tree: str, names: DataFrame) -> DataFrame:
     return rows.select("name", kinds.alias("x")).select(F.concat_ws("_", F.lit(tree), "x.kind", "name").alias("name"), F.col("x.value").alias("value"))
 
 
-def generated_parameters(spark: SparkSession, tree: str, branch_names: DataFrame, clique_names: DataFrame, n_bins: int, mean: float, var: float, seed: int = 0) -> DataFrame:
-    """(name, value) of a scenario: alpha, log_nu per clique, a bin per branch, and the mean and variance of log_nu."""
+def generated_parameters(spark: SparkSession, tree: str, branch_names: DataFrame, clique_names: DataFrame, n_bins: int, mean: float, var: float, seed: int = 0, fixed: dict[str, float | None] | None = None) -> DataFrame:
+    """(name, value) of a scenario: alpha, log_nu per clique, a bin per branch, and the mean and variance of log_nu.
+
+    ``fixed`` has one value for all of ``alpha``, ``log_nu`` or ``branch_lengths``; what isn't in it, or None, is drawn.
+    """
+    fixed = {k: v for k, v in (fixed or {}).items() if v is not None}
+    if not 0 <= fixed.get("branch_lengths", 0) < n_bins or not 0 <= fixed.get("alpha", 0) <= 1:
+        raise ValueError(f"bins lie from 0 to {n_bins - 1}, and alpha from 0 to 1")
     if var <= 0 or n_bins < 2:
         raise ValueError("the variance must be above 0, and there must be two bins or more")
-    a = clique_names.select(F.concat(F.lit(f"{tree}_alpha_"), "name").alias("name"), P.uniform("name", seed=seed).alias("value"))
-    v = clique_names.select(F.concat(F.lit(f"{tree}_log_nu_"), "name").alias("name"), (mean + math.sqrt(var) * P.normal("name", seed=seed + 1)).alias("value"))
-    b = branch_names.select(F.concat(F.lit(f"{tree}_branch_lengths_"), "name").alias("name"), F.floor(P.uniform("name", seed=seed + 2) * n_bins).cast("double").alias("value"))
+    a = clique_names.select(F.concat(F.lit(f"{tree}_alpha_"), "name").alias("name"), (F.lit(float(fixed["alpha"])) if "alpha" in fixed else P.uniform("name", seed=seed)).alias("value"))
+    v = clique_names.select(F.concat(F.lit(f"{tree}_log_nu_"), "name").alias("name"), (F.lit(float(fixed["log_nu"])) if "log_nu" in fixed else mean + math.sqrt(var) * P.normal("name", seed=seed + 1)).alias("value"))
+    b = branch_names.select(F.concat(F.lit(f"{tree}_branch_lengths_"), "name").alias("name"), (F.lit(float(fixed["branch_lengths"])) if "branch_lengths" in fixed else F.floor(P.uniform("name", seed=seed + 2) * n_bins).cast("double")).alias("value"))
     h = spark.createDataFrame([(f"{tree}_mean_log_nu", float(mean)), (f"{tree}_var_log_nu", float(var))], "name string, value double")
     return a.unionByName(v).unionByName(b).unionByName(h)
 

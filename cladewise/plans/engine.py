@@ -41,6 +41,7 @@ class Config:
     update_y: bool = True
     update_z: bool = True
     update_parameters: bool = True
+    update_branches: bool = True
     simple_error: bool = False
     log_nu_var: float = 1.0
     contamination: float = 0.001
@@ -168,10 +169,8 @@ def update_tree_parameters(cuts: Cuts, state: State, config: Config, tree: str,
         done = params.decide_cliques(tries, params.clique_ratios(touched, tries, counts), name, seed, iteration, *state.hyper[tree])
         cliques = cuts.save(f"params-{tree}-{name}", done.drop("accepted"))
     branches = table.where("not is_root").select("id", "bin")
-    moves = cuts.save(f"moves-{tree}", params.pair_moves(params.branch_pairs(branches, seed, iteration), config.n_bins, seed, iteration))
-    ratios = params.sparse_pair_ratios(moves, fields.touched_branches(states, table, cliques), cliques, config.n_bins)
-    bins = params.moved_bins(branches, moves, ratios, seed, iteration)
-    table = cuts.save(f"nodes-{tree}", table.drop("bin").join(bins, "id", "left"))
+    if config.update_branches:
+        table = moved_branches(cuts, table, branches, states, cliques, config, tree, seed, iteration)
     rng = np.random.Generator(np.random.Philox(key=[seed + 5, iteration]))
     state.hyper[tree] = params.updated_hyper(params.log_nu_moments(cliques), *state.hyper[tree], (config.steps["mean_log_nu"], config.steps["var_log_nu"]), rng)
     if tree == "species":
@@ -180,6 +179,14 @@ def update_tree_parameters(cuts: Cuts, state: State, config: Config, tree: str,
         state.molecules, state.cliques_m = table, cliques
 
 
+def moved_branches(cuts: Cuts, table: DataFrame, branches: DataFrame, states: DataFrame, cliques: DataFrame, config: Config, tree: str, seed: int, iteration: int) -> DataFrame:
+    """The node table after a move of each pair of branches."""
+    moves = cuts.save(f"moves-{tree}", params.pair_moves(params.branch_pairs(branches, seed, iteration), config.n_bins, seed, iteration))
+    ratios = params.sparse_pair_ratios(moves, fields.touched_branches(states, table, cliques), cliques, config.n_bins)
+    bins = params.moved_bins(branches, moves, ratios, seed, iteration)
+    return cuts.save(f"nodes-{tree}", table.drop("bin").join(bins, "id", "left"))
+
+
 def start_spectra(cuts: Cuts, spectra: Spectra, config: Config) -> Spectra:
     """Spectra with a start for what isn't given; features without a bin for the unknown molecule are an error."""
     lacking = msms.features_without_bin(spectra.candidates, spectra.unknowns).limit(1).collect()
@@ -222,6 +229,25 @@ def parameter_rows(state: State, tree: str, iteration: int) -> DataFrame:
     return params.named(cliques, tree, names).unionByName(bins).select(F.lit(iteration).alias("iteration"), "name", "value")
 
 
+def set_parameters(cuts: Cuts, state: State, tree: str, values: DataFrame) -> None:
+    """Give a tree's cliques and branches the values that are named, see parameter_rows; others stay."""
+    own, other, cliques = (state.species, state.molecules, state.cliques_s) if tree == "species" else (state.molecules, state.species, state.cliques_m)
+
+    def of(kind: str, key: str) -> DataFrame:
+        prefix = f"{tree}_{kind}_"
+        return values.where(F.col("name").startswith(prefix)).select(F.substring("name", len(prefix) + 1, 2**31 - 1).alias(key), F.col("value").alias(f"new_{kind}"))
+
+    names = other.where("kind = 'leaf'").select(F.col("leaf_ix").alias("clique"), F.col("id").alias("name"))
+    rows = cliques.join(names, "clique").join(of("alpha", "name"), "name", "left").join(of("log_nu", "name"), "name", "left")
+    log_nu = F.coalesce("new_log_nu", "log_nu")
+    cliques = cuts.save(f"set-{tree}", rows.select("clique", F.coalesce("new_alpha", "alpha").alias("alpha"), log_nu.alias("log_nu"), F.exp(log_nu).alias("nu")))
+    table = cuts.save(f"bins-{tree}", own.join(of("branch_lengths", "id"), "id", "left").withColumn("bin", F.coalesce(F.col("new_branch_lengths").cast("int"), "bin")).drop("new_branch_lengths"))
+    if tree == "species":
+        state.species, state.cliques_s = table, cliques
+    else:
+        state.molecules, state.cliques_m = table, cliques
+
+
 def z_shape(state: State, tree: str) -> sparse.Shape:
     """Rows and columns of a tree's Z: its internal nodes stand for its leaves."""
     if tree == "species":
@@ -347,13 +373,19 @@ def infer(
     return out
 
 
-def simulate(spark: SparkSession, config: Config, species: DataFrame, molecules: DataFrame, papers_r: DataFrame, papers_c: DataFrame, iterations: int | None = None) -> dict[str, DataFrame]:
-    """A field from the prior and links from it: ``y`` (r, c, state), ``z_s``, ``z_m``, ``links`` (r, c), ``parameters`` (name, value)."""
+def simulate(spark: SparkSession, config: Config, species: DataFrame, molecules: DataFrame, papers_r: DataFrame, papers_c: DataFrame, iterations: int | None = None, values: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A field from the prior and links from it: ``y`` (r, c, state), ``z_s``, ``z_m``, ``links`` (r, c), ``parameters`` (name, value).
+
+    Parameters come from the prior; those named in ``values`` (name, value) have that value.
+    """
     cuts = Cuts(spark, "simulate")
     none = spark.createDataFrame([], "species string, molecules string")
     state = build(spark, cuts, config, species, molecules, none, papers_r, papers_c)
     leaves = [t.where("kind = 'leaf'").select(F.col("leaf_ix").alias("clique")) for t in (state.molecules, state.species)]
     state.cliques_s, state.cliques_m = (cuts.save(f"prior-{k}", params.simulated_cliques(x, config.log_nu_mean, config.log_nu_var, config.seed + k)) for k, x in enumerate(leaves))
+    if values is not None:
+        for tree in ("species", "molecules"):
+            set_parameters(cuts, state, tree, values)
     for tree in ("species", "molecules"):
         update_z(spark, cuts, state, config, tree, fields.simulated_clique, 0)
     for it in range((iterations if iterations is not None else config.simulation_iterations) + 1):

@@ -13,6 +13,16 @@ def write_table(df: DataFrame, path: str, sep: str = "\t") -> None:
     df.write.mode("overwrite").csv(path, sep=sep, header=True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, on whatever file system the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def _named(df: DataFrame, rows: DataFrame, cols: DataFrame, names: tuple[str, str]) -> DataFrame:
     """``df`` (r, c, ...) with the names of both sides; name tables are (ix, id)."""
     left = rows.select(F.col("ix").alias("r"), F.col("id").alias(names[0]))
