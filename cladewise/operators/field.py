@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cladewise.functions.prob import STATIONARY_CUTOFF, delta, draw, given_node, given_parent, p_link, safe_ln, stationary, transition, transition_to
+from cladewise.functions.prob import STATIONARY_CUTOFF, delta, draw, given_node, given_parent, p_link, safe_ln, stationary, transition, transition_to, uniform
 from cladewise.operators.sparse import Shape, row_col
 
 _TINY = -1.7976931348623157e308
@@ -228,6 +228,95 @@ def swept_y(spark: SparkSession, field: Field, y: DataFrame, u: Column, first: i
     return new.join(y.select("r", "c", "n_ones"), ["r", "c"], "left").where("state or n_ones is not null").select("r", "c", "state", F.coalesce("n_ones", F.lit(0)).alias("n_ones"))
 
 
+def bernoulli_cells(spark: SparkSession, shape: Shape, p: float, seed: int, width: int = 100_000) -> DataFrame:
+    """Cells (r, c) of the grid, each with probability ``p``: a binomial number of places per row and ``width`` columns, without a row per cell."""
+    parts = -(-shape.n_cols // width)
+
+    def draw_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at in batch.column(0).to_pylist():
+                r, first = at // parts, at % parts * width
+                rng = np.random.Generator(np.random.Philox(key=np.array([at, seed], np.uint64)))
+                n = min(width, shape.n_cols - first)
+                places = rng.choice(n, rng.binomial(n, p), replace=False)
+                rows.append(np.full(len(places), r))
+                cols.append(first + places)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (rows, cols)], ["r", "c"])
+
+    return spark.range(shape.n_rows * parts).mapInArrow(draw_places, "r long, c long")
+
+
+def special_cells(field: Field, y: DataFrame) -> DataFrame:
+    """Cells (r, c) that differ from the rest: stored in Y, with a link, or below a one of either tree's Z. Spectra, where they are used,
+    say something about every cell of a species with runs, so ``field.seen`` isn't covered."""
+    below_r = field.z_rows.where("state").select(F.col("internal_ix").alias("up_r"), F.col("other_ix").alias("c")).join(field.rows.select("r", "up_r"), "up_r").select("r", "c")
+    below_c = field.z_cols.where("state").select(F.col("internal_ix").alias("up_c"), F.col("other_ix").alias("r")).join(field.cols.select("c", "up_c"), "up_c").select("r", "c")
+    both = y.select("r", "c").unionByName(field.links.select("r", "c")).unionByName(below_r).unionByName(below_c)
+    return both.distinct()
+
+
+def plain_candidates(spark: SparkSession, field: Field, seed: int, iteration: int) -> DataFrame:
+    """Cells (r, c, bound) in which a plain cell (both parents 0, no link) may turn to one, each taken with probability ``bound``.
+
+    For a row and the columns of one bin the odds of a plain cell are a factor of the row and one of the column. With the largest
+    factor of those columns they give a bound; as many columns as a binomial number of that bound tells are drawn without repeating,
+    so work goes with what is drawn, plus rows times bins, and not with the cells. Draws depend on row, bin, seed and iteration.
+    """
+    n_bins = field.n_bins
+    bins_r = F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin_r")
+    own = transition("alpha_s", "nu_s", "bin_r", n_bins)
+    # the odds that a column adds, for each bin that a row may have; ranks of columns inside of their bin
+    odds_c = field.cols.select("bin_c", "alpha_s", "nu_s", bins_r).groupBy("bin_c", "bin_r").agg(F.max(own["p01"] / own["p00"]).alias("most"))
+    place = F.row_number().over(Window.partitionBy("bin_c", "part").orderBy("c")) - 1
+    parts = field.cols.select("c", "bin_c", F.floor(F.col("c") / 100_000).alias("part"))
+    sizes = parts.groupBy("bin_c", "part").agg(F.count(F.lit(1)).alias("n"))
+    ranked = parts.withColumn("k", place)
+    other = transition("alpha_m", "nu_m", "bin_c", n_bins)
+    odds = F.col("most") * other["p01"] / other["p00"]
+    # an empty observation is rarer where the field is one, so efforts only lower the odds; without links they don't matter
+    odds = odds / F.lit(1 - field.epsilon) if field.use_links else odds
+    bound = F.when(odds.isNull(), 1.0).otherwise(odds / (1 + odds))
+    groups = field.rows.select("r", "bin_r", "alpha_m", "nu_m").join(odds_c, "bin_r").join(sizes, "bin_c").select("r", "bin_c", "part", "n", bound.alias("bound"))
+
+    def draw_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for r, bin_c, part, n, q in zip(*cols, strict=True):
+                key = [(int(r) << 20) ^ (int(bin_c) << 40) ^ int(part), (seed << 32) + iteration]
+                rng = np.random.Generator(np.random.Philox(key=np.array(key, np.uint64)))
+                k = rng.binomial(n, min(1.0, q))
+                if k:
+                    for held, value in zip(out, (np.full(k, r), np.full(k, bin_c), np.full(k, part), rng.choice(n, k, replace=False), np.full(k, q)), strict=True):
+                        held.append(value)
+            if out[0]:
+                arrays = [np.concatenate(x) for x in out]
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, types, strict=True)], ["r", "bin_c", "part", "k", "bound"])
+
+    drawn = groups.mapInArrow(draw_places, "r long, bin_c int, part long, k long, bound double")
+    return drawn.join(ranked, ["bin_c", "part", "k"]).select("r", "c", "bound")
+
+
+def sparsely_swept_y(spark: SparkSession, field: Field, y: DataFrame, seed: int, iteration: int) -> DataFrame:
+    """Y after a sweep over all cells, as swept_y draws it, in time that goes with special cells and new ones instead of the grid.
+
+    Special cells are drawn one by one. Of the others only candidates are looked at, and each is kept with its probability over the bound it
+    was drawn with. A field with spectra has no plain cells and takes swept_y.
+    """
+    if field.seen is not None:
+        return swept_y(spark, field, y, uniform("r", "c", iteration, seed=seed))
+    special = special_cells(field, y)
+    one = sampled_y(field, special, uniform("r", "c", iteration, seed=seed))
+    candidates = plain_candidates(spark, field, seed, iteration).join(special, ["r", "c"], "left_anti")
+    weights = y_log_weights(field, candidates.select("r", "c")).join(candidates, ["r", "c"])
+    p = 1 / (1 + F.exp(F.col("log0") - F.col("log1")))
+    plain = weights.where(uniform("r", "c", iteration, seed=seed + 1) * F.col("bound") < p).select("r", "c", F.lit(True).alias("state"))
+    new = one.unionByName(plain)
+    return new.join(y.select("r", "c", "n_ones"), ["r", "c"], "left").where("state or n_ones is not null").select("r", "c", "state", F.coalesce("n_ones", F.lit(0)).alias("n_ones"))
+
+
 # -- cliques as arrays -------------------------------------------------------------------------------------------------------------
 @dataclass(frozen=True)
 class TreeArrays:

@@ -328,8 +328,7 @@ def infer(
     for it in range(1, total + 1):
         burning = it <= config.n_burnin * config.burnin
         if config.update_y:
-            u = uniform("r", "c", it, seed=config.seed)
-            new = fields.swept_y(spark, field_of(state, config, True), state.y, u)
+            new = fields.sparsely_swept_y(spark, field_of(state, config, True), state.y, config.seed, it)
             # zeros that are stored leave once a burn-in round
             state.y = cuts.save("y", sparse.without_zeros(new) if burning and it % config.burnin == 0 else new)
         density = 0.0
@@ -389,7 +388,7 @@ def simulate(spark: SparkSession, config: Config, species: DataFrame, molecules:
     for tree in ("species", "molecules"):
         update_z(spark, cuts, state, config, tree, fields.simulated_clique, 0)
     for it in range((iterations if iterations is not None else config.simulation_iterations) + 1):
-        state.y = cuts.save("y", fields.swept_y(spark, field_of(state, config, False), state.y, uniform("r", "c", it, seed=config.seed + 1)).where("state"))
+        state.y = cuts.save("y", fields.sparsely_swept_y(spark, field_of(state, config, False), state.y, config.seed + 1, it).where("state"))
         for tree in ("species", "molecules"):
             update_z(spark, cuts, state, config, tree, fields.gibbs_clique, it + 1)
     truth = parameter_rows(state, "species", 0).unionByName(parameter_rows(state, "molecules", 0)).select("name", "value")
@@ -397,10 +396,11 @@ def simulate(spark: SparkSession, config: Config, species: DataFrame, molecules:
 
 
 def simulated_links(spark: SparkSession, state: State, config: Config) -> DataFrame:
-    """(r, c) of links drawn for every cell by P(link | state)."""
+    """(r, c) of links drawn for every cell by P(link | state): cells of ones by their efforts, the others all alike."""
     eps = config.error_rate if config.error_rate is not None else config.epsilon
     f = field_of(replace(state), config, False)
-    cells = fields.all_cells(spark, state.shape).join(state.y.where("state").select("r", "c", F.lit(True).alias("x")), ["r", "c"], "left").fillna({"x": False})
-    cells = cells.join(f.rows.select("r", "effort_r"), "r").join(f.cols.select("c", "effort_c"), "c")
-    p = p_link("x", F.lit(True), F.col("effort_r") * F.col("effort_c"), eps, config.simple_error)
-    return cells.where(uniform("r", "c", seed=config.seed + 99) < p).select("r", "c")
+    ones = state.y.where("state").select("r", "c")
+    cells = ones.join(f.rows.select("r", "effort_r"), "r").join(f.cols.select("c", "effort_c"), "c")
+    p = p_link(F.lit(True), F.lit(True), F.col("effort_r") * F.col("effort_c"), eps, config.simple_error)
+    found = cells.where(uniform("r", "c", seed=config.seed + 99) < p).select("r", "c")
+    return found.unionByName(fields.bernoulli_cells(spark, state.shape, eps, config.seed + 99).join(ones, ["r", "c"], "left_anti"))

@@ -133,6 +133,43 @@ def test_collapse_errors():
     assert likelihood.kept_dimensions(["s", "o", "m"], ["s", "m"]) == [0, 2]
 
 
+def test_cells_by_binomial_numbers(spark):
+    rows = field.bernoulli_cells(spark, sparse.Shape(40, 250), 0.1, 5, 100).collect()
+    cells = {(r.r, r.c) for r in rows}
+    assert len(cells) == len(rows) and all(0 <= r < 40 and 0 <= c < 250 for r, c in cells)
+    assert abs(len(cells) - 1000) < 4 * math.sqrt(900) and max(c for _, c in cells) > 240
+
+
+@pytest.mark.parametrize("use_links", [True, False])
+def test_the_sparse_sweep_has_the_same_probabilities(spark, use_links):
+    rng = np.random.default_rng(8)
+    n_r, n_c, n_bins = 60, 80, 4
+    rows = spark.createDataFrame([(r, r % 7, int(rng.integers(n_bins)), float(rng.random()), 0.1 + 0.8 * float(rng.random()), 3 * float(rng.random())) for r in range(n_r)], "r long, up_r long, bin_r int, effort_r double, alpha_m double, nu_m double")
+    cols = spark.createDataFrame([(c, c % 9, int(rng.integers(n_bins)), float(rng.random()), 0.1 + 0.8 * float(rng.random()), 3 * float(rng.random())) for c in range(n_c)], "c long, up_c long, bin_c int, effort_c double, alpha_s double, nu_s double")
+    z_r = spark.createDataFrame([(k % 7, c, c % 5 == 0) for k, c in enumerate(range(0, n_c, 2))], "internal_ix long, other_ix long, state boolean")
+    z_c = spark.createDataFrame([(1, 2, True), (8, 30, True)], "internal_ix long, other_ix long, state boolean")
+    links = spark.createDataFrame([(r, (7 * r) % n_c) for r in range(0, n_r, 3)], "r long, c long")
+    y = spark.createDataFrame([(0, 0, True, 2), (3, 3, False, 1), (7, 8, True, 0)], "r long, c long, state boolean, n_ones int")
+    f = field.Field(sparse.Shape(n_r, n_c), n_bins, rows, cols, z_r, z_c, links, 0.01, use_links)
+    w = field.y_log_weights(f, field.all_cells(spark, f.shape)).collect()
+    p = {(r.r, r.c): 1 / (1 + math.exp(min(700, r.log0 - r.log1))) for r in w}
+    special = {(r.r, r.c) for r in field.special_cells(f, y).collect()}
+    n, seen = 6, {}
+    draws = [field.sparsely_swept_y(spark, f, y, 3, it).select("r", "c", "state", "n_ones") for it in range(n)]
+    for r in [r for d in draws for r in d.collect()]:
+        assert r.state or (r.r, r.c) in {(0, 0), (3, 3), (7, 8)}
+        seen[r.r, r.c] = seen.get((r.r, r.c), 0) + r.state
+    assert 100 < len(special) < 1000 and max(seen.values()) <= n
+    for cells in (special, set(p) - special):
+        spread = math.sqrt(n * sum(p[k] * (1 - p[k]) for k in cells))
+        assert abs(sum(seen.get(k, 0) - n * p[k] for k in cells)) < 3.5 * spread
+        # weighted by the probabilities themselves, which shows a wrong shape and not only a wrong number
+        wrong = sum((seen.get(k, 0) - n * p[k]) * p[k] for k in cells)
+        assert abs(wrong) < 3.5 * math.sqrt(n * sum(p[k] ** 3 * (1 - p[k]) for k in cells))
+    again = field.sparsely_swept_y(spark, f, y, 3, 0).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, draws[0].collect()))
+
+
 # ---- spectra -----------------------------------------------------------------------------------------------------------------------------------------
 def run():
     lists = {0: {10: 100, 20: 120}, 1: {10: 90, 20: 80, 30: 70}, 2: {20: 60, 30: 50}}
