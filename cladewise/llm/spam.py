@@ -54,12 +54,19 @@ def hash_of(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def windows_of(lengths: np.ndarray, size: int = WINDOW) -> np.ndarray:
-    """The window of each word, from the words' lengths: equal parts of the text's characters; parts without a word aren't numbered."""
-    total = int(lengths.sum())
-    n = max(1, round(total / size))
-    middle = np.cumsum(lengths) - lengths / 2
-    return np.unique(np.minimum((middle * n / max(1, total)).astype(np.int64), n - 1), return_inverse=True)[1]
+def windows_of(lengths: np.ndarray, doc: np.ndarray, n_docs: int, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The window of each word, numbered on over all documents, and the number of windows of each document.
+
+    From the words' lengths and documents 0, 1 ... in order: equal parts of a text's characters; parts without a word don't count.
+    """
+    total = np.maximum(np.bincount(doc, lengths, minlength=n_docs), 1)
+    n = np.maximum(np.rint(total / size), 1).astype(np.int64)
+    ends = np.cumsum(lengths)
+    before = np.r_[0, np.cumsum(np.bincount(doc, lengths, minlength=n_docs))[:-1]]
+    middle = ends - lengths / 2 - before[doc]
+    part = np.minimum((middle * n[doc] / total[doc]).astype(np.int64), n[doc] - 1)
+    new = np.r_[True, (np.diff(doc) > 0) | (np.diff(part) > 0)] if len(doc) else np.zeros(0, bool)
+    return np.cumsum(new) - 1, np.bincount(doc[new], minlength=n_docs)
 
 
 # -- pairs of a chunk of documents ---------------------------------------------------------------------------------------------------
@@ -73,18 +80,14 @@ class _Chunk:
         self.docs: list[pa.Array] = []
         self.sums: list[int] = []
         self.words: list[np.ndarray] = []
-        self.lengths: list[np.ndarray] = []
         self.n = 0
 
-    def row(self, number: int, hashes: np.ndarray) -> pa.RecordBatch:
+    def row(self, number: int, hashes: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
         n = np.array([len(w) for w in self.words])
-        word, length = np.concatenate(self.words), np.concatenate(self.lengths)
-        ends = np.cumsum(n)
-        parts = [windows_of(length[e - k : e]) for e, k in zip(ends, n, strict=True)]
-        n_windows = np.array([p[-1] + 1 for p in parts])
-        window = np.concatenate(parts) + np.repeat(np.cumsum(n_windows) - n_windows, n)
+        word, doc = np.concatenate(self.words), np.repeat(np.arange(len(n)), n)
+        length = lengths[word]
+        window, n_windows = windows_of(length, doc, len(n))
         chars = np.bincount(window, length, minlength=n_windows.sum()).astype(np.int32)
-        doc = np.repeat(np.arange(len(n)), n)
         same = doc[1:] == doc[:-1]
         # local numbers of the words keep the pair in one integer, whatever their hashes
         local, code = np.unique(word, return_inverse=True)
@@ -106,6 +109,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
     ids: dict[str, int] = {}
     hashes: list[int] = []
+    lengths: list[int] = []
     held = _Chunk()
     for batch in batches:
         sums = batch.column("sum").to_pylist()
@@ -120,19 +124,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if w not in ids:
                         ids[w] = len(hashes)
                         hashes.append(hash_of(w))
+                        lengths.append(len(w))
                 found = [ids[w] for w in words]
             held.docs.append(batch.column("doc").slice(k, 1))
             held.sums.append(sums[k])
             held.words.append(np.array(found, np.int64))
-            held.lengths.append(np.fromiter(map(len, words), np.int64, len(words)))
             held.n += len(words)
             if held.n >= CHUNK:
-                yield held.row(number, np.array(hashes))
+                yield held.row(number, np.array(hashes), np.array(lengths))
                 number, held = number + 1, _Chunk()
                 if len(ids) > 4 * CHUNK:
-                    ids, hashes = {}, []
+                    ids, hashes, lengths = {}, [], []
     if held.n:
-        yield held.row(number, np.array(hashes))
+        yield held.row(number, np.array(hashes), np.array(lengths))
 
 
 def pair_information(cuts: Cuts, pairs: DataFrame) -> DataFrame:

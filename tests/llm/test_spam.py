@@ -73,10 +73,11 @@ def test_information_of_pairs(spark, monkeypatch, chunk):
 def test_words_and_windows():
     assert words_of("Don't STOP: 12,5 mg 漢字ー x_y²") == ["don't", "stop", ":", "12", ",", "5", "mg", "漢", "字", "ー", "x", "_", "y", "²"]
     assert S.hash_of("12") == S.hash_of("²") != S.hash_of("一")
-    lengths = np.full(1000, 5)
-    w = windows_of(lengths)
-    assert w[-1] + 1 == round(5000 / S.WINDOW) and (np.diff(w) >= 0).all() and np.ptp(np.bincount(w)) <= 1
-    assert windows_of(np.array([10_000, 1])).tolist() == [0, 1]
+    lengths, doc = np.r_[np.full(1000, 5), 3, 10_000, 1], np.r_[np.zeros(1000, int), 1, 2, 2]
+    w, n = windows_of(lengths, doc, 3)
+    first = w[:1000]
+    assert n.tolist() == [round(5000 / S.WINDOW), 1, 2] and first[-1] + 1 == n[0] and (np.diff(w) >= 0).all() and np.ptp(np.bincount(first)) <= 1
+    assert w[1000:].tolist() == [n[0], n[0] + 1, n[0] + 2]
 
 
 def test_every_pair_of_a_document_has_a_state(spark):
