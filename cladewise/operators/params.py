@@ -53,19 +53,19 @@ def simulated_cliques(cliques: DataFrame, mean: float, var: float, seed: int = 0
     return cliques.select("clique", P.uniform("clique", seed=seed).alias("alpha"), log_nu.alias("log_nu")).withColumn("nu", F.exp("log_nu"))
 
 
-def proposed_alpha(cliques: DataFrame, step: float, seed: int, iteration: int) -> DataFrame:
-    """A random walk reflected at 0 and 1: adds ``alpha_try``."""
-    x = F.col("alpha") + step * P.normal("clique", iteration, seed=seed)
+def proposed_alpha(cliques: DataFrame, step: float, seed: int, iteration: int, z: Column | None = None) -> DataFrame:
+    """A random walk reflected at 0 and 1: adds ``alpha_try``. ``z`` takes the place of the standard normal number."""
+    x = F.col("alpha") + step * (P.normal("clique", iteration, seed=seed) if z is None else z)
     folded = F.abs(x) % 2.0
     return cliques.withColumn("alpha_try", F.when(folded > 1, 2 - folded).otherwise(folded)).withColumn("nu_try", F.col("nu"))
 
 
-def proposed_log_nu(cliques: DataFrame, step: float, seed: int, iteration: int) -> DataFrame:
-    x = F.col("log_nu") + step * P.normal("clique", iteration, seed=seed + 2)
+def proposed_log_nu(cliques: DataFrame, step: float, seed: int, iteration: int, z: Column | None = None) -> DataFrame:
+    x = F.col("log_nu") + step * (P.normal("clique", iteration, seed=seed + 2) if z is None else z)
     return cliques.withColumn("log_nu_try", x).withColumn("nu_try", F.exp("log_nu_try")).withColumn("alpha_try", F.col("alpha"))
 
 
-def decide_cliques(cliques: DataFrame, ratios: DataFrame, name: str, seed: int, iteration: int, mean: float = 0.0, var: float = 1.0) -> DataFrame:
+def decide_cliques(cliques: DataFrame, ratios: DataFrame, name: str, seed: int, iteration: int, mean: float = 0.0, var: float = 1.0, u: Column | None = None) -> DataFrame:
     """Cliques after the step: a proposal is taken by its likelihood ratio, and for log_nu by the ratio of its normal prior.
 
     ``ratios`` has (clique, cur, try); cliques without branches there keep a ratio of 0.
@@ -73,7 +73,7 @@ def decide_cliques(cliques: DataFrame, ratios: DataFrame, name: str, seed: int,
     ratio = F.coalesce(F.col("try") - F.col("cur"), F.lit(0.0))
     if name == "log_nu":
         ratio = ratio + P.ln_normal_density("log_nu_try", F.lit(mean), F.lit(var)) - P.ln_normal_density("log_nu", F.lit(mean), F.lit(var))
-    took = P.accepted(ratio, P.uniform("clique", iteration, seed=seed + 3))
+    took = P.accepted(ratio, P.uniform("clique", iteration, seed=seed + 3) if u is None else u)
     new = F.when(took, F.col(f"{name}_try")).otherwise(F.col(name))
     rows = cliques.join(ratios, "clique", "left").withColumn("accepted", took).withColumn(name, new)
     return rows.select("clique", "alpha", "log_nu", F.exp("log_nu").alias("nu"), "accepted")

@@ -372,19 +372,38 @@ def _gibbs(spark: SparkSession, where: str) -> DataFrame:
     return _cliques(spark, where, field.gibbs_clique, True)
 
 
-@query("sv_g09_g10_proposals")
+_TRY = f"""w AS (SELECT clique, step, log_nu, z, CASE WHEN step = 'alpha' THEN CASE WHEN f > 1 THEN 2 - f ELSE f END ELSE alpha END AS a_new, CASE WHEN step = 'log_nu' THEN log_nu + 0.1::DOUBLE * z ELSE log_nu END  AS v_new, alpha
+ FROM (SELECT *, (abs(alpha + 0.1::DOUBLE * z)) % 2.0::DOUBLE AS f FROM (SELECT p_partkey AS clique, {_A.replace('clique', 'p_partkey')} AS alpha, ln({_V.replace('clique', 'p_partkey')}) AS log_nu, 4 * {_u('p_partkey', '21')} - 2 AS z, unnest(['alpha', 'log_nu']) AS step FROM part) q) q2),
+rt AS (SELECT w.clique, w.step, sum({ln(p_of('w.a_new', 'exp(w.v_new)', 'bin', 'up', 'state'))} - {ln(p_of('br.alpha', 'br.nu', 'bin', 'up', 'state'))}) AS d FROM w JOIN br ON br.clique = w.clique GROUP BY 1, 2),
+dc AS (SELECT w.*, ln({_u('w.clique', '22')}) < d + CASE WHEN w.step = 'log_nu' THEN (log_nu * log_nu - v_new * v_new) / 2 ELSE 0 END AS accepted FROM w JOIN rt ON rt.clique = w.clique AND rt.step = w.step)"""
+
+
+@query("sv_g09_g10_proposals", with_base(f"WITH {_GRID}, {_TRY} SELECT clique, step, accepted, round(CASE WHEN accepted THEN a_new ELSE alpha END, 9) AS alpha, round(CASE WHEN accepted THEN v_new ELSE log_nu END, 9) AS log_nu FROM dc", "sp", "cells"))
 def _proposals(spark: SparkSession, where: str) -> DataFrame:
     """One step of alpha and of log_nu in every clique of the species tree, with what was accepted."""
-    start = params.initial_cliques(sp_cliques(spark, where), 1)
-    out = None
+    start = sp_cliques(spark, where).withColumn("log_nu", F.log("nu"))
+    z, u = 4 * P.lattice("clique", F.lit(21)) - 2, P.lattice("clique", F.lit(22))
+    sp = sp_bins(spark, where)
+    counts, out = field.bulk_counts(sp, N_BINS), None
     for name, propose in (("alpha", params.proposed_alpha), ("log_nu", params.proposed_log_nu)):
-        tries = propose(start, 0.1, 1, 1)
-        touched = field.touched_branches(states(spark, where), sp_bins(spark, where), start)
-        done = params.decide_cliques(tries, params.clique_ratios(touched, tries, field.bulk_counts(sp_bins(spark, where), N_BINS)), name, 1, 1).withColumn("step", F.lit(name))
+        tries = propose(start, 0.1, 1, 1, z)
+        touched = field.touched_branches(states(spark, where), sp, start)
+        done = params.decide_cliques(tries, params.clique_ratios(touched, tries, counts), name, 1, 1, u=u)
+        done = done.select("clique", F.lit(name).alias("step"), "accepted", r("alpha", 9, "alpha"), r("log_nu", 9, "log_nu"))
         out = done if out is None else out.unionByName(done)
     return out
 
 
+@query("sv_g15_hyper_ratio", f"""WITH c AS (SELECT ln({_V.replace('clique', 'p_partkey')}) AS x FROM part), m AS (SELECT count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM c),
+p AS (SELECT n, s, q, -0.5::DOUBLE * n * ln(2 * pi() * 1.3::DOUBLE) - (q - 2 * 0.2::DOUBLE * s + n * 0.04::DOUBLE) / 2.6::DOUBLE - 0.04::DOUBLE / 4 - 1.3::DOUBLE AS new, -0.5::DOUBLE * n * ln(2 * pi()) - q / 2 - 1 AS old FROM m)
+SELECT n AS n_cliques, round(s, 6) AS sum_log_nu, round(q, 6) AS sum_squares, round(new - old, 6) AS log_ratio FROM p""")
+def _hyper(spark: SparkSession, where: str) -> DataFrame:
+    """The log posterior of mean and variance (0.2, 1.3) of log_nu, less that of (0, 1), from the moments over all cliques."""
+    moments = params.log_nu_moments(sp_cliques(spark, where).withColumn("log_nu", F.log("nu")))
+    row = (moments[0], *(round(x, 6) for x in (*moments[1:], params.hyper_log_ratio(moments, (0.0, 1.0), (0.2, 1.3)))))
+    return spark.createDataFrame([row], "n_cliques long, sum_log_nu double, sum_squares double, log_ratio double")
+
+
 # ---- spectra -------------------------------------------------------------------------------------------------------------------------------------
 def ms(spark: SparkSession, where: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """runs, candidates, unknowns, assigned, filters."""

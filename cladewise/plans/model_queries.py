@@ -89,8 +89,19 @@ def _grid(spark: SparkSession, where: str) -> DataFrame:
     return writers.grid_dump(spark, N_BINS).select("grid_position", r("branch_length", 12, "branch_length"))
 
 
-_BINNED = f"""b AS (SELECT child AS id, length / (SELECT avg(length) FROM sp WHERE length > 0) AS x FROM sp),
-g AS (SELECT id, CAST(least(coalesce((SELECT min(k) FROM range({N_BINS}) t(k) WHERE k * {D} >= b.x), {N_BINS - 1}), {N_BINS - 1}) AS INT) AS bin FROM b)"""
+def bins_sql(source: str, p: str = "") -> str:
+    """CTEs from a query of (id, node_ix, length): ``{p}g`` (id, node_ix, bin) and ``{p}r`` (id, node_ix, bin), repaired."""
+    return f"""{p}b AS (SELECT id, node_ix, length / (SELECT avg(length) FROM ({source}) WHERE length > 0) AS x FROM ({source})),
+{p}g AS (SELECT id, node_ix, CAST(least(coalesce((SELECT min(k) FROM range({N_BINS}) t(k) WHERE k * {D} >= {p}b.x), {N_BINS - 1}), {N_BINS - 1}) AS INT) AS bin FROM {p}b),
+{p}t AS (SELECT CAST(count(*) * {N_BINS} // 2 - sum(bin) AS BIGINT) AS d FROM {p}g),
+{p}q AS (SELECT {p}g.*, CASE WHEN t.d > 0 THEN {N_BINS - 1} - bin ELSE bin END AS room, abs(t.d) AS need, CASE WHEN t.d > 0 THEN 1 ELSE -1 END AS way FROM {p}g, {p}t t),
+{p}s AS (SELECT max(k) AS steps FROM range({N_BINS}) u(k) WHERE (SELECT sum(least(room, k)) FROM {p}q) <= (SELECT max(need) FROM {p}q)),
+{p}f AS (SELECT {p}q.*, s.steps, {p}q.need - (SELECT sum(least(room, s.steps)) FROM {p}q) AS rest, row_number() OVER (PARTITION BY room > s.steps ORDER BY (node_ix * 7919) % 1000003) AS k FROM {p}q, {p}s s),
+{p}r AS MATERIALIZED (SELECT id, node_ix, CAST(bin + way * (least(room, steps) + CASE WHEN room > steps AND k <= rest THEN 1 ELSE 0 END) AS INT) AS bin FROM {p}f)"""
+
+
+_LENGTHS = "SELECT sp.child AS id, sp.length, n.node_ix FROM sp JOIN sp_nodes n ON n.id = sp.child"
+_BINNED = f"{nodes_sql('sp')}, {bins_sql(_LENGTHS)}"
 
 
 @query("sv_t10_f03_bins", with_base(f"WITH {_BINNED} SELECT id, bin FROM g", "sp"))
@@ -98,29 +109,21 @@ def _bins(spark: SparkSession, where: str) -> DataFrame:
     return trees.binned(trees.normalised(tree(spark, where, "sp").where("not is_root")), N_BINS).select("id", "bin")
 
 
-_REPAIRED = f"""WITH {nodes_sql('sp')}, {_BINNED},
-m AS (SELECT g.id, g.bin, n.node_ix FROM g JOIN sp_nodes n ON n.id = g.id),
-t AS (SELECT CAST(count(*) * {N_BINS} // 2 - sum(bin) AS BIGINT) AS d FROM m),
-q AS (SELECT m.*, CASE WHEN t.d > 0 THEN {N_BINS - 1} - bin ELSE bin END AS room, abs(t.d) AS need, CASE WHEN t.d > 0 THEN 1 ELSE -1 END AS way FROM m, t),
-s AS (SELECT max(k) AS steps FROM range({N_BINS}) u(k) WHERE (SELECT sum(least(room, k)) FROM q) <= (SELECT max(need) FROM q)),
-f AS (SELECT q.*, s.steps, q.need - (SELECT sum(least(room, s.steps)) FROM q) AS rest, row_number() OVER (PARTITION BY room > s.steps ORDER BY (node_ix * 7919) % 1000003) AS k FROM q, s)
-SELECT id, CAST(bin + way * (least(room, steps) + CASE WHEN room > steps AND k <= rest THEN 1 ELSE 0 END) AS INT) AS bin FROM f"""
-
-
 def fixed_bins(spark: SparkSession, where: str, name: str) -> DataFrame:
     """(id, node_ix, bin) with repaired bins in an order that SQL can follow."""
     order = ((F.col("node_ix") * 7919) % 1000003 + 0.5) / 1000003.0
     return trees.bins_from_tree(tree(spark, where, name), N_BINS, order=order)
 
 
-@query("sv_t11_t12_repaired_bins", with_base(_REPAIRED, "sp"))
+@query("sv_t11_t12_repaired_bins", with_base(f"WITH {_BINNED} SELECT id, bin FROM r", "sp"))
 def _repaired(spark: SparkSession, where: str) -> DataFrame:
     return fixed_bins(spark, where, "sp").select("id", "bin")
 
 
-@query("sv_t12_bins_from_bins")
+@query("sv_t12_bins_from_bins", with_base(f"WITH {_BINNED}, {bins_sql(f'SELECT id, node_ix, {D} * (bin + 0.5::DOUBLE) AS length FROM r', 'x')} SELECT id, bin FROM xr", "sp"))
 def _rebinned(spark: SparkSession, where: str) -> DataFrame:
-    return trees.bins_from_bins(fixed_bins(spark, where, "sp"), N_BINS).select("id", "bin")
+    order = ((F.col("node_ix") * 7919) % 1000003 + 0.5) / 1000003.0
+    return trees.bins_from_bins(fixed_bins(spark, where, "sp"), N_BINS, order=order).select("id", "bin")
 
 
 @query("sv_t13_t14_t16_cliques", with_base(f"WITH {nodes_sql('mo')} SELECT leaf_ix AS clique_ix, id AS name, leaf_ix AS leaf_0, 0.5::DOUBLE AS alpha FROM mo_nodes WHERE kind = 'leaf'", "mo"))
