@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ _TINY = -1.7976931348623157e308
 #: Fixed value: 2^24 leaves, and at most as many nodes above them.
 MOST_NODES = 2**25
 _ARRAYS: dict[tuple, "TreeArrays"] = {}
+_SENT: dict[tuple, tuple] = {}
 
 
 # -- joins and sums over stored states -----------------------------------------------------------------------------------------
@@ -349,6 +351,8 @@ class TreeArrays:
     def cached(table: DataFrame, n_bins: int) -> TreeArrays:
         """The same, kept for the last tables: a tree changes only when its bins do, and each change is a table of its own."""
         key = (tuple(sorted(table.inputFiles())), n_bins)
+        if not key[0]:
+            return TreeArrays.of(table, n_bins)
         if key not in _ARRAYS:
             while len(_ARRAYS) > 3:
                 _ARRAYS.pop(next(iter(_ARRAYS)))
@@ -431,6 +435,18 @@ def simulated_clique(tree: TreeArrays, state: np.ndarray, alpha: float, nu: floa
     return state, 0.0
 
 
+def _sent(spark: SparkSession, tree: TreeArrays) -> Broadcast:
+    """The tree as a broadcast, made once per tree; of older ones the executors' copies are released, and sent again if still needed."""
+    context = spark.sparkContext
+    key = (context.applicationId, id(tree))
+    if key not in _SENT:
+        while len(_SENT) > 3:
+            _, old = _SENT.pop(next(iter(_SENT)))
+            old.unpersist()
+        _SENT[key] = (tree, context.broadcast(tree))
+    return _SENT[key][1]
+
+
 Step = Callable[[TreeArrays, np.ndarray, float, float, np.ndarray], tuple[np.ndarray, float]]
 _CLIQUE = "clique long, node_ix long, state boolean, density double"
 
@@ -441,7 +457,7 @@ def update_cliques(spark: SparkSession, cliques: DataFrame, states: DataFrame, t
     ``cliques`` has (clique, alpha, nu), ``states`` (clique, node_ix, state) of stored leaves and internal nodes. A clique is as large as
     the tree, whatever the data; it is one row of arrays, and cliques spread over the cluster.
     """
-    arrays = spark.sparkContext.broadcast(tree)
+    arrays = _sent(spark, tree)
 
     stored = states.groupBy("clique").agg(F.collect_list(F.struct("node_ix", "state")).alias("stored"))
     rows = cliques.join(stored, "clique", "left").select("clique", "alpha", "nu", F.col("stored.node_ix").alias("at"), F.col("stored.state").alias("on"))

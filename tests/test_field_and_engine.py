@@ -171,6 +171,7 @@ def test_the_sparse_sweep_has_the_same_probabilities(spark, use_links):
 
 
 # ---- spectra -----------------------------------------------------------------------------------------------------------------------------------------
+# fixed values: a small run whose candidates overlap, and the bounds of packed candidates
 def run():
     lists = {0: {10: 100, 20: 120}, 1: {10: 90, 20: 80, 30: 70}, 2: {20: 60, 30: 50}}
     return msms.Run(lists, np.array([50, 60, 70]), np.full(3, -1), np.array([50, 60, 70]))
