@@ -7,7 +7,7 @@ unknown molecule, whose bin is given per feature.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -199,12 +199,23 @@ class Run:
         return back
 
 
-def updated_assignments(candidates: DataFrame, unknowns: DataFrame, assigned: DataFrame, runs: DataFrame, y: DataFrame, filters: DataFrame, contamination: float, seed: int, iteration: int, n_moves: int = 1) -> DataFrame:
+def run_uniforms(run: int, n_moves: int, seed: int, iteration: int) -> np.ndarray:
+    """Four numbers in (0, 1) per move that depend on run, seed and iteration only."""
+    return np.random.Generator(np.random.Philox(key=[run & (2**64 - 1), (seed << 32) + iteration])).random((n_moves, 4))
+
+
+def lattice_run_uniforms(run: int, n_moves: int, seed: int, iteration: int) -> np.ndarray:
+    """The same from integer arithmetic that SQL has too."""
+    return ((run * 7919 + np.arange(4 * n_moves).reshape(n_moves, 4) * 104729) % 1000003 + 0.5) / 1000003.0
+
+
+def updated_assignments(candidates: DataFrame, unknowns: DataFrame, assigned: DataFrame, runs: DataFrame, y: DataFrame, filters: DataFrame, contamination: float, seed: int, iteration: int, n_moves: int = 1, uniforms: Callable[[int, int, int, int], np.ndarray] | None = None) -> DataFrame:
     """Assignments after ``n_moves`` proposed moves per run, each taken by likelihood and proposal ratio.
 
     Randomness depends on run, seed, iteration and move. Runs without features have no rows. What a run needs from Y and the filters is
     joined to its candidates first, so each run is one row of arrays.
     """
+    draw_uniforms = uniforms or run_uniforms
     info = candidates.join(runs.select("run", "species", "filter"), "run")
     info = info.join(y.where("state").select(F.col("r").alias("species"), F.col("c").alias("molecule"), F.lit(True).alias("y")), ["species", "molecule"], "left")
     info = info.join(filters, ["filter", "molecule"], "left").fillna({"y": False, "index": 128}).select("run", "feature", "molecule", "bin", "y", "index")
@@ -223,7 +234,7 @@ def updated_assignments(candidates: DataFrame, unknowns: DataFrame, assigned: Da
         present = {c["molecule"] for c in cands if c["y"]}
         passes = {c["molecule"]: c["index"] / 255 for c in cands}
         run = Run(lists, *(np.array([x[k] for x in now], np.int64) for k in ("unknown", "molecule", "bin")))
-        us = np.random.Generator(np.random.Philox(key=[number & (2**64 - 1), (seed << 32) + iteration])).random((n_moves, 4))
+        us = draw_uniforms(number, n_moves, seed, iteration)
         for u in us:
             move = run.propose(u)
             if move and math.log(u[3]) < run.log_ratio(move[0], present, passes, contamination) + move[1]:

@@ -500,6 +500,43 @@ def _moves(spark: SparkSession, where: str) -> DataFrame:
     return new.agg(F.count(F.lit(1)).alias("n_features")).select("n_features", twice.alias("twice"), strange.alias("not_candidates"))
 
 
+def _phred(b: str) -> str:
+    return ln(f"1 - pow(1.1::DOUBLE, -{b} / 10.0::DOUBLE)")
+
+
+def _shift(m: str, i: str) -> str:
+    """ln P(assigned) - ln P(not assigned) of a molecule, null for none."""
+    f = f"(coalesce({i}.index, 128) / 255.0::DOUBLE)"
+    return f"CASE WHEN {m} IS NULL THEN 0 WHEN {i}.y THEN {ln(f)} - {ln(f'1 - {f}')} ELSE ln(0.001::DOUBLE) - ln(0.999::DOUBLE) END"
+
+
+# one move in every run: pick, candidate or partner, ratio, decision
+_ONE_MOVE = f"""u AS (SELECT run, {', '.join(f"{_u('run', str(k))} AS u{k}" for k in range(4))} FROM (SELECT DISTINCT run FROM features)),
+st AS (SELECT run, feature, molecule, bin, molecule IS NOT NULL AS real, row_number() OVER (PARTITION BY run, molecule IS NOT NULL ORDER BY feature) - 1 AS k, count(molecule) OVER (PARTITION BY run) AS n_real, count(*) OVER (PARTITION BY run) AS n FROM assigned),
+fr AS (SELECT cd.*, row_number() OVER (PARTITION BY cd.run, cd.feature ORDER BY cd.molecule) - 1 AS k, count(*) OVER (PARTITION BY cd.run, cd.feature) AS n_free FROM cd WHERE (run, molecule) NOT IN (SELECT (run, molecule) FROM assigned WHERE molecule IS NOT NULL)),
+one AS (SELECT st.*, u.u2, u.u3, CAST(floor(u0 * 4) AS INT) AS kind, n_real, n - n_real AS n_unknown FROM st JOIN u ON u.run = st.run
+        WHERE real = (floor(u0 * 4) <> 1) AND st.k = floor(u1 * CASE WHEN floor(u0 * 4) = 1 THEN n - n_real ELSE n_real END)),
+num AS (SELECT one.run, coalesce(max(fr.n_free), 0) AS n_free FROM one LEFT JOIN fr ON fr.run = one.run AND fr.feature = one.feature GROUP BY one.run),
+two AS (SELECT o.run, o.feature AS i, st.feature AS j, st.molecule AS mj, st.bin AS bj FROM one o JOIN st ON st.run = o.run AND st.real AND st.feature <> o.feature WHERE o.kind = 2
+        AND st.k - CASE WHEN st.k > o.k THEN 1 ELSE 0 END = floor(o.u2 * (o.n_real - 1))),
+ch AS (SELECT one.run, one.feature, CAST(NULL AS BIGINT) AS molecule, 60 AS bin, one.molecule AS old, one.bin AS old_bin, ln(n_real / ((n_unknown + 1.0::DOUBLE) * (n_free + 1))) AS q FROM one JOIN num ON num.run = one.run WHERE kind = 0
+ UNION ALL SELECT one.run, one.feature, fr.molecule, fr.bin, one.molecule, one.bin, CASE WHEN kind = 1 THEN ln(n_unknown * fr.n_free / (n_real + 1.0::DOUBLE)) ELSE 0 END FROM one JOIN fr ON fr.run = one.run AND fr.feature = one.feature AND fr.k = floor(u2 * n_free) WHERE kind IN (1, 3)
+ UNION ALL SELECT one.run, one.feature, mj, a.bin, one.molecule, one.bin, 0 FROM one JOIN two ON two.run = one.run JOIN cd a ON a.run = one.run AND a.feature = i AND a.molecule = mj JOIN cd b ON b.run = one.run AND b.feature = j AND b.molecule = one.molecule
+ UNION ALL SELECT one.run, j, one.molecule, b.bin, mj, bj, 0 FROM one JOIN two ON two.run = one.run JOIN cd a ON a.run = one.run AND a.feature = i AND a.molecule = mj JOIN cd b ON b.run = one.run AND b.feature = j AND b.molecule = one.molecule),
+info AS (SELECT DISTINCT cd.run, cd.molecule, coalesce(k.y = 1, false) AS y, f.index FROM cd JOIN runs ON runs.run = cd.run LEFT JOIN cells k ON k.r = runs.species AND k.c = cd.molecule LEFT JOIN filters f ON f.filter = runs.filter AND f.molecule = cd.molecule),
+rt AS (SELECT ch.run, sum({_phred('ch.bin')} - {_phred('ch.old_bin')}) + sum({_shift('ch.molecule', 'a')}) - sum({_shift('ch.old', 'b')}) + max(q) AS d
+       FROM ch LEFT JOIN info a ON a.run = ch.run AND a.molecule = ch.molecule LEFT JOIN info b ON b.run = ch.run AND b.molecule = ch.old GROUP BY ch.run),
+ok AS (SELECT ch.* FROM ch JOIN rt ON rt.run = ch.run JOIN u ON u.run = ch.run WHERE ln(u3) < d)"""
+
+
+@query("sv_g22_g30_one_move", with_base(f"WITH {_CANDS}, {_ONE_MOVE} SELECT st.run, st.feature, CASE WHEN ok.run IS NULL THEN st.molecule ELSE ok.molecule END AS molecule, coalesce(ok.bin, st.bin) AS bin FROM st LEFT JOIN ok ON ok.run = st.run AND ok.feature = st.feature", *_MS, "features", "parts_of"))
+def _one_move(spark: SparkSession, where: str) -> DataFrame:
+    """One move in every run, proposed and decided by numbers that SQL has too."""
+    runs, cands, unknowns, assigned, filters = ms(spark, where)
+    known = runs.join(cands.select("run").distinct(), "run", "left_semi")
+    return msms.updated_assignments(cands, unknowns, assigned, known, y_of(spark, where), filters, 0.001, 0, 0, 1, msms.lattice_run_uniforms)
+
+
 @query("sv_u05_changed_molecules", with_base("""SELECT 'gone' AS change, run, molecule FROM assigned WHERE molecule IS NOT NULL AND bin > 150
 UNION ALL SELECT 'come', run, molecule + 1000000 FROM assigned WHERE molecule IS NOT NULL AND bin > 150""", "assigned"))
 def _changed_molecules(spark: SparkSession, where: str) -> DataFrame:
