@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladewise.operators.skew import lookup
+from cladewise.operators.skew import hot_from, lookup_known
 from cladewise.store import Cuts
 
 #: Characters of a window, about, white space not counted; a text is cut into windows of equal length.
@@ -143,16 +143,19 @@ def pair_information(cuts: Cuts, pairs: DataFrame) -> DataFrame:
     """Information of neighbouring words over the whole corpus: (a, b, n, n_a, n_b, pmi) of pairs that stand twice or more.
 
     pmi = ln(n(ab) * N / (n(a) n(b))), times n(ab) / (n(ab) + 1) as rare pairs overstate it, where n(a) and n(b) count the pairs
-    that begin with a and end with b. ``pairs`` has (a, b, k). Counts are summed in the map tasks first; common words are spread in
-    the joins with their counts. A pair that stands once says nothing, and only counts in N, n(a) and n(b).
+    that begin with a and end with b. ``pairs`` has (a, b, k). Counts are summed in the map tasks first. The counts of words also tell
+    in how many pairs a word stands, so words of many pairs are known, 1,000 at most, and spread in the joins. A pair that stands once
+    says nothing, and only counts in N, n(a) and n(b).
     """
     counts = cuts.save("counts", pairs.groupBy("a", "b").agg(F.sum("k").alias("n")))
-    total = counts.agg(F.sum("n")).scalar()
-    first, second = (counts.groupBy(x).agg(F.sum("n").alias(f"n_{x}")) for x in "ab")
-    often = counts.where("n >= 2")
-    both = lookup(lookup(often, first, "a", F.col("b")), second, "b", F.col("a"))
+    both, total = counts.where("n >= 2"), None
+    for x, by in ("ab", "ba"):
+        words = cuts.save(f"words-{x}", counts.groupBy(x).agg(F.sum("n").alias(f"n_{x}"), F.count_if(F.col("n") >= 2).alias("k")))
+        size = words.agg(F.coalesce(F.sum(f"n_{x}"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
+        hot = [r[0] for r in words.where(F.col("k") >= hot_from(size.k)).select(x).collect()]
+        both, total = lookup_known(both, words.drop("k"), x, F.col(by), hot), size.n
     n = F.col("n").cast("double")
-    pmi = F.log(n * total / (F.col("n_a").cast("double") * F.col("n_b"))) * n / (n + 1)
+    pmi = F.log(n * float(total) / (F.col("n_a").cast("double") * F.col("n_b"))) * n / (n + 1)
     return both.select("a", "b", "n", "n_a", "n_b", pmi.cast("float").alias("pmi"))
 
 
