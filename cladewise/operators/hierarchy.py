@@ -11,7 +11,7 @@ from cladewise.operators.skew import census, hot_from, lookup_known
 from cladewise.store import Cuts
 
 #: One node in so many is a splitter.
-EVERY = 16
+EVERY = 6
 _OPEN, _SPLITTER, _ROOT, _LONE = 0, 1, 2, 3
 
 
