@@ -19,8 +19,10 @@ from cladewise.store import Cuts
 
 #: Characters of a window, about, white space not counted; a text is cut into windows of equal length.
 WINDOW = 220
-#: Words of a chunk of documents, about, whose pairs are looked up together.
-CHUNK = 500_000
+#: Words of a chunk of documents, about, whose pairs are looked up together, and chunks in a row group of their table.
+CHUNK, GROUP = 500_000, 2
+#: Documents, and windows, of which figures are taken at a time; a document of more windows comes alone.
+DOCUMENTS, MOST_WINDOWS = 1000, 10_000
 #: Labelled documents of each label that the weights are fitted on, those with the least hash of their id, and the number of pairs
 #: up to which one of them is used for that.
 LABELLED, LONGEST = 3000, 20_000
@@ -133,7 +135,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held.n >= CHUNK:
                 yield held.row(number, np.array(hashes), np.array(lengths))
                 number, held = number + 1, _Chunk()
-                if len(ids) > 4 * CHUNK:
+                if len(ids) > CHUNK:
                     ids, hashes, lengths = {}, [], []
     if held.n:
         yield held.row(number, np.array(hashes), np.array(lengths))
@@ -169,7 +171,7 @@ def _step(x: F.Column, edges: tuple) -> F.Column:
 def corpus_chunks(cuts: Cuts, df: DataFrame, key: str, text: str) -> DataFrame:
     rows = df.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text")).where("doc is not null and text is not null")
     schema = _CHUNK_COLS.format(kind=df.schema[key].dataType.simpleString())
-    return cuts.save("chunks", rows.select("doc", F.xxhash64("text").alias("sum"), "text").mapInArrow(_chunks, schema))
+    return cuts.save("chunks", rows.select("doc", F.xxhash64("text").alias("sum"), "text").mapInArrow(_chunks, schema), GROUP)
 
 
 def chunk_pairs(chunks: DataFrame) -> DataFrame:
@@ -184,39 +186,52 @@ def described(cuts: Cuts, df: DataFrame, key: str, text: str) -> DataFrame:
     level of information over the corpus and its count in this document; ``pmi`` is the mean information. ``sum`` is a hash of the text,
     so that different texts under one id stay apart.
 
-    A chunk of documents asks for each of its pairs once, so a common pair has one row per chunk in the join and no key is hot; what
-    comes back is one array per chunk, no longer than its pairs.
+    A chunk of documents asks for each of its pairs once, so a common pair has one row per chunk in the join and no key is hot. What
+    comes back is sorted by chunk behind the chunk's own row, so a task holds one chunk at a time.
     """
     kind = df.schema[key].dataType.simpleString()
     chunks = corpus_chunks(cuts, df, key, text)
     info = pair_information(cuts, chunk_pairs(chunks))
     level = 1 + _step(F.col("pmi"), PMI_EDGES) * (_KNOWN - 1) + _step(F.col("n"), KNOWN_EDGES[1:])
     asked = chunks.select("chunk", F.posexplode(F.arrays_zip("a", "b")).alias("i", "x")).select("chunk", "i", "x.a", "x.b")
-    told = asked.join(info.select("a", "b", level.cast("byte").alias("level"), "pmi"), ["a", "b"])
-    answers = told.groupBy("chunk").agg(F.collect_list(F.struct("i", "level", "pmi")).alias("x")).select("chunk", F.col("x.i").alias("i"), F.col("x.level").alias("level"), F.col("x.pmi").alias("pmi"))
-    rows = chunks.select("chunk", "doc", "sum", "n_windows", "chars", "pairs", "at", F.size("a").alias("n")).join(answers, "chunk", "left")
+    told = asked.join(info.select("a", "b", level.cast("byte").alias("level"), "pmi"), ["a", "b"]).select("chunk", "i", "level", "pmi")
+    whole = F.struct("doc", "sum", "n_windows", "chars", "pairs", "at", F.size("a").alias("n"))
+    first = chunks.select("chunk", F.lit(-1).alias("i"), whole.alias("row"))
+    rows = told.unionByName(first, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "i")
+
+    def states_of(row: pa.StructScalar, told: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        n_windows, chars, pairs, at = (row[c].values.to_numpy() for c in ("n_windows", "chars", "pairs", "at"))
+        level, pmi = np.zeros(row["n"].as_py(), np.int64), np.zeros(row["n"].as_py())
+        for i, its_level, its_pmi in told:
+            level[i], pmi[i] = its_level, its_pmi
+        ends = np.cumsum(n_windows)
+        n_docs = len(n_windows)
+        of_doc = np.add.reduceat(pairs, ends - n_windows)
+        doc = np.repeat(np.arange(n_docs), of_doc)
+        _, inverse, times = np.unique(doc * max(1, len(level)) + at, return_inverse=True, return_counts=True)
+        state = (level[at] * _OWN + np.digitize(times[inverse], OWN_EDGES)).astype(np.uint8)
+        last = np.cumsum(of_doc)
+        mean = np.bincount(doc, pmi[at], minlength=n_docs) / np.maximum(of_doc, 1)
+        offsets = pa.array(np.r_[0, ends], pa.int32())
+        cols = [row["doc"].values, row["sum"].values, pa.ListArray.from_arrays(offsets, row["chars"].values), pa.ListArray.from_arrays(offsets, row["pairs"].values)]
+        cols += [pa.array([state[e - n : e].tobytes() for e, n in zip(last, of_doc, strict=True)], pa.binary()), pa.array(mean)]
+        return pa.RecordBatch.from_arrays(cols, ["doc", "sum", "chars", "pairs", "states", "pmi"])
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, told = None, []
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = {name: batch.column(name)[k] for name in batch.schema.names}
-                n_windows, chars, pairs, at = (row[c].values.to_numpy() for c in ("n_windows", "chars", "pairs", "at"))
-                level, pmi = np.zeros(row["n"].as_py(), np.int64), np.zeros(row["n"].as_py())
-                if row["i"].is_valid:
-                    i = row["i"].values.to_numpy()
-                    level[i], pmi[i] = row["level"].values.to_numpy(), row["pmi"].values.to_numpy()
-                ends = np.cumsum(n_windows)
-                n_docs = len(n_windows)
-                of_doc = np.add.reduceat(pairs, ends - n_windows)
-                doc = np.repeat(np.arange(n_docs), of_doc)
-                _, inverse, times = np.unique(doc * max(1, len(level)) + at, return_inverse=True, return_counts=True)
-                state = (level[at] * _OWN + np.digitize(times[inverse], OWN_EDGES)).astype(np.uint8)
-                last = np.cumsum(of_doc)
-                mean = np.bincount(doc, pmi[at], minlength=n_docs) / np.maximum(of_doc, 1)
-                offsets = pa.array(np.r_[0, ends], pa.int32())
-                cols = [row["doc"].values, row["sum"].values, pa.ListArray.from_arrays(offsets, row["chars"].values), pa.ListArray.from_arrays(offsets, row["pairs"].values)]
-                cols += [pa.array([state[e - n : e].tobytes() for e, n in zip(last, of_doc, strict=True)], pa.binary()), pa.array(mean)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc", "sum", "chars", "pairs", "states", "pmi"])
+            i = batch.column("i").to_numpy()
+            starts = np.flatnonzero(i < 0)
+            for at, end in zip(np.r_[0, starts], np.r_[starts, len(i)], strict=True):
+                if end > at and i[at] < 0:
+                    if row is not None:
+                        yield states_of(row, told)
+                    row, told, at = batch.column("row")[int(at)], [], at + 1
+                if end > at:
+                    # copies, so that no batch is held for a piece of it
+                    told.append((i[at:end].copy(), *(batch.column(c).slice(at, end - at).to_numpy(zero_copy_only=False).copy() for c in ("level", "pmi"))))
+        if row is not None:
+            yield states_of(row, told)
 
     return cuts.save("described", rows.mapInArrow(states, f"doc {kind}, sum long, chars array<int>, pairs array<int>, states binary, pmi double"))
 
@@ -340,10 +355,14 @@ def learn(windows: Windows, spam: np.ndarray) -> Model:
     return Model(weights, float(w[-1] - weights[used] @ mean[used]), True)
 
 
-def _windows(batch: pa.RecordBatch, size: int = 1000) -> Iterator[tuple[pa.RecordBatch, Windows]]:
-    for at in range(0, batch.num_rows, size):
-        b = batch.slice(at, size)
+def _windows(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Windows]]:
+    ends = np.cumsum([len(c) for c in batch.column("chars")])
+    at = 0
+    while at < batch.num_rows:
+        fits = np.searchsorted(ends, (ends[at - 1] if at else 0) + MOST_WINDOWS, "right") - at
+        b = batch.slice(at, min(max(1, fits), DOCUMENTS))
         yield b, Windows(*([x.values.to_numpy() for x in b.column(c)] for c in ("chars", "pairs")), b.column("states").to_pylist())
+        at += b.num_rows
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

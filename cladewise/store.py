@@ -52,11 +52,16 @@ class Cuts:
         self._paths: dict[str, str] = {}
         self._n = 0
 
-    def save(self, name: str, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return it as a scan without lineage. The table it replaces is deleted once this one is whole."""
+    def save(self, name: str, df: DataFrame, group: int | None = None) -> DataFrame:
+        """Write ``df`` and return it as a scan without lineage. The table it replaces is deleted once this one is whole.
+
+        ``group`` is the number of rows of a row group, for rows of megabytes: a writer holds 100 rows before it looks at their size, and a
+        reader takes thousands at once, but neither goes beyond a row group.
+        """
         self._n += 1
         path = f"{self.root}/{self._n:04d}-{name}"
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.option("parquet.block.row.count.limit", group) if group else writer).parquet(path)
         old = self._paths.pop(name, None)
         if old:
             _delete(self.spark, old)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from compare import DATA
 from pyspark.sql import functions as F
@@ -95,3 +96,14 @@ def test_own_counts_and_copies(spark):
     rows = described(Cuts(spark, "t"), df, "doc_id", "text").collect()
     own = {r.doc: np.frombuffer(bytes(r.states), np.uint8) % 4 for r in rows}
     assert (own[1] == own[2]).all() and own[1].tolist()[:4] == [3, 3, 3, 2] and own[3].tolist() == [0] and len(rows) == 4
+
+
+def test_chunks_and_windows_are_held_a_few_at_a_time(spark, monkeypatch):
+    df = spark.createDataFrame([(k, t) for k, t, _ in corpus(5, 60)], "doc_id long, text string")
+    saved = Cuts(spark, "test").save("chunks", spark.range(50).coalesce(1), S.GROUP)
+    groups = [m.row_group(k).num_rows for f in saved.inputFiles() for m in [pq.read_metadata(f.removeprefix("file://"))] for k in range(m.num_row_groups)]
+    assert sum(groups) == 50 and max(groups) == S.GROUP
+    monkeypatch.setattr(S, "MOST_WINDOWS", 4)
+    batch = described(Cuts(spark, "test"), df, "doc_id", "text").toArrow().combine_chunks().to_batches()[0]
+    parts = [(b.num_rows, len(w.pairs)) for b, w in S._windows(batch)]
+    assert sum(n for n, _ in parts) == batch.num_rows and all(k == 1 or n <= 4 for k, n in parts)
