@@ -210,7 +210,7 @@ UNION ALL SELECT ch.clique, ch.id, coalesce(s.state, false), l0 + ln(1 - (({_A})
 
 @query("sv_g05_conditionals", with_base(f"WITH {_GRID}, {_COND.replace('clique %', 'ch.clique %')} SELECT clique, id, state, round(log0, 5) AS log0, round(log1, 5) AS log1 FROM cond", "sp", "cells"))
 def _conditionals(spark: SparkSession, where: str) -> DataFrame:
-    got = field.full_conditionals(branches(spark, where), states(spark, where), tree(spark, where, "sp"), sp_cliques(spark, where), N_BINS)
+    got = field.sparse_full_conditionals(states(spark, where), sp_bins(spark, where), sp_cliques(spark, where), N_BINS)
     return got.select("clique", "id", "state", r("log0", 5, "log0"), r("log1", 5, "log1"))
 
 
