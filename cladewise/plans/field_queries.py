@@ -193,7 +193,7 @@ def _parents(spark: SparkSession, where: str) -> DataFrame:
 
 @query("sv_j03_a06_children", with_base(f"WITH {_GRID} SELECT clique, parent AS id, round(sum({ln(p_of('alpha', 'nu', 'bin', 'false', 'state'))}), 5) AS log0, round(sum({ln(p_of('alpha', 'nu', 'bin', 'true', 'state'))}), 5) AS log1 FROM br GROUP BY 1, 2", "sp", "cells"))
 def _children(spark: SparkSession, where: str) -> DataFrame:
-    return field.child_log_sums(branches(spark, where), N_BINS).select("clique", "id", r("log0", 5, "log0"), r("log1", 5, "log1"))
+    return field.sparse_child_log_sums(states(spark, where), sp_bins(spark, where), sp_cliques(spark, where), N_BINS).select("clique", "id", r("log0", 5, "log0"), r("log1", 5, "log1"))
 
 
 @query("sv_a07_tree_log_likelihood", with_base(f"WITH {_GRID} SELECT clique, round(sum({ln(p_of('alpha', 'nu', 'bin', 'up', 'state'))}), 5) AS cur, round(sum({ln(p_of('0.5::DOUBLE', '(nu * 1.5::DOUBLE)', 'bin', 'up', 'state'))}), 5) AS try FROM br GROUP BY clique", "sp", "cells"))
