@@ -199,7 +199,7 @@ def _children(spark: SparkSession, where: str) -> DataFrame:
 @query("sv_a07_tree_log_likelihood", with_base(f"WITH {_GRID} SELECT clique, round(sum({ln(p_of('alpha', 'nu', 'bin', 'up', 'state'))}), 5) AS cur, round(sum({ln(p_of('0.5::DOUBLE', '(nu * 1.5::DOUBLE)', 'bin', 'up', 'state'))}), 5) AS try FROM br GROUP BY clique", "sp", "cells"))
 def _tree_ll(spark: SparkSession, where: str) -> DataFrame:
     sp, cl = sp_bins(spark, where), sp_cliques(spark, where)
-    got = field.sparse_log_likelihood(field.touched_branches(states(spark, where), sp, cl), cl, field.bulk_counts(sp, N_BINS), F.lit(0.5), F.col("nu") * 1.5)
+    got = field.sparse_log_likelihood(field.touched_counts(states(spark, where), sp, cl), cl, field.bulk_counts(sp, N_BINS), F.lit(0.5), F.col("nu") * 1.5)
     return got.select("clique", r("cur", 5, "cur"), r("try", 5, "try"))
 
 
