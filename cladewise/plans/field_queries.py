@@ -387,7 +387,7 @@ def _proposals(spark: SparkSession, where: str) -> DataFrame:
     counts, out = field.bulk_counts(sp, N_BINS), None
     for name, propose in (("alpha", params.proposed_alpha), ("log_nu", params.proposed_log_nu)):
         tries = propose(start, 0.1, 1, 1, z)
-        touched = field.touched_branches(states(spark, where), sp, start)
+        touched = field.touched_counts(states(spark, where), sp, start)
         done = params.decide_cliques(tries, params.clique_ratios(touched, tries, counts), name, 1, 1, u=u)
         done = done.select("clique", F.lit(name).alias("step"), "accepted", r("alpha", 9, "alpha"), r("log_nu", 9, "log_nu"))
         out = done if out is None else out.unionByName(done)
