@@ -218,10 +218,9 @@ def _conditionals(spark: SparkSession, where: str) -> DataFrame:
 SELECT round((SELECT sum(CASE WHEN state THEN log1 ELSE log0 END) FROM cond), 2) AS pseudo_log_density,
 round((SELECT sum({ln(p_of('alpha', 'nu', 'bin', 'up', 'state'))}) FROM br) + (SELECT sum(CASE WHEN s.state THEN ln(a) ELSE ln(1 - a) END) FROM (SELECT p_partkey AS clique, ((p_partkey % 7) + 1) / 10.0::DOUBLE AS a, n.id FROM part, sp_nodes n WHERE n.is_root) q LEFT JOIN st s ON s.clique = q.clique AND s.id = q.id), 2) AS joint_log_density""", "sp", "cells"))
 def _densities(spark: SparkSession, where: str) -> DataFrame:
-    rows, st, sp, cl = branches(spark, where), states(spark, where), tree(spark, where, "sp"), sp_cliques(spark, where)
-    pseudo = field.pseudo_log_density(field.full_conditionals(rows, st, sp, cl, N_BINS)).scalar()
-    bins = sp_bins(spark, where)
-    joint = field.sparse_joint_log_density(field.touched_branches(st, bins, cl), st, sp, cl, field.bulk_counts(bins, N_BINS))
+    st, bins, cl = states(spark, where), sp_bins(spark, where), sp_cliques(spark, where)
+    pseudo = field.pseudo_log_density(field.sparse_full_conditionals(st, bins, cl, N_BINS)).scalar()
+    joint = field.sparse_joint_log_density(field.touched_counts(st, bins, cl), st, bins, cl, field.bulk_counts(bins, N_BINS))
     return joint.select(r(pseudo, 2, "pseudo_log_density"), r("joint_log_density", 2, "joint_log_density"))
 
 
