@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ def decide_cliques(cliques: DataFrame, ratios: DataFrame, name: str, seed: int,
 
 
 def clique_ratios(touched: DataFrame, tries: DataFrame, counts: list[int]) -> DataFrame:
-    """(clique, cur, try) of proposals (clique, alpha, nu, alpha_try, nu_try), from touched_branches and bulk_counts."""
+    """(clique, cur, try) of proposals (clique, alpha, nu, alpha_try, nu_try), from touched_branches or touched_counts, and bulk_counts."""
     rows = touched.join(tries.select("clique", "alpha_try", "nu_try"), "clique")
     return sparse_log_likelihood(rows, tries, counts, F.col("alpha_try"), F.col("nu_try"))
 
@@ -179,6 +180,42 @@ def sparse_pair_ratios(moves: DataFrame, touched: DataFrame, cliques: DataFrame,
     return both.join(seen, ["pair", "id"], "left").groupBy("pair").agg(F.sum(rest + F.coalesce("d", F.lit(0.0))).alias("log_ratio"))
 
 
+def state_pair_ratios(moves: DataFrame, states: DataFrame, table: DataFrame, cliques: DataFrame, n_bins: int) -> DataFrame:
+    """As pair_ratios, from the stored states alone; moves go by one bin at most.
+
+    Of a branch below ones the sum over those cliques is told by its parent and bin, and likewise of all cliques by the bin; only
+    branches that are one themselves are looked at one by one.
+    """
+    branches = table.where("branch_ix is not null").select("id", "parent")
+    ones = states.where("state").select("clique", "id").join(cliques.select("clique", "alpha", "nu"), "clique")
+    inner = ones.withColumnRenamed("id", "parent").join(table.where("kind <> 'leaf'").select(F.col("id").alias("parent")), "parent", "left_semi")
+
+    def ln(to: str, bin_: Column) -> Column:
+        return P.safe_ln(P.transition("alpha", "nu", bin_, n_bins)[to])
+
+    def rises(rows: DataFrame, by: list[str], f: Callable[[Column], Column], name: str) -> DataFrame:
+        """Sums of f(lo + 1) - f(lo) by lo; differences come first, so that the guard values for ln 0 meet."""
+        lo = F.col("lo")
+        steps = rows.withColumn("lo", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 2))))
+        return steps.groupBy(*by, "lo").agg(F.sum(f(lo + 1) - f(lo)).alias(name))
+
+    all_of = rises(cliques.select("alpha", "nu"), [], lambda b: ln("p00", b), "rise")
+    below = rises(inner.select("parent", "alpha", "nu"), ["parent"], lambda b: ln("p10", b) - ln("p00", b), "rise_1")
+    both = moves.select("pair", F.explode(F.array(F.struct(F.col("id_1").alias("id"), F.col("bin_1").alias("bin"), F.col("move").alias("by")), F.struct(F.col("id_2").alias("id"), F.col("bin_2").alias("bin"), (-F.col("move")).alias("by")))).alias("x")).select("pair", "x.*").join(branches, "id")
+    up = inner.select("clique", "parent", F.lit(True).alias("up"))
+    met = ones.join(both.where("by <> 0"), "id").join(up, ["clique", "parent"], "left")
+    bin_, to = F.col("bin"), F.col("bin") + F.col("by")
+
+    def own(one: str, zero: str) -> Column:
+        return (ln(one, to) - ln(one, bin_)) - (ln(zero, to) - ln(zero, bin_))
+
+    seen = met.groupBy("pair", "id").agg(F.sum(F.when(F.col("up"), own("p11", "p10")).otherwise(own("p01", "p00"))).alias("d"))
+    lo = F.when(F.col("by") > 0, bin_).when(F.col("by") < 0, bin_ - 1)
+    rows = both.withColumn("lo", lo).join(all_of, "lo", "left").join(below, ["parent", "lo"], "left").join(seen, ["pair", "id"], "left")
+    d = F.col("by") * (F.coalesce("rise", F.lit(0.0)) + F.coalesce("rise_1", F.lit(0.0))) + F.coalesce("d", F.lit(0.0))
+    return rows.groupBy("pair").agg(F.sum(d).alias("log_ratio"))
+
+
 def moved_bins(branches: DataFrame, moves: DataFrame, ratios: DataFrame, seed: int, iteration: int) -> DataFrame:
     """Branches (id, bin) after the accepted moves."""
     took = moves.join(ratios, "pair").where(P.accepted(F.col("log_ratio"), P.uniform("pair", iteration, seed=seed + 7)))

@@ -182,10 +182,6 @@ def sp_cliques(spark: SparkSession, where: str) -> DataFrame:
     return raw(spark, where, "part").select(c.alias("clique"), ((c % 7 + 1) / 10.0).alias("alpha"), ((c % 5 + 1) / 4.0).alias("nu"))
 
 
-def branches(spark: SparkSession, where: str) -> DataFrame:
-    return field.all_branches(states(spark, where), sp_bins(spark, where), sp_cliques(spark, where))
-
-
 @query("sv_j02_parent_states", with_base(f"WITH {_STATES} SELECT s.clique, s.id, n.parent, s.state, coalesce(u.state, false) AS parent_state FROM st s JOIN sp_nodes n ON n.id = s.id AND n.parent IS NOT NULL LEFT JOIN st u ON u.clique = s.clique AND u.id = n.parent", "sp", "cells"))
 def _parents(spark: SparkSession, where: str) -> DataFrame:
     return field.with_parent_state(states(spark, where), tree(spark, where, "sp"))
@@ -247,8 +243,7 @@ def _pair_ratios(spark: SparkSession, where: str) -> DataFrame:
     b = sp_bins(spark, where).where("not is_root")
     pairs = b.select(F.floor(F.col("node_ix") / 2).cast("string").alias("pair"), "id", "bin", (F.col("node_ix") % 2 == 0).alias("first"))
     moves = params.pair_moves(pairs, N_BINS, 0, 0, F.lit(0.25)).where("id_1 is not null and id_2 is not null")
-    touched = field.touched_branches(states(spark, where), sp_bins(spark, where), sp_cliques(spark, where))
-    return params.sparse_pair_ratios(moves, touched, sp_cliques(spark, where), N_BINS).withColumn("log_ratio", F.round("log_ratio", 4))
+    return params.state_pair_ratios(moves, states(spark, where), sp_bins(spark, where), sp_cliques(spark, where), N_BINS).withColumn("log_ratio", F.round("log_ratio", 4))
 
 
 @query("sv_g11_moved_bins", with_base(f"WITH {nodes_sql('sp')}, {_PAIR}, {_MOVE.format(u=_u('pair::BIGINT', '5'))} SELECT pr.id, CAST(pr.bin + CASE WHEN pr.id = id_1 THEN move WHEN pr.id = id_2 THEN -move ELSE 0 END AS INT) AS bin FROM pr LEFT JOIN mv ON mv.pair = pr.pair", "sp"))
