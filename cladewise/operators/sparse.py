@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the largest count that a cell can hold; longer chains are thinned.
 LARGEST_COUNT = 32_767
+#: The columns of a part of a row, in which its runs are found by one task, and the cells that are made of a run at once.
+PART, PIECE = 2**20, 2**13
 
 
 @dataclass(frozen=True)
@@ -111,11 +113,40 @@ def stored(m: DataFrame, shape: Shape) -> DataFrame:
     return m.withColumn("linear", linear(shape)).orderBy("linear")
 
 
+def dense_runs(spark: SparkSession, m: DataFrame, shape: Shape) -> DataFrame:
+    """The full grid in runs of equal cells: (r, c, n, state, exists, n_ones), ``n`` cells of a row from column ``c`` on.
+
+    A stored cell is a run of one, and the cells between two stored ones are one run, so work goes with the stored cells and the rows.
+    """
+    n_parts = max(1, -(-shape.n_cols // PART))
+    part = F.floor(F.col("c") / PART)
+    starts = spark.range(shape.n_rows).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))).alias("part"))
+    starts = starts.select("r", "part", (F.col("part") * PART - 1).alias("c"), F.lit(False).alias("state"), F.lit(0).alias("n_ones"), F.lit(False).alias("exists"))
+    inside = (F.col("r") >= 0) & (F.col("r") < shape.n_rows) & (F.col("c") >= 0) & (F.col("c") < shape.n_cols)
+    cells = m.where(inside).select(F.col("r").cast("long").alias("r"), part.alias("part"), F.col("c").cast("long").alias("c"), "state", F.col("n_ones").cast("int").alias("n_ones"), F.lit(True).alias("exists"))
+    end = F.least((F.col("part") + 1) * PART, F.lit(shape.n_cols).cast("long"))
+    following = F.coalesce(F.lead("c").over(Window.partitionBy("r", "part").orderBy("c")), end)
+    rows = starts.unionByName(cells).select("*", following.alias("next"))
+    own = F.when(F.col("exists"), F.struct("c", F.lit(1).cast("long").alias("n"), "state", "exists", "n_ones"))
+    gap = F.struct((F.col("c") + 1).alias("c"), (F.col("next") - F.col("c") - 1).alias("n"), F.lit(False).alias("state"), F.lit(False).alias("exists"), F.lit(0).alias("n_ones"))
+    return rows.select("r", F.explode(F.array(own, gap)).alias("x")).where("x.n > 0").select("r", "x.*")
+
+
+def cells_of_runs(runs: DataFrame) -> DataFrame:
+    """The runs' cells, each with the run's columns and its own ``c``; they are made in place, in the runs' order, and nothing is moved."""
+    rest = [x for x in runs.columns if x not in ("c", "n")]
+    pieces = runs.select(*rest, "n", F.col("c").alias("_c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE).cast("long"))).alias("_at"))
+    return pieces.select(*rest, F.explode(F.sequence(F.col("_c") + F.col("_at"), F.col("_c") + F.least(F.col("_at") + PIECE, F.col("n")) - 1)).alias("c"))
+
+
 def densified(spark: SparkSession, m: DataFrame, shape: Shape, first: int = 0, last: int | None = None) -> DataFrame:
     """Cells first .. last - 1 of the full grid with their states: (linear, r, c, state, exists)."""
-    r, c = row_col(shape, F.col("id"))
-    cells = spark.range(first, shape.size if last is None else last).select(F.col("id").alias("linear"), r.alias("r"), c.alias("c"))
-    return lookup_cells(m, cells).drop("n_ones")
+    end = shape.size if last is None else last
+    at = linear(shape)
+    low = F.greatest(F.lit(0).cast("long"), F.lit(first).cast("long") - at)
+    runs = dense_runs(spark, m, shape).withColumn("_low", low).withColumn("n", F.least(F.col("n"), F.lit(end).cast("long") - at) - F.col("_low"))
+    runs = runs.where("n > 0").withColumn("c", F.col("c") + F.col("_low"))
+    return cells_of_runs(runs.select("r", "c", "n", "state", "exists")).select(at.alias("linear"), "r", "c", "state", "exists")
 
 
 def row_window(spark: SparkSession, m: DataFrame, shape: Shape, row: int, start: int, k: int) -> DataFrame:
