@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladewise.functions.prob import delta
-from cladewise.operators.sparse import Shape, densified, linear, stored
+from cladewise.operators.sparse import Shape, cells_of_runs, dense_runs, linear, stored
 
 
 def write_table(df: DataFrame, path: str, sep: str = "\t") -> None:
@@ -30,20 +30,40 @@ def _named(df: DataFrame, rows: DataFrame, cols: DataFrame, names: tuple[str, st
     return df.join(left, "r").join(right, "c")
 
 
+def _in_order(runs: DataFrame, shape: Shape, rows: DataFrame, cols: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """All cells of runs with both names, by position: the runs are sorted, their cells are made in that order, and the names of the
+    columns come by broadcast, so no cell is moved."""
+    left = rows.select(F.col("ix").alias("r"), F.col("id").alias(names[0]))
+    right = cols.select(F.col("ix").alias("c"), F.col("id").alias(names[1]))
+    ordered = runs.join(left, "r").orderBy("r", "c")
+    return cells_of_runs(ordered).join(F.broadcast(right), "c").withColumn("linear", linear(shape))
+
+
 def y_dump(spark: SparkSession, y: DataFrame, shape: Shape, rows: DataFrame, cols: DataFrame, draws: int, full: bool) -> DataFrame:
     """(position, Y_state, species, molecules, fraction_of_one): all cells, or the stored ones by position."""
-    cells = densified(spark, y, shape).join(y.select("r", "c", "n_ones"), ["r", "c"], "left").fillna({"n_ones": 0}) if full else stored(y, shape)
-    out = _named(cells, rows, cols, ("species", "molecules"))
+    names = ("species", "molecules")
+    out = _in_order(dense_runs(spark, y, shape), shape, rows, cols, names) if full else _named(stored(y, shape), rows, cols, names)
     fraction = F.col("n_ones") / float(draws) if draws else F.lit(0.0)
-    return out.select(F.col("linear").alias("position"), F.col("state").cast("int").alias("Y_state"), "species", "molecules", fraction.alias("fraction_of_one")).orderBy("position")
+    out = out.select(F.col("linear").alias("position"), F.col("state").cast("int").alias("Y_state"), "species", "molecules", fraction.alias("fraction_of_one"))
+    return out if full else out.orderBy("position")
+
+
+def y_dump_by_row(spark: SparkSession, y: DataFrame, shape: Shape, rows: DataFrame, draws: int) -> DataFrame:
+    """(species, n_cells, first, last, n_ones, fractions): the full dump of Y summed by row, from its runs instead of its cells."""
+    at, n = linear(shape), F.col("n")
+    fraction = n * F.col("n_ones") / float(draws) if draws else F.lit(0.0)
+    runs = dense_runs(spark, y, shape).join(rows.select(F.col("ix").alias("r"), F.col("id").alias("species")), "r")
+    return runs.groupBy("species").agg(
+        F.sum(n).alias("n_cells"), F.min(at).alias("first"), F.max(at + n - 1).alias("last"), F.sum(F.when(F.col("state"), n).otherwise(0)).alias("n_ones"), F.sum(fraction).alias("fractions")
+    )
 
 
 def z_dump(spark: SparkSession, z: DataFrame, shape: Shape, rows: DataFrame, cols: DataFrame, full: bool) -> DataFrame:
     """(species, molecules, position, Z_state); rows or columns are internal nodes, by the tree that ``z`` (r, c, state) belongs to."""
-    m = z.select("r", "c", "state", F.lit(0).alias("n_ones"))
-    cells = densified(spark, m, shape) if full else stored(m, shape)
-    out = _named(cells, rows, cols, ("species", "molecules"))
-    return out.select("species", "molecules", F.col("linear").alias("position"), F.col("state").cast("int").alias("Z_state")).orderBy("position")
+    m, names = z.select("r", "c", "state", F.lit(0).alias("n_ones")), ("species", "molecules")
+    out = _in_order(dense_runs(spark, m, shape), shape, rows, cols, names) if full else _named(stored(m, shape), rows, cols, names)
+    out = out.select("species", "molecules", F.col("linear").alias("position"), F.col("state").cast("int").alias("Z_state"))
+    return out if full else out.orderBy("position")
 
 
 def grid_dump(spark: SparkSession, n_bins: int) -> DataFrame:
