@@ -300,9 +300,8 @@ _SWEEP = f"WITH {nodes_sql('sp')}, {_ZSQL}, {_OCC}, {_ROWS}, w AS (SELECT c_cust
 
 
 def _swept(spark: SparkSession, where: str, links: bool) -> DataFrame:
-    y = y_of(spark, where)
-    new = field.swept_y(spark, field_tables(spark, where, links), y, P.lattice("r", "c"))
-    return new.where("state").groupBy("r").agg(F.count(F.lit(1)).alias("n_ones"))
+    new = field.swept_rows(field_tables(spark, where, links), y_of(spark, where), field.lattice_cells())
+    return new.groupBy("r").agg(F.sum(F.size("ones").cast("long")).alias("n_ones")).where("n_ones > 0")
 
 
 @query("sv_g02_g04_sweep", with_base(_SWEEP.format(_weights(True)), "sp", *_SRC))
