@@ -318,9 +318,8 @@ def _simulated_y(spark: SparkSession, where: str) -> DataFrame:
 @query("sv_g20_k08_simulated_links", with_base(f"WITH {_OCC} SELECT er.r, count(*) AS n FROM er, ec LEFT JOIN cells k ON k.r = er.r AND k.c = ec.c WHERE {_u('er.r', 'ec.c', 3)} < CASE WHEN k.y = 1 THEN er * ec ELSE {EPSILON}::DOUBLE END GROUP BY er.r".replace("FROM er, ec LEFT JOIN", "FROM (er CROSS JOIN ec) LEFT JOIN"), *_SRC))
 def _simulated_links(spark: SparkSession, where: str) -> DataFrame:
     er, ec = efforts(spark, where)
-    cells = field.all_cells(spark, shape_of(spark, where)).join(y_of(spark, where).where("state").select("r", "c", F.lit(True).alias("x")), ["r", "c"], "left").fillna({"x": False})
-    cells = cells.join(er.withColumnRenamed("leaf_ix", "r"), "r").join(ec.withColumnRenamed("leaf_ix", "c"), "c")
-    drawn = cells.where(P.lattice("r", "c", 3) < P.p_link("x", F.lit(True), F.col("effort_r") * F.col("effort_c"), EPSILON))
+    rows, cols = er.withColumnRenamed("leaf_ix", "r"), ec.withColumnRenamed("leaf_ix", "c")
+    drawn = field.drawn_links(spark, shape_of(spark, where), y_of(spark, where), rows, cols, EPSILON, P.lattice("r", "c", 3))
     return drawn.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
 
 

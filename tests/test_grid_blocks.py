@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cladewise.functions.prob import lattice
+from cladewise.functions.prob import lattice, p_link
 from cladewise.operators import field, sparse
 
 
@@ -45,3 +45,13 @@ def test_blocks_move_no_row_per_cell(spark, world):
     _, rows, cols, z_r, z_c, links, y = world
     f = field.Field(sparse.Shape(10**5, 10**5), 20, rows, cols, z_r, z_c, links, 0.01)
     assert sum(len(x.ones) for x in field.swept_rows(f, y, field.lattice_cells()).collect()) > 0
+
+
+def test_links_are_those_of_joined_cells(spark, world):
+    shape, rows, cols, _, _, _, y = world
+    u = lattice("r", "c", 3)
+    cells = field.all_cells(spark, shape).join(y.where("state").select("r", "c", F.lit(True).alias("x")), ["r", "c"], "left").fillna({"x": False}).join(rows, "r").join(cols, "c")
+    want = {(x.r, x.c) for x in cells.where(u < p_link("x", F.lit(True), F.col("effort_r") * F.col("effort_c"), 0.2)).collect()}
+    drawn = field.drawn_links(spark, shape, y, rows, cols, 0.2, u).collect()
+    assert len(drawn) == len(want) > 0 and {(x.r, x.c) for x in drawn} == want
+    assert field.drawn_links(spark, sparse.Shape(2000, 20000), y, rows, cols, 0.2, u).count() == len(want)
