@@ -1,23 +1,29 @@
 """Assignment of features to molecules: a maximum-weight bipartite matching.
 
-Small connected components are solved exactly, each in one task. Components with more than ``most_edges`` edges are solved by an auction
-in rounds of joins and aggregations, down to steps so small that the total is the largest to less than ``RESOLUTION``.
+Small connected components are solved exactly, each in one task. More than ``most_edges`` edges are solved exactly in arrays by one task, up
+to ``most_packed``. Components beyond that are solved by an auction in rounds of joins and aggregations, down to steps so small that the
+total is the largest to less than ``RESOLUTION``.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladewise.store import Cuts
 
 MOST_EDGES = 300_000
+#: Edges that one task holds in arrays, and the rounds of bids before what is still free takes shortest paths.
+MOST_PACKED, BID_ROUNDS = 2**22, 3_000
 EPSILON = 1e-3
 #: The unit of reported scores.
 RESOLUTION = 1e-6
+_MATCHED = "feature string, molecule string, score double"
 #: The factor between the steps of an auction.
 SHRINK = 8.0
 #: The headers, in any case and with blanks around, under which edge lists are accepted.
@@ -115,6 +121,114 @@ def solve_component(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["feature", "molecule", "score"])
 
 
+def _bids(start: np.ndarray, cols: np.ndarray, score: np.ndarray, price: np.ndarray, owner: np.ndarray, mine: np.ndarray) -> np.ndarray:
+    """Rounds of bids without a step, all free rows at once; sets prices and owners and returns the rows that are still free.
+
+    A bid goes to the object of the best gain and makes it as good as the second best, 0 for staying free among them. An object that has an owner
+    isn't taken without a raise. So everyone has a best object at all times, and objects without an owner keep a price of 0.
+    """
+    free, stuck = np.arange(len(mine)), []
+    for _ in range(BID_ROUNDS):
+        if not len(free):
+            break
+        n = start[free + 1] - start[free]
+        before = np.cumsum(n) - n
+        at = np.arange(n.sum()) + np.repeat(start[free] - before, n)
+        gain = score[at] - price[cols[at]]
+        best = np.maximum.reduceat(gain, before)
+        first = np.minimum.reduceat(np.where(gain == np.repeat(best, n), np.arange(len(gain)), len(gain)), before)
+        gain[first] = -np.inf
+        more = best - np.maximum(np.maximum.reduceat(gain, before), 0.0)
+        wanted = cols[at[first]]
+        bids = (best > 0) & ((more > 0) | (owner[wanted] < 0))
+        stuck.append(free[(best > 0) & ~bids])
+        row, col, offer = free[bids], wanted[bids], price[wanted[bids]] + more[bids]
+        by = np.lexsort((row, -offer, col))
+        row, col, offer = row[by], col[by], offer[by]
+        won = np.r_[True, col[1:] != col[:-1]][: len(col)]
+        lost, (row, col, offer) = row[~won], (x[won] for x in (row, col, offer))
+        out = owner[col][owner[col] >= 0]
+        mine[out] = -1
+        mine[row], owner[col], price[col] = col, row, offer
+        free = np.sort(np.concatenate([lost, out]))
+    return np.sort(np.concatenate([free, *stuck]))
+
+
+def solve_arrays(rows: np.ndarray, cols: np.ndarray, score: np.ndarray, n: int, m: int) -> np.ndarray:
+    """The column of each of ``n`` rows in an exact maximum-weight matching, -1 if it stays free; edges are sorted by row, each row has one.
+
+    Bids match most rows, and their prices stay valid for shortest augmenting paths, which match the rest.
+    """
+    start = np.searchsorted(rows, np.arange(n + 1))
+    price, owner, mine = np.zeros(m), np.full(m, -1), np.full(n, -1)
+    rest = _bids(start, cols, score, price, owner, mine)
+    profit = np.zeros(n)
+    held = mine[rows] == cols
+    profit[rows[held]] = score[held] - price[cols[held]]
+    for s in rest.tolist():
+        a, b = start[s], start[s + 1]
+        profit[s] = max(0.0, (score[a:b] - price[cols[a:b]]).max())
+        dist: dict[int, float] = {}
+        via: dict[int, int] = {}
+        done: dict[int, float] = {}
+        heap: list[tuple[float, int]] = []
+        reached, row, base, end, last, goal = [(s, 0.0)], s, 0.0, np.inf, s, -1
+        while True:
+            a, b, low = start[row], start[row + 1], base + float(profit[row])
+            if low < end:
+                end, last = low, row
+            d = low - score[a:b] + price[cols[a:b]]
+            near = np.flatnonzero(d < end)
+            for c, x in zip(cols[a:b][near].tolist(), np.maximum(d[near], base).tolist(), strict=True):
+                if c not in done and x < dist.get(c, np.inf):
+                    dist[c], via[c] = x, row
+                    heapq.heappush(heap, (x, c))
+            while heap and (heap[0][1] in done or heap[0][0] > dist[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= end:
+                break
+            base, c = heapq.heappop(heap)
+            done[c] = base
+            if owner[c] < 0:
+                end, goal = base, c
+                break
+            row = int(owner[c])
+            reached.append((row, base))
+        for r, d in reached:
+            profit[r] -= max(0.0, end - d)
+        for c, d in done.items():
+            price[c] += max(0.0, end - d)
+        if goal < 0:  # the last row stays free and leaves its column
+            goal, mine[last] = int(mine[last]), -1
+            if last == s:
+                continue
+        while True:
+            row = via[goal]
+            owner[goal], mine[row], goal = row, goal, int(mine[row])
+            if row == s:
+                break
+    return mine
+
+
+def solve_packed(edges: pa.Table) -> pa.Table:
+    """As solve_component, for (feature, molecule, score) in Arrow; names are numbered by rising name."""
+    codes, names = [], []
+    for name in ("feature", "molecule"):
+        found = edges[name].combine_chunks().dictionary_encode()
+        by = np.argsort(np.array(found.dictionary.to_pylist(), object))
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        codes.append(place[found.indices.to_numpy()])
+        names.append(found.dictionary.take(pa.array(by)))
+    by = np.lexsort((codes[1], codes[0]))
+    rows, cols, score = codes[0][by], codes[1][by], edges["score"].to_numpy()[by]
+    mine = solve_arrays(rows, cols, score, len(names[0]), len(names[1]))
+    won = np.zeros(len(mine))
+    held = mine[rows] == cols
+    won[rows[held]] = score[held]
+    return pa.table({"feature": names[0], "molecule": names[1].take(pa.array(mine, mask=mine < 0)), "score": won})
+
+
 def doubled(edges: DataFrame) -> DataFrame:
     """(person, object, weight): the edges and a mirrored copy of them, each node linked to its copy at weight 0.
 
@@ -177,27 +291,35 @@ def auction(cuts: Cuts, edges: DataFrame, epsilon: float, most_rounds: int = 100
     return cuts.save("auctioned", cut.select(F.substring("person", 2, 2**31 - 1).alias("feature"), F.substring("object", 2, 2**31 - 1).alias("molecule"), F.col("weight").alias("score")))
 
 
-def assign(edges: DataFrame, min_score: float = 0.0, most_edges: int = MOST_EDGES, epsilon: float = EPSILON) -> DataFrame:
+def assign(edges: DataFrame, min_score: float = 0.0, most_edges: int = MOST_EDGES, epsilon: float = EPSILON, most_packed: int = MOST_PACKED) -> DataFrame:
     """(Feature, Assigned_Molecule, Score, Low_Confidence, Unassigned) of every feature with an edge.
 
     Rows are sorted by feature, scores rounded to six digits. Features without a molecule have a null one and score 0. Repeated pairs count once, with their
-    highest score; an empty edge list gives no rows.
+    highest score; an empty edge list gives no rows. Edges that one task can hold are solved there, all components at once.
     """
     cuts = Cuts(edges.sparkSession, "matching")
     best = cuts.save("edges", best_edges(edges))
+    if most_edges < best.count() <= most_packed:
+        return report_rows(cuts.save("packed", _packed(best, F.lit(0))), min_score).orderBy("Feature")
     label = components(cuts, best)
     marked = cuts.save("marked", best.join(label, "feature"))
     sizes = marked.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    small = marked.join(sizes.where(F.col("n") <= most_edges), "component").drop("n")
-    exact = small.groupBy("component").applyInPandas(lambda x: solve_component(x), "feature string, molecule string, score double")
-    big = cuts.save("big", marked.join(sizes.where(F.col("n") > most_edges), "component").select("feature", "molecule", "score"))
-    found = exact
+    sized = marked.join(sizes, "component")
+    exact = sized.where(F.col("n") <= most_edges).groupBy("component").applyInPandas(lambda x: solve_component(x[["feature", "molecule", "score"]]), _MATCHED)
+    packed = _packed(sized.where((F.col("n") > most_edges) & (F.col("n") <= most_packed)), F.col("component"))
+    big = cuts.save("big", sized.where(F.col("n") > max(most_edges, most_packed)).select("feature", "molecule", "score"))
+    found = exact.unionByName(packed)
     if big.limit(1).count():
         won = auction(cuts, big, epsilon)
-        found = exact.unionByName(won).unionByName(big.select("feature").distinct().join(won.select("feature"), "feature", "left_anti").select("feature", F.lit(None).cast("string").alias("molecule"), F.lit(0.0).alias("score")))
+        found = found.unionByName(won).unionByName(big.select("feature").distinct().join(won.select("feature"), "feature", "left_anti").select("feature", F.lit(None).cast("string").alias("molecule"), F.lit(0.0).alias("score")))
     return report_rows(found, min_score).orderBy("Feature")
 
 
+def _packed(edges: DataFrame, by: Column) -> DataFrame:
+    groups = edges.select(by.alias("_g"), "feature", "molecule", "score").groupBy("_g")
+    return groups.applyInArrow(lambda x: solve_packed(x), _MATCHED)
+
+
 def report_rows(found: DataFrame, min_score: float) -> DataFrame:
     free: Column = F.col("molecule").isNull()
     return found.select(
