@@ -43,3 +43,11 @@ def test_all_ways_give_the_largest_total(spark, most, packed):
     edges = pd.concat([p.assign(feature=p.feature + x, molecule=p.molecule + x) for p, x in zip(parts, "ab", strict=True)])
     got = matching.assign(spark.createDataFrame(edges), 0.3, most, 1e-3, packed).toPandas()
     assert got.Score.sum() == pytest.approx(matching.solve_component(edges).score.sum(), abs=2e-6) and len(got) == edges.feature.nunique()
+
+
+def test_the_summary_counts_what_the_arrays_matched(spark):
+    edges = world(np.random.default_rng(7), 50, 30, 400, 6)
+    got = matching.assignment_summary(matching.assign(spark.createDataFrame(edges), 0.3, 100)).first()
+    want = matching.solve_component(edges)
+    assert (got.n_features, got.n_assigned, got.n_unassigned) == (len(want), want.molecule.notna().sum(), want.molecule.isna().sum())
+    assert got.total_score == pytest.approx(want.score.sum(), abs=1e-4)
