@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -323,17 +325,15 @@ def _simulated_links(spark: SparkSession, where: str) -> DataFrame:
     return drawn.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
 
 
-def arrays(spark: SparkSession, where: str) -> tuple[DataFrame, field.TreeArrays]:
+def _cliques(spark: SparkSession, where: str, step: Callable, with_z: bool) -> DataFrame:
+    """The inner states of all cliques after a step, from the leaves that are one and, ``with_z``, from the stored Z."""
     sp = sp_bins(spark, where)
-    full = sp.join(sp.select(F.col("id").alias("parent"), F.col("node_ix").alias("parent_ix")), "parent", "left")
-    return sp, field.TreeArrays.of(full, N_BINS)
-
-
-def _cliques(spark: SparkSession, where: str, step: field.Step, with_z: bool, seed: int = 0) -> DataFrame:
-    sp, t = arrays(spark, where)
-    own = states(spark, where) if with_z else states(spark, where).where("id like 'c%'")
-    stored = own.join(sp.select("id", "node_ix"), "id").select("clique", "node_ix", "state")
-    return field.update_cliques(spark, sp_cliques(spark, where), stored, t, step, seed, 0, field.lattice_uniforms, keep_zeros=True).where("node_ix >= 0").select("clique", "node_ix", "state")
+    coded = field.node_codes(sp.join(sp.select(F.col("id").alias("parent"), F.col("node_ix").alias("parent_ix")), "parent", "left"), N_BINS)
+    ones = y_of(spark, where).where("state").join(coded.where("kind = 'leaf'").select(F.col("leaf_ix").alias("r"), "code"), "r").select(F.col("c").alias("clique"), "code")
+    if with_z:
+        z = z_sp(spark, where).where("state").join(coded.select("internal_ix", "code"), "internal_ix")
+        ones = ones.unionByName(z.select(F.col("other_ix").alias("clique"), "code"))
+    return field.update_inner(spark, sp_cliques(spark, where), ones, field.InnerTree.of(coded, N_BINS), step).where("node_ix >= 0").select("clique", "node_ix", "state")
 
 
 def _level(up: str) -> str:
@@ -344,7 +344,7 @@ def _level(up: str) -> str:
 l0 AS ({_level("(SELECT g.*, l1.state FROM g JOIN l1 ON l1.clique = g.clique AND l1.id = g.id)")})
 SELECT clique, node_ix, state FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l0) x JOIN sp_nodes n ON n.id = x.id""", "sp", "cells"))
 def _likeliest(spark: SparkSession, where: str) -> DataFrame:
-    return _cliques(spark, where, field.likeliest_clique, False)
+    return _cliques(spark, where, field.likeliest_cliques, False)
 
 
 @query("sv_g17_simulated_z", with_base(f"""WITH {_GRID},
@@ -352,7 +352,7 @@ q AS (SELECT p_partkey AS clique, n.id, n.node_ix, {_u('n.node_ix', 'p_partkey')
 k AS (SELECT g.clique, n.id, n.node_ix, {_u('n.node_ix', 'g.clique')} < {p_of('alpha', 'nu', 'bin', 'q.state', 'true')} AS state FROM g JOIN sp_nodes n ON n.id = g.id AND n.kind = 'internal' JOIN q ON q.clique = g.clique AND q.id = g.parent)
 SELECT clique, node_ix, state FROM q UNION ALL SELECT clique, node_ix, state FROM k""", "sp", "cells"))
 def _simulated_z(spark: SparkSession, where: str) -> DataFrame:
-    return _cliques(spark, where, field.simulated_clique, False)
+    return _cliques(spark, where, field.simulated_cliques, False)
 
 
 @query("sv_g05_g06_gibbs_z", with_base(f"""WITH {_GRID}, {_COND.replace('clique %', 'ch.clique %')},
@@ -361,7 +361,7 @@ k AS (SELECT b.clique, b.id, n.node_ix, {_u('n.node_ix', 'b.clique')} < 1 / (1 +
       FROM br b JOIN sp_nodes n ON n.id = b.id AND n.kind = 'internal' JOIN ch ON ch.clique = b.clique AND ch.id = b.id JOIN q ON q.clique = b.clique AND q.id = b.parent)
 SELECT clique, node_ix, state FROM q UNION ALL SELECT clique, node_ix, state FROM k""", "sp", "cells"))
 def _gibbs(spark: SparkSession, where: str) -> DataFrame:
-    return _cliques(spark, where, field.gibbs_clique, True)
+    return _cliques(spark, where, field.gibbs_cliques, True)
 
 
 _TRY = f"""w AS (SELECT clique, step, log_nu, z, CASE WHEN step = 'alpha' THEN CASE WHEN f > 1 THEN 2 - f ELSE f END ELSE alpha END AS a_new, CASE WHEN step = 'log_nu' THEN log_nu + 0.1::DOUBLE * z ELSE log_nu END  AS v_new, alpha
