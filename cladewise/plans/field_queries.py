@@ -13,6 +13,7 @@ from cladewise.operators import analysis, field, likelihood, matching, msms, par
 from cladewise.plans.base import EPSILON, GAMMA, N_BINS, base, nodes_sql, shape_of, with_base
 from cladewise.plans.model_queries import _N, _STATES, _TOTAL, _u, fixed_bins, l_of, r, raw, states, tree, y_of, z_sp
 from cladewise.plans.model_queries import Query, D
+from cladewise.store import Cuts
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -484,9 +485,10 @@ def _cell_ratio(spark: SparkSession, where: str) -> DataFrame:
 
 @query("sv_g22_g30_moves", with_base("SELECT count(*) AS n_features, 0 AS twice, 0 AS not_candidates FROM features", "features"))
 def _moves(spark: SparkSession, where: str) -> DataFrame:
-    """Twenty moves in every run; what must hold afterwards."""
+    """Twenty moves in every run; what must hold afterwards. They are made once and written, as three sums read them."""
     runs, cands, unknowns, assigned, filters = ms(spark, where)
-    new = msms.updated_assignments(cands, unknowns, msms.all_unknown(unknowns), runs, y_of(spark, where), filters, 0.001, 42, 1, 20)
+    moved = msms.updated_assignments(cands, unknowns, msms.all_unknown(unknowns), runs, y_of(spark, where), filters, 0.001, 42, 1, 20)
+    new = Cuts(spark, "moves").save("moved", moved)
     twice = msms.molecules_twice(new).agg(F.count(F.lit(1)).cast("int")).scalar()
     strange = new.where("molecule is not null").join(cands, ["run", "feature", "molecule", "bin"], "left_anti").agg(F.count(F.lit(1)).cast("int")).scalar()
     return new.agg(F.count(F.lit(1)).alias("n_features")).select("n_features", twice.alias("twice"), strange.alias("not_candidates"))
