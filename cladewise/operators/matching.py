@@ -1,8 +1,8 @@
 """Assignment of features to molecules: a maximum-weight bipartite matching.
 
-Small connected components are solved exactly, each in one task. More than ``most_edges`` edges are solved exactly in arrays by one task, up
-to ``most_packed``. Components beyond that are solved by an auction in rounds of joins and aggregations, down to steps so small that the
-total is the largest to less than ``RESOLUTION``.
+Up to ``most_packed`` edges are solved exactly in arrays of numbers by one task. Beyond that connected components are solved exactly, each in
+one task, and those that are larger themselves by an auction in rounds of joins and aggregations, down to steps so small that the total is the
+largest to less than ``RESOLUTION``.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from cladewise.store import Cuts
 
 MOST_EDGES = 300_000
-#: Edges that one task holds in arrays, and the rounds of bids before what is still free takes shortest paths.
-MOST_PACKED, BID_ROUNDS = 2**22, 3_000
+#: Edges that one task holds in arrays, the rounds of bids before what is still free takes shortest paths, and the edges that bids look
+#: at in one go.
+MOST_PACKED, BID_ROUNDS, AT_ONCE = 2**24, 3_000, 2**20
 EPSILON = 1e-3
 #: The unit of reported scores.
 RESOLUTION = 1e-6
@@ -121,6 +122,18 @@ def solve_component(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["feature", "molecule", "score"])
 
 
+def _wishes(start: np.ndarray, cols: np.ndarray, score: np.ndarray, price: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best gain of each free row, its object, and how much more it is than the second best."""
+    n = start[free + 1] - start[free]
+    before = np.cumsum(n) - n
+    at = np.arange(n.sum()) + np.repeat(start[free] - before, n)
+    gain = score[at] - price[cols[at]]
+    best = np.maximum.reduceat(gain, before)
+    first = np.minimum.reduceat(np.where(gain == np.repeat(best, n), np.arange(len(gain)), len(gain)), before)
+    gain[first] = -np.inf
+    return best, cols[at[first]], best - np.maximum(np.maximum.reduceat(gain, before), 0.0)
+
+
 def _bids(start: np.ndarray, cols: np.ndarray, score: np.ndarray, price: np.ndarray, owner: np.ndarray, mine: np.ndarray) -> np.ndarray:
     """Rounds of bids without a step, all free rows at once; sets prices and owners and returns the rows that are still free.
 
@@ -131,15 +144,9 @@ def _bids(start: np.ndarray, cols: np.ndarray, score: np.ndarray, price: np.ndar
     for _ in range(BID_ROUNDS):
         if not len(free):
             break
-        n = start[free + 1] - start[free]
-        before = np.cumsum(n) - n
-        at = np.arange(n.sum()) + np.repeat(start[free] - before, n)
-        gain = score[at] - price[cols[at]]
-        best = np.maximum.reduceat(gain, before)
-        first = np.minimum.reduceat(np.where(gain == np.repeat(best, n), np.arange(len(gain)), len(gain)), before)
-        gain[first] = -np.inf
-        more = best - np.maximum(np.maximum.reduceat(gain, before), 0.0)
-        wanted = cols[at[first]]
+        ends = np.cumsum(start[free + 1] - start[free])
+        cuts = [0, *np.flatnonzero(np.diff(ends // AT_ONCE)) + 1, len(free)]
+        best, wanted, more = (np.concatenate(x) for x in zip(*(_wishes(start, cols, score, price, free[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a), strict=True))
         bids = (best > 0) & ((more > 0) | (owner[wanted] < 0))
         stuck.append(free[(best > 0) & ~bids])
         row, col, offer = free[bids], wanted[bids], price[wanted[bids]] + more[bids]
@@ -229,6 +236,18 @@ def solve_packed(edges: pa.Table) -> pa.Table:
     return pa.table({"feature": names[0], "molecule": names[1].take(pa.array(mine, mask=mine < 0)), "score": won})
 
 
+def solve_coded(edges: pa.Table) -> pa.Table:
+    """(row, col, score) of each row in an exact matching of edges between dense numbers, the column null if the row stays free."""
+    rows, cols, score = (edges[x].to_numpy() for x in ("row", "col", "score"))
+    by = np.lexsort((cols, rows))
+    rows, cols, score = rows[by], cols[by], score[by]
+    mine = solve_arrays(rows, cols, score, int(rows.max()) + 1, int(cols.max()) + 1)
+    won = np.zeros(len(mine))
+    held = mine[rows] == cols
+    won[rows[held]] = score[held]
+    return pa.table({"row": np.arange(len(mine)), "col": pa.array(mine, mask=mine < 0), "score": won})
+
+
 def doubled(edges: DataFrame) -> DataFrame:
     """(person, object, weight): the edges and a mirrored copy of them, each node linked to its copy at weight 0.
 
@@ -299,8 +318,8 @@ def assign(edges: DataFrame, min_score: float = 0.0, most_edges: int = MOST_EDGE
     """
     cuts = Cuts(edges.sparkSession, "matching")
     best = cuts.save("edges", best_edges(edges))
-    if most_edges < best.count() <= most_packed:
-        return report_rows(cuts.save("packed", _packed(best, F.lit(0))), min_score).orderBy("Feature")
+    if 0 < best.count() <= most_packed:
+        return report_rows(_coded(cuts, best), min_score).orderBy("Feature")
     label = components(cuts, best)
     marked = cuts.save("marked", best.join(label, "feature"))
     sizes = marked.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
@@ -315,6 +334,14 @@ def assign(edges: DataFrame, min_score: float = 0.0, most_edges: int = MOST_EDGE
     return report_rows(found, min_score).orderBy("Feature")
 
 
+def _coded(cuts: Cuts, edges: DataFrame) -> DataFrame:
+    """(feature, molecule, score) of all features, solved in one task, which is sent numbers instead of names."""
+    rows, cols = cuts.save("rows", codes(cuts, edges, "feature", "row")), cuts.save("cols", codes(cuts, edges, "molecule", "col"))
+    named = edges.join(rows, "feature").join(cols, "molecule").select(F.lit(0).alias("_g"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "score")
+    found = cuts.save("packed", named.groupBy("_g").applyInArrow(lambda x: solve_coded(x), "row long, col long, score double"))
+    return rows.join(found, "row").join(cols, "col", "left").select("feature", "molecule", "score")
+
+
 def _packed(edges: DataFrame, by: Column) -> DataFrame:
     groups = edges.select(by.alias("_g"), "feature", "molecule", "score").groupBy("_g")
     return groups.applyInArrow(lambda x: solve_packed(x), _MATCHED)
@@ -339,21 +366,22 @@ def assignment_summary(result: DataFrame) -> DataFrame:
 
 
 def encoded(edges: DataFrame) -> DataFrame:
-    """Edges with dense codes of their names in byte order: (row, col, score, feature, molecule).
+    """Edges with dense codes of their names in byte order: (row, col, score, feature, molecule)."""
+    cuts = Cuts(edges.sparkSession, "codes")
+    return edges.join(codes(cuts, edges, "feature", "row"), "feature").join(codes(cuts, edges, "molecule", "col"), "molecule").select("row", "col", "score", "feature", "molecule")
+
+
+def codes(cuts: Cuts, edges: DataFrame, name: str, code: str) -> DataFrame:
+    """The names of a column with dense numbers from 0 in byte order.
 
     Names are brought into ranges of about equal size, whose bounds Spark samples, and the ranges are written with their numbers. Names
     are ranked inside of their range, and names in the ranges before are added; the window over ranges sees a row per range.
     """
-    cuts = Cuts(edges.sparkSession, "codes")
-
-    def codes(name: str, code: str) -> DataFrame:
-        names = edges.select(name).distinct()
-        ranges = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        kept = cuts.save(name, names.repartitionByRange(ranges, name).withColumn("_p", F.spark_partition_id()))
-        counts = kept.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-        before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-        offsets = counts.select("_p", F.coalesce(before, F.lit(0)).alias("_o"))
-        inside = F.row_number().over(Window.partitionBy("_p").orderBy(name)) - 1
-        return kept.withColumn("_i", inside).join(offsets, "_p").select(name, (F.col("_o") + F.col("_i")).cast("long").alias(code))
-
-    return edges.join(codes("feature", "row"), "feature").join(codes("molecule", "col"), "molecule").select("row", "col", "score", "feature", "molecule")
+    names = edges.select(name).distinct()
+    ranges = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kept = cuts.save(name, names.repartitionByRange(ranges, name).withColumn("_p", F.spark_partition_id()))
+    counts = kept.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_p", F.coalesce(before, F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(name)) - 1
+    return kept.withColumn("_i", inside).join(offsets, "_p").select(name, (F.col("_o") + F.col("_i")).cast("long").alias(code))

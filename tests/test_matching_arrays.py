@@ -51,3 +51,21 @@ def test_the_summary_counts_what_the_arrays_matched(spark):
     want = matching.solve_component(edges)
     assert (got.n_features, got.n_assigned, got.n_unassigned) == (len(want), want.molecule.notna().sum(), want.molecule.isna().sum())
     assert got.total_score == pytest.approx(want.score.sum(), abs=1e-4)
+
+
+def test_few_and_many_edges_go_to_one_task_as_numbers(spark, monkeypatch):
+    edges = world(np.random.default_rng(8), 60, 40, 500, 6)
+    monkeypatch.setattr(matching, "components", None)
+    got = matching.assign(spark.createDataFrame(edges)).toPandas()
+    want = matching.solve_component(edges)
+    assert got.Score.sum() == pytest.approx(want.score.sum(), abs=1e-4) and list(got.Feature) == sorted(want.feature)
+    real = got[~got.Unassigned].merge(edges, left_on=["Feature", "Assigned_Molecule"], right_on=["feature", "molecule"])
+    assert len(real) == (~got.Unassigned).sum() and (real.Score - real.score).abs().max() < 1e-6 and real.molecule.is_unique
+    assert matching.MOST_PACKED > 8_000_000
+
+
+def test_bids_in_parts_are_the_same(monkeypatch):
+    edges = world(np.random.default_rng(9), 300, 200, 3000, 6)
+    whole = matching.solve_packed(pa.Table.from_pandas(edges))
+    monkeypatch.setattr(matching, "AT_ONCE", 50)
+    assert matching.solve_packed(pa.Table.from_pandas(edges)).equals(whole)
