@@ -328,8 +328,8 @@ def _simulated_links(spark: SparkSession, where: str) -> DataFrame:
 
 def _cliques(spark: SparkSession, where: str, step: Callable, with_z: bool) -> DataFrame:
     """The inner states of all cliques after a step, from the leaves that are one and, ``with_z``, from the stored Z."""
-    sp = sp_bins(spark, where)
-    coded = field.node_codes(sp.join(sp.select(F.col("id").alias("parent"), F.col("node_ix").alias("parent_ix")), "parent", "left"), N_BINS)
+    sp = Cuts(spark, "nodes").save("nodes", sp_bins(spark, where))
+    coded = field.node_codes(sp.join(sp.where("kind <> 'leaf'").select(F.col("id").alias("parent"), F.col("node_ix").alias("parent_ix")), "parent", "left"), N_BINS)
     ones = y_of(spark, where).where("state").join(coded.where("kind = 'leaf'").select(F.col("leaf_ix").alias("r"), "code"), "r").select(F.col("c").alias("clique"), "code")
     if with_z:
         z = z_sp(spark, where).where("state").join(coded.select("internal_ix", "code"), "internal_ix")
