@@ -6,7 +6,7 @@ from compare import DATA
 from cladewise.plans import registry
 
 
-@pytest.mark.parametrize("name", ["sv_g07_g08_likeliest_z"])
+@pytest.mark.parametrize("name", ["sv_g07_g08_likeliest_z", "sv_g17_simulated_z"])
 def test_steps_read_the_written_tree(spark, name):
     got = registry.queries()[name](spark, DATA)
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
