@@ -281,13 +281,17 @@ def _weights(links: bool) -> str:
     return f"lw AS (SELECT w.r, w.c, coalesce(k.l = 1, false) AS link, {side('false')} AS l0, {side('true')} AS l1 FROM w JOIN rw ON rw.r = w.r JOIN cl ON cl.c = w.c JOIN sp_nodes n ON n.id = rw.up_id LEFT JOIN z ON z.internal_ix = n.internal_ix AND z.other_ix = w.c LEFT JOIN cells k ON k.r = w.r AND k.c = w.c)"
 
 
-def field_tables(spark: SparkSession, where: str, links: bool) -> field.Field:
-    er, ec = efforts(spark, where)
+def _leaves(spark: SparkSession, where: str, up: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows and columns of the field without their efforts; ``up`` has (id, internal_ix)."""
     k, j = F.col("c_custkey"), F.col("p_partkey")
-    up = tree(spark, where, "sp").select(F.col("id").alias("up_id"), F.col("internal_ix").alias("up_r"))
-    rows = raw(spark, where, "customer").select(k.alias("r"), F.expr("'n' || c_nationkey").alias("up_id"), (k % 20).alias("bin_r"), ((k % 7 + 1) / 10.0).alias("alpha_m"), ((k % 5 + 1) / 4.0).alias("nu_m")).join(up, "up_id")
-    rows = rows.join(er.withColumnRenamed("leaf_ix", "r"), "r").drop("up_id")
-    cols = raw(spark, where, "part").select(j.alias("c"), F.lit(0).cast("long").alias("up_c"), (j % 20).alias("bin_c"), ((j % 9 + 1) / 10.0).alias("alpha_s"), ((j % 3 + 1) / 2.0).alias("nu_s")).join(ec.withColumnRenamed("leaf_ix", "c"), "c")
+    up = up.select(F.col("id").alias("up_id"), F.col("internal_ix").alias("up_r"))
+    rows = raw(spark, where, "customer").select(k.alias("r"), F.expr("'n' || c_nationkey").alias("up_id"), (k % 20).alias("bin_r"), ((k % 7 + 1) / 10.0).alias("alpha_m"), ((k % 5 + 1) / 4.0).alias("nu_m")).join(up, "up_id").drop("up_id")
+    cols = raw(spark, where, "part").select(j.alias("c"), F.lit(0).cast("long").alias("up_c"), (j % 20).alias("bin_c"), ((j % 9 + 1) / 10.0).alias("alpha_s"), ((j % 3 + 1) / 2.0).alias("nu_s"))
+    return rows, cols
+
+
+def field_tables(spark: SparkSession, where: str, links: bool) -> field.Field:
+    rows, cols = (t.join(e.withColumnRenamed("leaf_ix", k), k) for t, e, k in zip(_leaves(spark, where, tree(spark, where, "sp")), efforts(spark, where), "rc", strict=True))
     empty = spark.createDataFrame([], "internal_ix long, other_ix long, state boolean")
     return field.Field(shape_of(spark, where), N_BINS, rows, cols, z_sp(spark, where), empty, l_of(spark, where), EPSILON, links)
 
@@ -307,6 +311,25 @@ def _swept(spark: SparkSession, where: str, links: bool) -> DataFrame:
     return new.groupBy("r").agg(F.sum(F.size("ones").cast("long")).alias("n_ones")).where("n_ones > 0")
 
 
+def _counted(spark: SparkSession, where: str, links: bool) -> DataFrame:
+    """Ones per row after a sweep. Order lines say which nations hold a part, and the links, without being made cells before."""
+    cuts = Cuts(spark, "sweep")
+    inner = cuts.save("inner", tree(spark, where, "sp").where("internal_ix is not null").select("id", "internal_ix"))
+    rows, cols = _leaves(spark, where, inner)
+    if links:
+        papers = raw(spark, where, "orders").where("o_orderstatus <> 'P'").groupBy(F.col("o_custkey").alias("r")), raw(spark, where, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("c"))
+        rows, cols = (t.join(p.agg(F.count(F.lit(1)).alias("n")), k, "left").withColumn(f"effort_{k}", P.effort(GAMMA, P.log_count("n"))).drop("n") for t, p, k in zip((rows, cols), papers, "rc", strict=True))
+    else:
+        rows, cols = rows.withColumn("effort_r", F.lit(0.0)), cols.withColumn("effort_c", F.lit(0.0))
+    rows = cuts.save("rows", rows)
+    orders = raw(spark, where, "orders").select("o_orderkey", F.col("o_custkey").alias("r")).join(rows.select("r", "up_r"), "r")
+    lines = raw(spark, where, "lineitem").select("l_orderkey", F.col("l_partkey").alias("c"), (F.col("l_returnflag") != "R").alias("below"), (F.col("l_returnflag") != "N").alias("link"))
+    marks = lines.where("below or link" if links else "below").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("up_r", "r", "c", "below", "link")
+    empty = spark.createDataFrame([], "internal_ix long, other_ix long, state boolean")
+    new = field.swept_counts(spark, field.Field(shape_of(spark, where), N_BINS, rows, cols, empty, empty, empty.select(F.col("internal_ix").alias("r"), F.col("other_ix").alias("c")), EPSILON, links), 0, marks)
+    return new.where("n_ones > 0")
+
+
 @query("sv_g02_g04_sweep", with_base(_SWEEP.format(_weights(True)), "sp", *_SRC))
 def _sweep(spark: SparkSession, where: str) -> DataFrame:
     """Ones per row after a sweep over every cell of the full grid."""
@@ -315,7 +338,7 @@ def _sweep(spark: SparkSession, where: str) -> DataFrame:
 
 @query("sv_g18_simulated_y", with_base(_SWEEP.format(_weights(False)), "sp", *_SRC))
 def _simulated_y(spark: SparkSession, where: str) -> DataFrame:
-    return _swept(spark, where, False)
+    return _counted(spark, where, False)
 
 
 @query("sv_g20_k08_simulated_links", with_base(f"WITH {_OCC} SELECT er.r, count(*) AS n FROM er, ec LEFT JOIN cells k ON k.r = er.r AND k.c = ec.c WHERE {_u('er.r', 'ec.c', 3)} < CASE WHEN k.y = 1 THEN er * ec ELSE {EPSILON}::DOUBLE END GROUP BY er.r".replace("FROM er, ec LEFT JOIN", "FROM (er CROSS JOIN ec) LEFT JOIN"), *_SRC))
