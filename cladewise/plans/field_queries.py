@@ -306,11 +306,6 @@ _ZSQL = _STATES.split(", st AS")[0].split(f"{nodes_sql('sp')}, ")[1]
 _SWEEP = f"WITH {nodes_sql('sp')}, {_ZSQL}, {_OCC}, {_ROWS}, w AS (SELECT c_custkey AS r, p_partkey AS c FROM customer, part), {{0}}, dr AS (SELECT r, c, {_u('r', 'c')} < 1 / (1 + exp(l0 - l1)) AS s FROM lw) SELECT r, count(CASE WHEN s THEN 1 END) AS n_ones FROM dr GROUP BY r HAVING count(CASE WHEN s THEN 1 END) > 0"
 
 
-def _swept(spark: SparkSession, where: str, links: bool) -> DataFrame:
-    new = field.swept_rows(field_tables(spark, where, links), y_of(spark, where), field.lattice_cells())
-    return new.groupBy("r").agg(F.sum(F.size("ones").cast("long")).alias("n_ones")).where("n_ones > 0")
-
-
 def _counted(spark: SparkSession, where: str, links: bool) -> DataFrame:
     """Ones per row after a sweep. Order lines say which nations hold a part, and the links, without being made cells before."""
     cuts = Cuts(spark, "sweep")
@@ -333,7 +328,7 @@ def _counted(spark: SparkSession, where: str, links: bool) -> DataFrame:
 @query("sv_g02_g04_sweep", with_base(_SWEEP.format(_weights(True)), "sp", *_SRC))
 def _sweep(spark: SparkSession, where: str) -> DataFrame:
     """Ones per row after a sweep over every cell of the full grid."""
-    return _swept(spark, where, True)
+    return _counted(spark, where, True)
 
 
 @query("sv_g18_simulated_y", with_base(_SWEEP.format(_weights(False)), "sp", *_SRC))

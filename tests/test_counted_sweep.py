@@ -32,15 +32,16 @@ def world(spark):
 
 
 @pytest.mark.parametrize("use_links", [True, False])
-@pytest.mark.parametrize("kind_cost", [0, 10**9])
-def test_counts_are_those_of_joined_cells(spark, world, monkeypatch, use_links, kind_cost):
-    """Counted by kind and visited cell by cell, whole and in small pieces."""
+@pytest.mark.parametrize(("kind_cost", "few"), [(0, 10**6), (0, 4), (0, 1), (10**9, 1)])
+def test_counts_are_those_of_joined_cells(spark, world, monkeypatch, use_links, kind_cost, few):
+    """Counted by kind, with none, some or all of the kinds as improbable ones, and visited cell by cell; whole and in small pieces."""
     shape, rows, cols, z_r, z_c, links = world
     f = field.Field(shape, 20, rows, cols, z_r, z_c, links.unionByName(links), 0.01, use_links)
     y = spark.createDataFrame([], "r long, c long, n_ones int")
     cells = field.swept_y(spark, dataclasses.replace(f, links=links), y, lattice("r", "c", 4)).where("state")
     want = {x.r: x["count"] for x in cells.groupBy("r").count().collect()}
     monkeypatch.setattr(field, "KIND_COST", kind_cost)
+    monkeypatch.setattr(field, "FEW", few)
     for pieces in ({}, {"COUNT_ROWS": 10, "COUNT_COLS": 9, "AT_ONCE": 20}):
         for name, value in pieces.items():
             monkeypatch.setattr(field, name, value)
@@ -50,6 +51,22 @@ def test_counts_are_those_of_joined_cells(spark, world, monkeypatch, use_links,
         field.swept_counts(spark, dataclasses.replace(f, seen=lambda cells: cells))
 
 
+def test_grid_of_more_cells_than_an_int_counts(spark):
+    """Rows with and without links, cell by cell in arrays."""
+    n_r, n_c, eps = 50_000, 60_000, 0.01
+    c, linked = np.arange(n_c), {r: (np.arange(r % 7, n_c, 31 + r % 5)) for r in (0, 777, 35_791, 49_999)}
+    rows = spark.range(n_r).select(F.col("id").alias("r"), F.lit(0).cast("long").alias("up_r"), (F.col("id") % 3).alias("bin_r"), F.lit(0.9).alias("effort_r"), F.lit(0.3).alias("alpha_m"), F.lit(0.5).alias("nu_m"))
+    cols = spark.range(n_c).select(F.col("id").alias("c"), F.lit(0).cast("long").alias("up_c"), F.lit(4).alias("bin_c"), (F.col("id") % 4 / 3.0).alias("effort_c"), F.lit(0.6).alias("alpha_s"), F.lit(1.5).alias("nu_s"))
+    links = spark.createDataFrame([(r, int(k)) for r, cs in linked.items() for k in cs], "r long, c long")
+    empty = spark.createDataFrame([], "internal_ix long, other_ix long, state boolean")
+    got = {x.r: x.n_ones for x in field.swept_counts(spark, field.Field(sparse.Shape(n_r, n_c), 20, rows, cols, empty, empty, links, eps)).where(F.col("r").isin(*linked, 1, 40_000)).collect()}
+    for r in (*linked, 1, 40_000):
+        link, efforts = np.isin(c, linked.get(r, [])), 0.9 * (c % 4 / 3.0)
+        e = [np.exp(-nu * (b + 0.5) * 2.0 / 21) for nu, b in ((1.5, r % 3), (0.5, 4))]
+        odds = (0.6 * (1 - e[0]) * 0.3 * (1 - e[1])) / ((0.4 + 0.6 * e[0]) * (0.7 + 0.3 * e[1])) * np.where(link, efforts / eps, (1 - efforts) / (1 - eps))
+        assert got[r] == np.sum(((r * 7919 + c * 104729) % 1000003 + 0.5) / 1000003.0 < odds / (1 + odds)) > 0
+
+
 def test_thresholds_are_those_of_single_numbers():
     rng = np.random.default_rng(1)
     log0, log1 = np.r_[rng.normal(0, 3, 40), 0.0, 0.0, -np.inf, -np.inf, -1.797e308], np.r_[rng.normal(0, 3, 40), 0.0, -np.inf, 0.0, -np.inf, -0.1]
@@ -59,7 +76,7 @@ def test_thresholds_are_those_of_single_numbers():
     assert field._thresholds(log0, log1).tolist() == want
 
 
-@pytest.mark.parametrize("name", ["sv_g18_simulated_y"])
+@pytest.mark.parametrize("name", ["sv_g18_simulated_y", "sv_g02_g04_sweep"])
 def test_a_sweep_moves_every_leaf_once(spark, monkeypatch, name):
     """However many columns there are: the rows of a block were sent to each block of columns before."""
     sent, tables = [], field._counting_tables
